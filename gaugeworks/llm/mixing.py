@@ -4,7 +4,8 @@ Each document of a source wants rate = target / source size copies (3 at most).
 rounded by a weighted pivotal scheme: two fractional documents meet, words move from one to the other in a random direction until one of
 them has a whole number of copies, and the other goes on to the next meeting. A meeting keeps the pair's expected words and each one's
 expected copies. Documents meet in blocks of about BLOCK of one source; the one left over in each block goes to the next level of a
-reduction tree, until a source has one left, which is rounded by itself. So a source misses its target by less than one document.
+reduction tree, until a source has one left, which goes to the nearer
+whole number. So a source misses its target by half of one document at most.
 
 Random numbers are hashes of ids, sizes and levels: reruns agree. Sizes of null texts are 0, and such documents are never taken. A null
 source is a source of its own, last in order. Repeated rows are separate documents. An empty table gives an empty result.
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         carried = result.where("held is not null").select("held.*", "block")
         most = carried.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
-            last = F.col("n") + F.when(_uniform("key", "s", F.lit(-1)) < F.col("p"), 1).otherwise(0)
+            last = F.col("n") + F.when(F.col("p") >= 0.5, 1).otherwise(0)
             done.append(carried.select("id", "source", last.cast("long").alias("n"), "s"))
             break
         # block numbers of a source are dense from 0, so their quotients by BLOCK are the next level's blocks
