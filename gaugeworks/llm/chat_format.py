@@ -63,13 +63,14 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     none, every = F.transform(turns, lambda t: F.lit(False)), F.transform(turns, lambda t: F.lit(True))
     chats = chats.withColumn("__back", parse(F.array_join(_render(turns, none), "")))
 
-    def conflict(t, i):
+    def conflict(t, back):
         holds = t["text"].contains(CONTROL[0])
         for c in CONTROL[1:]:
             holds = holds | t["text"].contains(c)
-        return holds | ~F.coalesce(F.get("__back", i)["text"] == t["text"], F.lit(False))
+        return holds | ~F.coalesce(back["text"] == t["text"], F.lit(False))
 
-    chats = chats.withColumn("__flags", F.transform(turns, conflict))
+    # a broken text may come back as more turns than there are
+    chats = chats.withColumn("__flags", F.zip_with(turns, F.slice("__back", F.lit(1), F.size(turns)), conflict))
     chats = chats.withColumn("__parts", _render(turns, F.col("__flags")))
     same = parse(F.array_join("__parts", "")) == turns
     chats = chats.withColumn("__flags", F.when(same, F.col("__flags")).otherwise(every))

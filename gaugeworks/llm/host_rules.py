@@ -23,24 +23,28 @@ BROADCAST_HOSTS = 50_000
 SALTS = 64
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside windows of GRAM words that occur twice or more in the array, the first occurrence included.
-
-    Windows are compared by a 64-bit hash. Texts whose windows all differ, the most, stop at a count of distinct hashes.
-    """
+def gram_hashes(words: Column) -> Column:
+    """64-bit hashes of all windows of GRAM words, in order. `words` is a column of its own: a lambda evaluates what it names for each element."""
     n = F.size(words)
     grams = F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(GRAM))))
     return F.when(n >= GRAM, grams).otherwise(F.array().cast("array<bigint>"))
 
 
-def covered_words(grams: Column) -> Column:
-    """Of the hashes of all windows in order, how many words the repeated ones cover."""
-    pairs = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
-    spots = F.array_sort(F.transform(F.filter(F.transform(pairs, lambda x, j: F.struct((same(x, F.get(pairs, j - 1)) | same(x, F.get(pairs, j + 1))).alias("hit"), x["i"].alias("i"))), lambda x: x["hit"]), lambda x: x["i"]))
-    end = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
-    total = F.aggregate(spots, end, lambda s, i: F.struct((s["n"] + GRAM - F.greatest(F.lit(0), s["to"] - i)).cast("int").alias("n"), (i + GRAM).cast("int").alias("to")))
-    return total["n"]
+def with_repeated_words(rows: DataFrame, grams: str, out: str) -> DataFrame:
+    """`rows` with the number of words inside windows that occur twice or more, the first occurrence included.
+
+    Texts whose windows all differ, the most, stop at a count of distinct hashes. The others sort their hashes with positions, take those
+    equal to a neighbour, and add up what these windows cover. Each step is a column, used twice, so that it is evaluated once.
+    """
+    many = F.size(grams) != F.size(F.array_distinct(grams))
+    pairs = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    rows = rows.withColumn("__pairs", F.when(many, pairs).otherwise(F.array().cast("array<struct<g:bigint,i:int>>"))).drop(grams)
+    rows = rows.withColumn("__next", F.zip_with("__pairs", F.expr("slice(__pairs, 2, greatest(size(__pairs), 1))"), lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))))
+    hit = F.zip_with("__next", F.concat(F.array(F.lit(False)), F.col("__next")), lambda x, y: F.coalesce(x, F.lit(False)) | y)
+    spots = F.filter(F.zip_with("__pairs", hit, lambda x, h: F.when(h, x["i"])), lambda i: i.isNotNull())
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+    total = F.aggregate(F.sort_array(spots), start, lambda s, i: F.struct((s["n"] + GRAM - F.greatest(F.lit(0), s["to"] - i)).cast("int").alias("n"), (i + GRAM).cast("int").alias("to")))
+    return rows.withColumn(out, total["n"].cast("long")).drop("__pairs", "__next")
 
 
 def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -60,10 +64,9 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
         "__symbols",
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__dup"),
         F.size("__lines").alias("__n_lines"),
-        repeated_words(F.col("__words")).alias("__grams"),
+        gram_hashes(F.col("__words")).alias("__grams"),
     )
-    repeat = F.when(F.size("__grams") == F.size(F.array_distinct("__grams")), F.lit(0)).otherwise(covered_words(F.col("__grams")))
-    return grams.withColumn("__repeat", repeat.cast("long")).drop("__grams")
+    return with_repeated_words(grams, "__grams", "__repeat")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
