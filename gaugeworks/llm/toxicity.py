@@ -1,12 +1,14 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index, with distance-weighted votes.
 
-1. A bounded sample of labelled texts (SAMPLE_TEXTS, the first by hash of id) gives candidate words by log-likelihood ratio, and sequential
-   covering keeps those that mark toxic examples beyond what the words kept before them explain.
-2. Inverse document frequencies of these words come from one pass over all documents.
-3. Examples that hold such words form the index. Each document's k nearest examples are found exactly: blocks of postings whose upper bound
+Terms are words and, as inflected forms share their beginning, word beginnings of STEMS bytes.
+
+1. A bounded sample of labelled texts (SAMPLE_TEXTS, the first by hash of id; near copies, by one min-hash of word windows, count once) gives
+   the vocabulary: the terms that mark toxic examples with a log-likelihood ratio beyond what chance gives among so many terms.
+2. Inverse document frequencies of these terms come from one pass over all documents.
+3. Examples that hold such terms form the index. Each document's k nearest examples are found exactly: blocks of postings whose upper bound
    cannot reach the k-th best are skipped. Votes are weighted by distance and shrunk to the base rate. The neighbours are the evidence.
 
-A document without any such word has no neighbour; its score is the toxic share of the examples without one. Null and empty texts are such
+A document without any such term has no neighbour; its score is the toxic share of the examples without one. Null and empty texts are such
 documents. Equal cosines go to the lower example id. Repeated rows are scored each; repeated examples vote each. An empty table gives an
 empty result; without any toxic example every score is 0.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,18 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of
-from .decontamination import _frequencies, _texts, words_of
+from .common import Written, bucket_of
+from .decontamination import _texts, words_of
 
 THRESHOLD = 0.7
 FOLDS, HELD = 3, 1
 SAMPLE_TEXTS = 6000
-CANDIDATES = 256
-#: A kept word's log-likelihood ratio among the examples not yet covered, and its toxic share there, at least.
-LEAST_RATIO, LEAST_SHARE = 12.0, 0.6
+MOST_TERMS = 2000
+STEMS = (4, 5, 6, 7, 8, 9)
+#: A kept term's log-likelihood ratio (2 ln of some 200,000 terms) and its toxic share, at least.
+LEAST_RATIO, LEAST_SHARE = 24.0, 0.6
 NEIGHBOURS = 15
 BLOCK = 64
-SHRINK = 0.5
+#: The base rate's weight among the votes.
+SHRINK = 3.0
 
 
 class BlockMaxIndex:
@@ -78,26 +83,61 @@ def _unit(counts: Counter, idf: list[float]) -> dict[int, float]:
     return {t: x / norm for t, x in sorted(vector.items())} if norm else {}
 
 
-def _ratio(a: int, b: int, pos: int, neg: int) -> float:
-    """Signed log-likelihood ratio of a word in a of pos toxic and b of neg other examples."""
-    def term(k, n, p):
-        return (k * math.log(p) if k else 0) + ((n - k) * math.log(1 - p) if n > k else 0)
+def _ratio(a, n, pos, total):
+    """Log-likelihood ratio of a term in a of pos toxic examples and in n of all examples."""
+    def term(k, m, p):
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(m > k, (m - k) * F.log(1 - p)).otherwise(0.0)
+
+    b, neg = n - a, total - pos
+    p, p1, p2 = n / total, a / pos, b / neg
+    return 2 * (term(a, pos, p1) + term(b, neg, p2) - term(a, pos, p) - term(b, neg, p))
+
+
+class Terms:
+    """Counts of the vocabulary's terms in a text. A stem is written with a * behind it, which no word holds."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        self.number = {t: k for k, t in enumerate(vocabulary)}
+        # any term of a word starts with the word's first bytes, so most words stop here
+        self.gate = frozenset(t.rstrip(b"*")[: STEMS[0]] for t in vocabulary)
+
+    def count(self, raw: bytes) -> Counter:
+        words, number, found = words_of(raw), self.number, Counter()
+        if self.gate.isdisjoint([w[: STEMS[0]] for w in words]):
+            return found
+        for w in words:
+            if w[: STEMS[0]] in self.gate:
+                found.update(number[t] for t in _terms(w) if t in number)
+        return found
+
+
+def _terms(word: bytes) -> list[bytes]:
+    return [word, *(word[:k] + b"*" for k in STEMS if len(word) >= k)]
 
-    if not pos or not neg or a + b in (0, pos + neg):
-        return 0.0
-    p, p1, p2 = (a + b) / (pos + neg), a / pos, b / neg
-    value = 2 * (term(a, pos, p1) + term(b, neg, p2) - term(a, pos, p) - term(b, neg, p))
-    return value if p1 > p2 else -value
+
+def _frequencies(docs: DataFrame, text_col: str, vocabulary: list[bytes]) -> list[int]:
+    """In how many of all documents each term occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, total = Terms(shared.value), Counter()
+        for batch in batches:
+            for raw in _texts(batch.column(0)):
+                total.update(terms.count(raw).keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["k", "n"])
+
+    found = {r.k: r.n for r in docs.select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a row per term
+    return [found.get(k, 0) for k in range(len(vocabulary))]
 
 
 def _counts(docs: DataFrame, vocabulary: list[bytes], id_col: str, label_col: str) -> list:
     """The examples' counts of the vocabulary's words: a bounded number of rows."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(vocabulary)})
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
+        known = Terms(shared.value)
         for batch in batches:
-            terms = [Counter(number[w] for w in words_of(raw) if w in number) for raw in _texts(batch.column(2))]
+            terms = [known.count(raw) for raw in _texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in terms], pa.list_(pa.int32())), pa.array([list(c.values()) for c in terms], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
 
     kinds = docs.schema
@@ -105,24 +145,6 @@ def _counts(docs: DataFrame, vocabulary: list[bytes], id_col: str, label_col: st
     return docs.mapInArrow(run, schema).collect()
 
 
-def _cover(examples: list, n_words: int) -> list[int]:
-    """Sequential covering: the word with the largest ratio among what is left, again and again."""
-    left = {k: set(r.terms) for k, r in enumerate(examples)}
-    kept: list[int] = []
-    while True:
-        pos, neg, have = 0, 0, [Counter(), Counter()]
-        for k, terms in left.items():
-            toxic = examples[k].label == 1
-            pos, neg = pos + toxic, neg + (not toxic)
-            have[toxic].update(terms)
-        found = [(_ratio(have[1][t], have[0][t], pos, neg), -t) for t in range(n_words) if have[1][t] >= LEAST_SHARE * (have[1][t] + have[0][t])]
-        ratio, t = max(found, default=(0.0, 0))
-        if ratio < LEAST_RATIO:
-            return sorted(kept)
-        kept.append(-t)
-        left = {k: terms for k, terms in left.items() if -t not in terms}
-
-
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
     """(words, idf, index, examples' (id, label), score without words), or None without a toxic example."""
     chosen = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).where("__id is not null and __label is not null").orderBy(F.xxhash64("__id"), "__id", "__label").limit(SAMPLE_TEXTS)
@@ -131,31 +153,34 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [sorted(set(words_of(raw))) for raw in _texts(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.binary()))], ["label", "words"])
-
-    found = sample.mapInArrow(words, T.StructType([T.StructField("label", labels.schema[label_col].dataType), T.StructField("words", T.ArrayType(T.BinaryType()))]))
-    by_word = found.select((F.col("label") == 1).cast("int").alias("y"), F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where("a >= 4")
-    share = F.col("a") / F.col("n")
-    # the candidates by a cheap stand-in for the ratio: toxic count times share
-    top = by_word.orderBy(F.desc(F.col("a") * share), "w").limit(CANDIDATES).collect()
-    candidates = sorted(bytes(r.w) for r in top)
-    if not candidates:
+            lists = [words_of(raw) for raw in _texts(batch.column(2))]
+            sets = [sorted({t for w in set(x) for t in _terms(w)}) for x in lists]
+            marks = [min((zlib.crc32(b" ".join(x[k : k + 5])) for k in range(max(1, len(x) - 4))), default=0) for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(marks, pa.int64()), pa.array(sets, pa.list_(pa.binary()))], ["label", "mark", "words"])
+
+    kind = labels.schema[label_col].dataType
+    schema = T.StructType([T.StructField("label", kind), T.StructField("mark", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
+    found = Written(sample.mapInArrow(words, schema).groupBy("label", "mark").agg(F.min("words").alias("words")), "toxic-terms")
+    toxic = (F.col("label") == 1).cast("int")
+    pos, total = found.df.agg(F.sum(toxic), F.count("*")).first()
+    if not pos or pos == total:
         return None
-    examples = sorted(_counts(sample, candidates, "__id", "__label"), key=lambda r: (r.id, r.label, r.terms))
-    kept = _cover(examples, len(candidates))
-    if not kept:
+    by_term = found.df.select(toxic.alias("y"), F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
+    marked = by_term.where((F.col("a") >= 3) & (F.col("a") >= LEAST_SHARE * F.col("n"))).withColumn("ratio", _ratio(F.col("a"), F.col("n"), pos, total))
+    vocabulary = sorted(bytes(r.w) for r in marked.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "w").limit(MOST_TERMS).collect())
+    found.drop()
+    if not vocabulary:
         return None
-    vocabulary, number = [candidates[t] for t in kept], {t: k for k, t in enumerate(kept)}
+    examples = sorted(_counts(sample, vocabulary, "__id", "__label"), key=lambda r: (r.id, r.label, r.terms))
     seen, n_docs = _frequencies(docs, text_col, vocabulary), docs.count()
     idf = [math.log((1 + n_docs) / (1 + int(n))) + 1 for n in seen]
     vectors, known, without = [], [], []
     for r in examples:
-        vector = _unit(Counter({number[t]: c for t, c in zip(r.terms, r.counts, strict=True) if t in number}), idf)
+        vector = _unit(Counter(dict(zip(r.terms, r.counts, strict=True))), idf)
         (known if vector else without).append((r.id, int(r.label == 1)))
         if vector:
             vectors.append(vector)
-    base = (sum(y for _, y in without) + SHRINK * 0.1) / (len(without) + SHRINK)
+    base = (sum(y for _, y in without) + 0.1) / (len(without) + 1)
     return vocabulary, idf, BlockMaxIndex(vectors), known, base
 
 
@@ -171,24 +196,22 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idf, index, known, base = pickle.loads(shared.value)
-        number = {w: k for k, w in enumerate(vocabulary)}
-        keys = frozenset(number)
+        terms = Terms(vocabulary)
         cache: dict[tuple, tuple] = {}
         for batch in batches:
             scores, evidence = [], []
             for raw in _texts(batch.column(1)):
-                words = words_of(raw)
-                if keys.isdisjoint(words):
+                counts = terms.count(raw)
+                if not counts:
                     scores.append(base)
                     evidence.append([])
                     continue
-                counts = Counter(number[w] for w in words if w in keys)
                 at = tuple(sorted(counts.items()))
                 if at not in cache:
                     if len(cache) > 50_000:
                         cache.clear()
                     near = index.search(_unit(counts, idf), NEIGHBOURS)
-                    weights = [1 / (1.05 - c) for c, _ in near]
+                    weights = [1 / (1.02 - c) for c, _ in near]
                     votes = sum(w * known[-e][1] for w, (_, e) in zip(weights, near, strict=True))
                     cache[at] = ((votes + SHRINK * base) / (sum(weights) + SHRINK), [{"example": known[-e][0], "cosine": c} for c, e in near])
                 value, near = cache[at]
