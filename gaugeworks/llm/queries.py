@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, host_rules, language_id, mixing, quality_classifier, secret_scan, simhash, toxicity
+from . import chat_format, decontamination, host_rules, language_id, mixing, quality_classifier, secret_scan, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,5 +51,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_source_mixing, op2_quality_classifier, op3_language_id, op5_toxicity, op6_chat_format, op7_secret_scan, op8_host_rules, op9_simhash, op10_decontamination)
+    found = (op1_source_mixing, op2_quality_classifier, op3_language_id, op4_substring_dedup, op5_toxicity, op6_chat_format, op7_secret_scan, op8_host_rules, op9_simhash, op10_decontamination)
     return {f.__name__: f for f in found}
