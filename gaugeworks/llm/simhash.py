@@ -32,6 +32,8 @@ RADIUS = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BUCKET = 32
 SEED = 42
+#: Rows of one fingerprint from which it counts as hot, and how many such fingerprints there can be.
+LEAST_HOT, HOT = 200, 10_000
 _CHUNK = 1 << 15
 
 
@@ -106,13 +108,19 @@ def links(fps: DataFrame) -> DataFrame:
 
 def group(prints: DataFrame, id_col: str, fp_col: str = "__fp") -> DataFrame:
     """(id, fp) rows with `component`, the least id of all rows whose fingerprint is reachable. Ids may be structs; nulls are ignored."""
-    fps = Written(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first")), "simhash-distinct").df
+    fps = Written(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "simhash-distinct").df
     roots = Written(components(links(fps.select("fp"))), "simhash-roots").df
     rooted = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "root", "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component")).select(F.col("root").alias("r"), "component")
     linked = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component")
-    classes = fps.join(linked, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "first").alias("component"))
-    return prints.join(classes, prints[fp_col] == classes["f"]).drop("f")
+    classes = Written(fps.join(linked, F.col("fp") == F.col("f"), "left").select("fp", "n", F.coalesce("component", "first").alias("component")), "simhash-classes").df
+    # fingerprints of many rows, HOT at most by their least share of all rows, are broadcast; the rows of the others are dealt out evenly
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST_HOT, total // HOT)
+    hot = classes.where(F.col("n") > least).select(F.col("fp").alias("f"), "component")
+    hot_fps = F.broadcast(hot.select(F.col("f").alias("g")))
+    dealt = prints.join(hot_fps, F.col(fp_col) == F.col("g"), "left_anti").join(classes.where(F.col("n") <= least).select(F.col("fp").alias("f"), "component"), F.col(fp_col) == F.col("f"))
+    return dealt.unionByName(prints.join(F.broadcast(hot), F.col(fp_col) == F.col("f"))).drop("f")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
