@@ -1,3 +1,79 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op6_chat_format"] = r"""
+WITH x AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), y AS (
+  SELECT *, regexp_matches(text, '<s>|</s>|\[/?INST\]|<</?SYS>>|<\||[<\[]\\|\\\\') AS esc,
+         length(text) - length(regexp_replace(text, '[<\[\\]', '', 'g')) AS marks,
+         length(role) - length(regexp_replace(role, '[<\[\]\\]', '', 'g')) AS role_marks
+  FROM x
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(11 + length(role) + role_marks + length(text) + CASE WHEN esc THEN marks ELSE 0 END) AS BIGINT) AS formatted_chars,
+       CAST(sum(CAST(esc AS INT)) AS BIGINT) AS n_escaped
+FROM y GROUP BY conv_id
+"""
+
+ORACLE_SQL["op8_host_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT rid, i, list_slice(words, i, i + 4) AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM d)
+), dup AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1
+), cov AS (
+  SELECT rid, count(DISTINCT w) AS n FROM (SELECT rid, i + unnest(range(0, 5)) AS w FROM dup) GROUP BY rid
+), m AS (
+  SELECT d.doc_id, d.source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN cov USING (rid)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), h AS (
+  SELECT source, count(*) AS docs, sum(CAST(base_failed OR 20 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines AS INT)) AS fails FROM f GROUP BY source
+), p AS (
+  SELECT avg(fails / docs) AS m, greatest(var_pop(fails / docs), 1e-6) AS v FROM h
+), s AS (
+  SELECT m, least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) AS k FROM p
+), r AS (
+  SELECT source, (fails + m * k) / (docs + k) AS rate FROM h, s
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+"""
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL["op10_decontamination"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, size, list_slice(words, i, i + size - 1) AS gram
+  FROM (SELECT item, words, least(13, len(words)) AS size, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i FROM b WHERE len(words) > 0)
+), dw AS (
+  SELECT rid, i, size, list_slice(words, i, i + size - 1) AS gram
+  FROM (SELECT rid, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw))
+), hit AS (
+  SELECT rid, i, bw.size AS size, item FROM dw JOIN bw ON dw.size = bw.size AND dw.gram = bw.gram
+), n AS (
+  SELECT rid, count(DISTINCT w) AS n_hit FROM (SELECT rid, i + unnest(range(0, size)) AS w FROM hit) GROUP BY rid
+), t AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
+"""

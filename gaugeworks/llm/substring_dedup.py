@@ -34,8 +34,9 @@ LENGTH = 400
 SPAN = 256
 GRAM = 32
 SIZES = (16, 1)
-#: Positions hashed at once.
-SLAB = 1 << 19
+#: Positions hashed at once, and rows taken from a batch at once: they bound a worker's memory.
+SLAB = 1 << 18
+ROWS = 256
 
 _BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -97,6 +98,12 @@ def _names(text: bytes, pos: int, lo: int, hi: int, length: int, span: int) -> t
     return _signed(core), _signed(cover)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, len(batch), ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -105,11 +112,11 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, length: int, span: int
     """Numbered documents with their size, digest, packed text and anchors."""
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("packed", T.BinaryType()), T.StructField("anchors", T._parse_datatype_string(_ANCHOR))])
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("core", pa.int64()), ("cover", pa.int64())]))
+    fields, kinds = ("pos", "lo", "hi", "core", "cover"), (pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in _slices(batches):
             data, starts, lengths = text_buffer(batch.column(2))
             found: list[list] = [[] for _ in starts]
             view = memoryview(data)
@@ -121,10 +128,12 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, length: int, span: int
                         continue
                     core, cover = _names(texts[k], a, 0, span - 1, length, span)
                     found[k].append((a, x, y, core, cover))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([zstd.compress(t) if f else None for t, f in zip(texts, found, strict=True)], pa.binary()), pa.array([[dict(zip(("pos", "lo", "hi", "core", "cover"), x, strict=True)) for x in f] for f in found], kind)],
-                schema.names,
-            )
+            columns = list(zip(*(x for f in found for x in f), strict=True)) or [()] * 5
+            anchors = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], fields)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
+            packed = [zstd.compress(t) if f else None for t, f in zip(texts, found, strict=True)]
+            digests = [hashlib.sha256(t).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(digests, pa.string()), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(offsets, anchors)], schema.names)
 
     return Written(numbered.mapInArrow(run, schema), "substrings-base")
 
@@ -145,7 +154,7 @@ def _nodes(texts: DataFrame, size: int, length: int, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[tuple] = []
             for rid, packed, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = zstd.decompress(packed)
@@ -206,7 +215,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             removed, spans, digests, lists = [], [], [], []
             for n, sha, packed, runs in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 if runs is None:
