@@ -69,7 +69,7 @@ def ccp_token(alternatives: Column, relations: Column) -> Column:
 
 
 def claim_pmi(ll: Column, lm: Column, ids: Column) -> Column:
-    return A.total(A.gather(pmi_terms(ll, lm), ids))
+    return A.total(F.transform(ids, lambda i: -(F.get(ll, i) - F.when(i > 0, F.get(lm, i)).otherwise(0.0))))
 
 
 def hash_uniform(a: Column, b: Column) -> Column:

@@ -1,8 +1,8 @@
 """Ranks and running sums over a global order, without one task for all rows.
 
-Rows are dealt out by range of (group, order), so that each partition holds a stretch of the order. Running values within a stretch come
-from a window over the stretch; what lies before it comes from the table of stretches, one row for each group and partition, whose size is
-bounded by groups times partitions. That table is small, but joined without a hint: adaptive execution decides on its measured size.
+Rows are dealt out into stretches of the order by approximate quantiles of its first column, which are computed first and are then constants
+of the plan, so that every branch and every retried task cuts alike. Running values within a stretch come from a window over the stretch;
+what lies before it comes from the table of stretches, one row for each group and stretch, whose size is bounded by groups times stretches. That table is small, but joined without a hint: adaptive execution decides on its measured size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,11 @@ def with_running(df: DataFrame, group: list[str], order: list[str], sums: dict[s
     """`df` with `rank` (from 1, by the ascending `order`, which must be unique in a group), `n` rows of the group, and running sums."""
     sums = sums or {}
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *group, *order).withColumn("__part", F.spark_partition_id())
+    cuts = df.agg(F.percentile_approx(order[0], [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    # the number of cuts below a value; cuts are n - 1 constants at most
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
+    dealt = df.withColumn("__part", part)
     for k, c in sums.items():
         dealt = dealt.withColumn(f"__v_{k}", c)
     local = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
