@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_estimators, q_evaluate  # noqa: F401
+from . import q_estimators, q_etl, q_evaluate  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
