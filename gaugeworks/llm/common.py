@@ -36,10 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Written:
-    """A DataFrame cut from its lineage by a Parquet table in the shared folder. drop() removes the files."""
+    """A DataFrame cut from its lineage by a Parquet table in the shared folder. drop() removes the files.
 
-    def __init__(self, df: DataFrame, label: str):
+    slim: rows are far smaller than what they were computed from, so they are gathered into files of the advisory size first.
+    """
+
+    def __init__(self, df: DataFrame, label: str, slim: bool = False):
         self.spark = df.sparkSession
+        if slim:
+            df = df.hint("rebalance")
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)

@@ -73,7 +73,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """Per document: its measures, whether it fails by itself, its host's shrunk failure rate, and whether it is kept."""
     failed = (F.col("__n") < LEAST_WORDS) | (100 * F.col("__repeat") > MOST_REPEATED * F.col("__n"))
     soft = failed | (20 * F.col("__symbols") > F.col("__chars")) | (2 * F.col("__dup") > F.col("__n_lines"))
-    rows = Written(measure(docs, id_col, text_col, host_col).withColumn("__failed", failed).withColumn("__soft", soft), "host-rules").df
+    rows = Written(measure(docs, id_col, text_col, host_col).withColumn("__failed", failed).withColumn("__soft", soft), "host-rules", slim=True).df
     hosts = rows.groupBy("__host").agg(F.count("*").alias("__docs"), F.sum(F.col("__soft").cast("long")).alias("__fails"))
     hosts = Written(hosts, "host-rules-hosts").df
     rate = F.col("__fails") / F.col("__docs")

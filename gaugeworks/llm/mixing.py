@@ -91,7 +91,7 @@ def _reduce_blocks(rows: DataFrame, level: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per document: id, its size in words, its source's size and target, copies and words taken."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    slim = Written(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(source_col).alias("__source"), size.alias("__size")), "mix-sizes")
+    slim = Written(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(source_col).alias("__source"), size.alias("__size")), "mix-sizes", slim=True)
     # rows of one id must not fall into one block, however often it repeats; the number of a row in its written part tells them apart
     rows = slim.df.withColumn("__row", F.monotonically_increasing_id())
     sources = Written(source_targets(slim.df), "mix-sources").df

@@ -124,7 +124,7 @@ def group(prints: DataFrame, id_col: str, fp_col: str = "__fp") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    prints = Written(fingerprints(docs.select(id_col, text_col), text_col, shingle), "simhash-prints").df
+    prints = Written(fingerprints(docs.select(id_col, text_col), text_col, shingle), "simhash-prints", slim=True).df
     return group(prints, id_col).select(id_col, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -132,7 +132,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One row of each group of near copies, the one with the least id, with the columns of `docs`; ties and null ids go by a text hash."""
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("__who")
-    prints = Written(fingerprints(docs.select(who, text_col), text_col, shingle), "simhash-prints").df
+    prints = Written(fingerprints(docs.select(who, text_col), text_col, shingle), "simhash-prints", slim=True).df
     keepers = group(prints, "__who").select(F.col("component.k").alias("__keep")).distinct()
     keyed = docs.withColumn("__key", key)
     return keyed.join(keepers, keyed["__key"] == keepers["__keep"], "left_semi").dropDuplicates(["__key"]).drop("__key")
