@@ -99,13 +99,18 @@ def step_complete(text: Column, tokens: Column, most_tokens: int) -> Column:
     return has_answer(text) | (count_of(text, STEP_MARKER) >= 2) | (F.coalesce(tokens, F.lit(0)) >= most_tokens)
 
 
+def _spots_of(text: Column, mark: str) -> Column:
+    """Positions of a marker in a text, as structs (p, m)."""
+    parts = F.split(text, re.escape(mark))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p) + len(mark)).cast("int").alias("at"), F.concat(s["all"], F.array((s["at"] + F.length(p)).cast("int"))).alias("all"))
+    ends = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step)["all"]
+    return F.transform(ends, lambda p: F.struct(p.alias("p"), F.lit(mark).alias("m")))
+
+
 def trajectory_complete(text: Column) -> Column:
     """Whether the second marker of steps or answers, by position, is one of an answer. A longer marker counts at its own start."""
-    spots = []
-    for mark in (STEP_MARKER, *ANSWER_MARKERS):
-        parts = F.split(text, re.escape(mark))
-        ends = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, p, mark=mark: F.struct((s["at"] + F.length(p) + len(mark)).cast("int").alias("at"), F.concat(s["all"], F.array((s["at"] + F.length(p)).cast("int"))).alias("all")))["all"]
-        spots.append(F.transform(ends, lambda p, mark=mark: F.struct(p.alias("p"), F.lit(mark).alias("m"))))
+    spots = [_spots_of(text, mark) for mark in (STEP_MARKER, *ANSWER_MARKERS)]
     second = F.get(F.sort_array(F.concat(*spots)), F.lit(1))["m"]
     return F.coalesce(second != STEP_MARKER, F.lit(False))
 
