@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_estimators, q_etl, q_evaluate, q_select, q_text  # noqa: F401
+from . import q_estimators, q_etl, q_evaluate, q_select, q_similarity, q_text  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
