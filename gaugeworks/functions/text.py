@@ -49,7 +49,7 @@ def facts_answer(yes: Column, facts: Column) -> Column:
 
 def number(text: Column) -> Column:
     """As a double; null if it is not one."""
-    return F.expr("1") * F.when(text.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"), F.trim(text)).try_cast("double")
+    return F.when(text.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"), F.trim(text)).try_cast("double")
 
 
 def last_number(text: Column) -> Column:
