@@ -131,8 +131,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of near copies, the one with the least id, with the columns of `docs`; ties and null ids go by a text hash."""
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
-    who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("__who")
+    who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("__gw_who")
     prints = Written(fingerprints(docs.select(who, text_col), text_col, shingle), "simhash-prints", slim=True).df
-    keepers = group(prints, "__who").select(F.col("component.k").alias("__keep")).distinct()
-    keyed = docs.withColumn("__key", key)
-    return keyed.join(keepers, keyed["__key"] == keepers["__keep"], "left_semi").dropDuplicates(["__key"]).drop("__key")
+    keepers = group(prints, "__gw_who").select(F.col("component.k").alias("__gw_keep")).distinct()
+    keyed = docs.withColumn("__gw_key", key)
+    return keyed.join(keepers, keyed["__gw_key"] == keepers["__gw_keep"], "left_semi").dropDuplicates(["__gw_key"]).drop("__gw_key")
