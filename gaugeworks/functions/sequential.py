@@ -163,3 +163,33 @@ def text_list_udf(function):
         return text.map(function)
 
     return apply
+
+
+def focus(base: list[float], attention: list[list[float]], keyword: list[bool], gamma: float = 0.9) -> float | None:
+    """Mean over the keyword tokens of their own score and, scaled by gamma, the scores of the earlier ones they attend to."""
+    scores: list[float] = []
+    for k, own in enumerate(base):
+        before = [j for j in range(k) if keyword[j]]
+        weight = sum(attention[k][j] for j in before)
+        scores.append(own + (gamma * sum(attention[k][j] * scores[j] for j in before) / weight if weight else 0.0))
+    kept = [s for s, use in zip(scores, keyword, strict=True) if use]
+    return sum(kept) / len(kept) if kept else None
+
+
+def smart_l(scores: list[list[float]]) -> float:
+    """Soft longest common subsequence of sentences, by their match scores (premise times hypothesis), over the premise's length."""
+    row = [0.0] * (len(scores[0]) + 1) if scores else []
+    for line in scores:
+        above, row = row, [0.0]
+        for k, m in enumerate(line, 1):
+            row.append(max(above[k - 1] + m, above[k] + m, row[k - 1]))
+    return row[-1] / len(scores) if scores else 0.0
+
+
+def smart_n(scores: list[list[float]]) -> float:
+    """F-measure of the mean best match of the hypothesis's sentences and of the premise's."""
+    if not scores or not scores[0]:
+        return 0.0
+    precision = sum(max(line[k] for line in scores) for k in range(len(scores[0]))) / len(scores[0])
+    recall = sum(max(line) for line in scores) / len(scores)
+    return 2 * precision * recall / (precision + recall) if precision + recall else 0.0

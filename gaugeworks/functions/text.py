@@ -208,3 +208,21 @@ def word_jaccard(a: Column, b: Column) -> Column:
 def model_kind(name: Column) -> Column:
     low = F.lower(name)
     return F.when(low.contains("validity"), "ReasonEval validity").when(low.contains("redundancy"), "ReasonEval redundancy").when(low.contains("reasoneval"), "ReasonEval both").when(low.contains("prm"), "PRM").when(low.contains("uhead"), "UHead").otherwise("unknown")
+
+
+# What a fact check answers in English, Chinese and Arabic.
+TRUE_WORDS = ("True", "是", "真", "نعم")
+FALSE_WORDS = ("False", "否", "假", "لا")
+
+
+def fact_check(reply: Column) -> Column:
+    """0 if a reply calls the claim true, 1 if false, null otherwise; true wins where both occur."""
+    some = lambda words: F.lit(False) if not words else reply.contains(words[0]) | some(words[1:])
+    return F.when(some(TRUE_WORDS), 0.0).when(some(FALSE_WORDS), 1.0)
+
+
+def chunks(text: Column, size: int) -> Column:
+    """A text's words in pieces of `size`; `text` should be a column."""
+    w = words(text)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size)), lambda k: k < F.size(w))
+    return F.transform(starts, lambda k: F.array_join(F.slice(w, k + 1, F.lit(size)), " "))

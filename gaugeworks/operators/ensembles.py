@@ -29,3 +29,10 @@ def sequence_measures(rows: DataFrame) -> DataFrame:
         F.sum(F.exp("p") * A.mean(F.col("gap"))).alias("r"),
         F.sum(F.exp("p") * A.total(F.transform("gap", F.abs)) / 4).alias("q"),
     ).select("obs", (-F.col("t") / F.col("z")).alias("tu"), (F.col("r") / F.col("z")).alias("rmi"), (F.col("q") / F.col("z")).alias("rmiabs"))
+
+
+def beam_weighted(tokens: DataFrame, beams: DataFrame, measure: str, equal: bool = False) -> DataFrame:
+    """Per obs, the beams' token measures weighted by their probabilities (obs, token_idx, p), or equally."""
+    rows = tokens.join(beams, ["obs", "token_idx"])
+    w = F.lit(1.0) if equal else F.exp("p")
+    return rows.groupBy("obs").agg((F.sum(w * F.col(measure)) / F.sum(w)).alias("value"))

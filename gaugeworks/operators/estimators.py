@@ -95,3 +95,35 @@ def reduce_claim(logits: Column, kind: str) -> Column:
     p = F.transform(logits, A.sigmoid)
     forms = {"mean_logits": lambda: A.mean(logits), "mean": lambda: A.mean(p), "prod_geom": lambda: A.product(p), "mean_geom": lambda: F.try_divide(A.product(p), F.size(p)), "max": lambda: F.array_max(p), "min": lambda: F.array_min(p)}
     return forms[kind]()
+
+
+def softmax_pair(positive: Column, negative: Column) -> Column:
+    """Probability of the first of two logits."""
+    return A.sigmoid(positive - negative)
+
+
+def flagged(values: Column, flags: Column) -> Column:
+    """The values whose flag is set, through a sigmoid: rewards at the ends of steps."""
+    return F.transform(F.filter(F.zip_with(values, flags, lambda v, f: F.when(f, v)), lambda v: v.isNotNull()), A.sigmoid)
+
+
+def majority_mean(votes: Column) -> Column:
+    """Share of the votes that say yes; null without votes."""
+    return F.try_divide(F.size(F.filter(votes, lambda v: v == 1)), F.size(votes))
+
+
+def validity_and_redundancy(logits: Column) -> Column:
+    """struct<validity, redundancy> of three logits: wrong, redundant, useful."""
+    p = A.log_softmax(logits)
+    at = lambda k: F.exp(F.get(p, F.lit(k)))
+    return F.struct((at(1) + at(2)).alias("validity"), at(1).alias("redundancy"))
+
+
+def length_penalised(logprob: Column, length: Column, alpha: float) -> Column:
+    return F.try_divide(logprob, F.pow(length.cast("double"), F.lit(alpha)))
+
+
+def shifted(ids: Column, special: Column, context: int) -> Column:
+    """Token positions counted without special tokens, behind a context; special ones are dropped."""
+    plain = F.filter(ids, lambda i: ~F.get(special, i))
+    return F.transform(plain, lambda i: context + i - F.size(F.filter(F.slice(special, F.lit(1), i), lambda s: s)))
