@@ -55,6 +55,25 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one key from which it counts as hot, and how many hot keys there can be at most: their table is broadcast.
+LEAST_HOT, HOT = 200, 10_000
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, columns: list[str], count: str = "n") -> DataFrame:
+    """`rows` whose columns are among `keys`, a written table with the number of rows of each key.
+
+    A key that holds more than its share of all rows, 1 / HOT, is looked up by broadcast where its rows are; the others meet by a shuffle.
+    """
+    named = keys.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(columns)), F.col(count).alias("__n"))
+    least = max(LEAST_HOT, (keys.agg(F.sum(count)).first()[0] or 0) // HOT)
+    on = F.lit(True)
+    for i, c in enumerate(columns):
+        on = on & (F.col(c) == F.col(f"__k{i}"))
+    hot = F.broadcast(named.where(F.col("__n") > least))
+    dealt = rows.join(hot, on, "left_anti").join(named.where(F.col("__n") <= least), on, "left_semi")
+    return dealt.unionByName(rows.join(hot, on, "left_semi"))
+
+
 def bucket_of(id_col: str, modulus: int):
     """crc32 of the id as text, mod `modulus`; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

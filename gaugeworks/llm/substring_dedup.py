@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, text_buffer
+from .common import Written, semi_join, text_buffer
 
 LENGTH = 400
 SPAN = 256
@@ -141,8 +141,7 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, length: int, span: int
 def _settle(rows: DataFrame, size: int, length: int) -> tuple[DataFrame, DataFrame]:
     """Rows (rid, pos, nlo, lo, hi, core, cover) of nodes of `size` offsets to repeated runs (rid, start, end) and the nodes to look into."""
     covers = Written(rows.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "nlo", "lo", "hi")).alias("w")), "substrings-names").df
-    twice = covers.where("n > 1").select(F.col("core").alias("c1"), F.col("cover").alias("c2"))
-    hit = rows.join(twice, (F.col("core") == F.col("c1")) & (F.col("cover") == F.col("c2")), "left_semi")
+    hit = semi_join(rows, covers.where("n > 1"), ["core", "cover"])
     runs = hit.select("rid", F.greatest(F.lit(0), F.col("pos") - F.col("nlo") - (size - 1)).alias("start"), (F.col("pos") - F.col("nlo") + length).alias("end"))
     cores = covers.groupBy("core").agg(F.sum("n").alias("all"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("all > 1 and single > 0").select(F.col("core").alias("c"))
     return runs, covers.join(cores, F.col("core") == F.col("c"), "left_semi").select("w.*")
@@ -178,8 +177,8 @@ def _nodes(texts: DataFrame, size: int, length: int, span: int) -> DataFrame:
 def repeated_runs(base: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
     """(rid, runs): runs of bytes, as start and end, that repeated strings cover; overlapping, clipped to the text by the caller."""
     anchors = base.select("rid", F.explode("anchors").alias("x")).select("rid", "x.*")
-    common = anchors.groupBy("core").count().where("count > 1").select(F.col("core").alias("c"))
-    rows = Written(anchors.join(common, F.col("core") == F.col("c"), "left_semi").select("rid", "pos", F.lit(0).alias("nlo"), F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "core", "cover"), "substrings-common").df
+    common = Written(anchors.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "substrings-cores").df
+    rows = Written(semi_join(anchors, common, ["core"]).select("rid", "pos", F.lit(0).alias("nlo"), F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "core", "cover"), "substrings-common").df
     runs, open_nodes = _settle(rows, span, length)
     runs = [runs]
     for size in SIZES:
