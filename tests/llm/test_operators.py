@@ -370,3 +370,36 @@ def test_same_result_whatever_the_partitions(spark, odd):
     few, many = (Counter(map(tuple, host_rules.judge(d).select("doc_id", "kept", "n_repeat_words").collect())) for d in (odd.coalesce(1), odd.repartition(9)))
     assert few == many
     assert F is not None
+
+
+def test_keep_one_finds_near_copies_and_keeps_clean_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [[rng.choice(vocabulary) for _ in range(300)] for _ in range(40)]
+    texts = [" ".join(b) for b in base]
+    for k in range(0, 40, 2):
+        for _ in range(4):
+            words = list(base[k])
+            words[rng.randrange(300)] = "edited"
+            texts.append(" ".join(words))
+    for crowd in (simhash.CROWD, 2):  # buckets whole, and in blocks
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        kept = {r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()}
+        assert set(range(40)) <= kept and len(kept) <= 42
+
+
+def test_wide_links_are_similar():
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(500)}" for _ in range(400)]
+
+    def similarity(edits):
+        other = list(words)
+        for k in rng.sample(range(0, 400, 7), edits):
+            other[k] = "x"
+        a, b = ({tuple(w[k : k + 5]) for k in range(396)} for w in (words, other))
+        d = sum((x ^ y).bit_count() for x, y in zip(simhash.wide_fingerprint(" ".join(words).encode()), simhash.wide_fingerprint(" ".join(other).encode())))
+        return len(a & b) / len(a | b), d
+
+    for edits in (1, 2, 40, 50):
+        j, d = similarity(edits)
+        assert (d <= simhash.WIDE_RADIUS) == (j >= 0.8), (j, d)
