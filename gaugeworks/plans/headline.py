@@ -20,7 +20,7 @@ _R = "r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ue, unit) AS
 @query("flagship", _U + _R + "SELECT lang, 'prr' AS ue_metric, round(avg(s / k), 6) AS value FROM r GROUP BY lang UNION ALL SELECT lang, 'rcc-auc', round(avg((k - s) / k), 6) FROM r GROUP BY lang UNION ALL SELECT lang, 'roc-auc', round((sum(mr * (1 - y)) - sum(1 - y) * (sum(1 - y) + 1) / 2) / (sum(1 - y) * sum(y)), 6) FROM r GROUP BY lang")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of the labelled documents against their quality, in each language: rejection, risk-coverage and ROC area."""
-    scores = S.sequences(spark, sf_dir).select("doc_id", "lang", estimators.perplexity(F.col("ll")).alias("ue"))
+    scores = S.sequences(spark, sf_dir, ("ll",)).select("doc_id", "lang", estimators.perplexity(F.col("ll")).alias("ue"))
     labels = S.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("target"))
     rows = scores.join(labels, "doc_id").select(F.col("doc_id").alias("unit"), "lang", "ue", "target")
     # three metrics read these few columns several times each

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -11,8 +13,13 @@ from . import oracle_ctes as C
 from .catalog import query, rounded
 
 
+def _fields(sql: str) -> tuple[str, ...]:
+    """The token fields that a formula reads."""
+    return tuple(f for f in ("ll", "lm", "ent") if re.search(rf"\b{f}\b", sql))
+
+
 def _per_document(name: str, expression, sql: str) -> None:
-    query(name, f"WITH {C.TOK} SELECT doc_id, round({sql}, 6) AS value FROM tok GROUP BY doc_id, n")(lambda spark, sf: rounded(S.sequences(spark, sf).select("doc_id", expression().alias("value")), "value"))
+    query(name, f"WITH {C.TOK} SELECT doc_id, round({sql}, 6) AS value FROM tok GROUP BY doc_id, n")(lambda spark, sf: rounded(S.sequences(spark, sf, _fields(sql)).select("doc_id", expression().alias("value")), "value"))
 
 
 _per_document("max_seq_prob", lambda: estimators.max_sequence_probability(F.col("ll")), "-sum(ll)")
@@ -25,7 +32,7 @@ _per_document("model_score_seq", lambda: estimators.model_score(F.col("lm")), "a
 
 
 def _per_token(name: str, expression, sql: str) -> None:
-    query(name, f"WITH {C.TOK} SELECT doc_id, pos, round({sql}, 6) AS value FROM tok WHERE pos < n - 1")(lambda spark, sf: rounded(S.sequences(spark, sf).select("doc_id", F.posexplode(A.drop_last(expression())).alias("pos", "value")), "value"))
+    query(name, f"WITH {C.TOK} SELECT doc_id, pos, round({sql}, 6) AS value FROM tok WHERE pos < n - 1")(lambda spark, sf: rounded(S.sequences(spark, sf, _fields(sql)).select("doc_id", F.posexplode(A.drop_last(expression())).alias("pos", "value")), "value"))
 
 
 _per_token("token_max_prob", lambda: F.transform("ll", lambda x: -F.exp(x)), "-exp(ll)")
@@ -122,7 +129,7 @@ def nli_combine(spark, sf):
 
 def _per_claim(name: str, expression, sql: str) -> None:
     query(name, f"WITH {C.TOK}, {C.CLAIM} SELECT c.doc_id, claim_idx, round({sql}, 6) AS value FROM claim c JOIN tok t ON c.doc_id = t.doc_id AND t.pos BETWEEN c.first AND c.first + c.n - 1 GROUP BY c.doc_id, claim_idx")(
-        lambda spark, sf: rounded(S.claim_arrays(spark, sf).select("doc_id", "claim_idx", expression().alias("value")), "value")
+        lambda spark, sf: rounded(S.claim_arrays(spark, sf, _fields(sql)).select("doc_id", "claim_idx", expression().alias("value")), "value")
     )
 
 

@@ -26,10 +26,10 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(model, ["lang", "tok"]).withColumn("ent", -F.col("ll") * F.exp("ll"))
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: arrays ll, lm, ent in order of words."""
-    rows = tokens(spark, sf_dir).groupBy("doc_id", "lang").agg(F.sort_array(F.collect_list(F.struct("pos", "ll", "lm", "ent"))).alias("t"))
-    return rows.select("doc_id", "lang", F.col("t.ll").alias("ll"), F.col("t.lm").alias("lm"), F.col("t.ent").alias("ent"))
+def sequences(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("ll", "lm", "ent")) -> DataFrame:
+    """One row per document: arrays of the named fields in order of words. Only these are shuffled."""
+    rows = tokens(spark, sf_dir).groupBy("doc_id", "lang").agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("t"))
+    return rows.select("doc_id", "lang", *(F.col(f"t.{f}").alias(f) for f in fields))
 
 
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,9 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "claim_idx", "text", F.sequence("first", F.col("first") + F.col("n") - 1).alias("ids"), label.alias("verified"))
 
 
-def claim_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims next to their document's ll, lm and ent."""
-    return claims(spark, sf_dir).join(sequences(spark, sf_dir), "doc_id")
+def claim_arrays(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("ll", "lm", "ent")) -> DataFrame:
+    """Claims next to their document's arrays."""
+    return claims(spark, sf_dir).join(sequences(spark, sf_dir, fields), "doc_id")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
