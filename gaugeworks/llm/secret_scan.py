@@ -117,7 +117,8 @@ def _scan_batch(column: pa.Array, zstd: zstandard.ZstdCompressor) -> Iterator[li
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, counts of the base kinds, digest of the base spans, all spans, number of novel spans."""
+    """Per document: id, counts of the base kinds, digest of the base spans, all spans, number of novel spans, and of each span its
+    marginal compressed bytes per byte."""
     docs = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,18 +126,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
-            digests, spans = [], []
-            for found in _scan_batch(batch.column(1), zstd):
+            digests, spans, novelty = [], [], []
+            for row, found in enumerate(_scan_batch(batch.column(1), zstd)):
+                text = batch.column(1)[row].as_py() if found else ""
+                novelty.append([round(marginal_bytes(zstd, text[max(0, s - CONTEXT) : s], text[s:e], text[e : e + CONTEXT]) / (e - s), 3) for s, _, e in found])
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in found))
                 base = [x for x in found if x[1] < 3]
                 digests.append(hashlib.sha256(_join(base).encode()).hexdigest() if base else nothing)
                 spans.append(_join(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts[:3]), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(counts[3], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts[:3]), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(counts[3], pa.int64()), pa.array(novelty, pa.list_(pa.float64()))], names)
 
-    names = [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"]
+    names = [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel", "novelty"]
     long, text = T.LongType(), T.StringType()
-    kinds = [docs.schema[id_col].dataType, long, long, long, text, text, long]
+    kinds = [docs.schema[id_col].dataType, long, long, long, text, text, long, T.ArrayType(T.DoubleType())]
     return docs.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
