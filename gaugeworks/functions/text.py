@@ -207,7 +207,7 @@ def word_jaccard(a: Column, b: Column) -> Column:
 
 def model_kind(name: Column) -> Column:
     low = F.lower(name)
-    return F.when(low.contains("validity"), "ReasonEval validity").when(low.contains("redundancy"), "ReasonEval redundancy").when(low.contains("reasoneval"), "ReasonEval both").when(low.contains("prm"), "PRM").when(low.contains("uhead"), "UHead").otherwise("unknown")
+    return F.when(low.contains("validity"), "validity").when(low.contains("redundancy"), "redundancy").when(low.contains("both"), "validity and redundancy").when(low.contains("reward"), "process reward").when(low.contains("head"), "learned head").otherwise("unknown")
 
 
 # What a fact check answers in English, Chinese and Arabic.

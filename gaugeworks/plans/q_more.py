@@ -15,12 +15,12 @@ from . import oracle_ctes as C
 from .catalog import query, rounded
 
 
-@query("result_glob", "SELECT CASE user_id % 3 WHEN 0 THEN 'PRM' WHEN 1 THEN 'ReasonEval validity' ELSE 'UHead' END AS kind, count(*) AS n FROM events GROUP BY user_id % 3")
+@query("result_glob", "SELECT CASE user_id % 3 WHEN 0 THEN 'process reward' WHEN 1 THEN 'validity' ELSE 'learned head' END AS kind, count(*) AS n FROM events GROUP BY user_id % 3")
 def result_glob(spark, sf):
     """Result files of several runs, read by one pattern; the kind of model is in the file's folder."""
     path = io.scratch(spark, "results")
     e = S.table(spark, sf, "events").select("event_id", "user_id")
-    for k, name in enumerate(("run_prm", "run_reasoneval_validity", "run_uhead")):
+    for k, name in enumerate(("run_reward", "run_validity", "run_head")):
         e.where(F.col("user_id") % 3 == k).write.json(f"{path}/{name}")
     rows = spark.read.json(f"{path}/*").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("name"))
     return rows.groupBy(X.model_kind(F.col("name")).alias("kind")).agg(F.count("*").alias("n"))
@@ -103,8 +103,8 @@ query("majority_mean", "SELECT l_orderkey, round(avg(CASE WHEN l_returnflag = 'R
 )
 
 
-@query("reasoneval_scores", f"WITH {C.DIST}, z AS (SELECT vec_id, e[1] AS a, e[2] AS b, e[3] AS c FROM demb) SELECT vec_id, round((exp(b) + exp(c)) / (exp(a) + exp(b) + exp(c)), 6) AS validity, round(exp(b) / (exp(a) + exp(b) + exp(c)), 6) AS redundancy FROM z")
-def reasoneval_scores(spark, sf):
+@query("evaluator_scores", f"WITH {C.DIST}, z AS (SELECT vec_id, e[1] AS a, e[2] AS b, e[3] AS c FROM demb) SELECT vec_id, round((exp(b) + exp(c)) / (exp(a) + exp(b) + exp(c)), 6) AS validity, round(exp(b) / (exp(a) + exp(b) + exp(c)), 6) AS redundancy FROM z")
+def evaluator_scores(spark, sf):
     e = S.table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("z"))
     return rounded(e.select("vec_id", estimators.validity_and_redundancy(F.col("z")).alias("r")).select("vec_id", "r.validity", "r.redundancy"), "validity", "redundancy")
 

@@ -67,16 +67,16 @@ _fold("online_bon_reward", lambda: F.col("score"), "score", False)
 _fold("online_bon_validity_redundancy", lambda: F.col("score") - F.length("text") / 50, "score - length(event_type) / 50", False)
 
 
-@query("stepwise_scores", f"WITH {C.REW} SELECT doc_id, claim_idx, round(1 - reward, 6) AS prm, round(redundancy - validity, 6) AS reasoneval, round(1 - validity + 0, 6) AS validity_ue, round(redundancy - validity + 0.5, 6) AS both_ue FROM rew")
+@query("stepwise_scores", f"WITH {C.REW} SELECT doc_id, claim_idx, round(1 - reward, 6) AS prm, round(redundancy - validity, 6) AS evaluator, round(1 - validity + 0, 6) AS validity_ue, round(redundancy - validity + 0.5, 6) AS both_ue FROM rew")
 def stepwise_scores(spark, sf):
     r = S.step_rewards(spark, sf)
-    return rounded(r.select("doc_id", "claim_idx", (1 - F.col("reward")).alias("prm"), (F.col("redundancy") - F.col("validity")).alias("reasoneval"), (1 - F.col("validity")).alias("validity_ue"), (F.col("redundancy") - F.col("validity") + 0.5).alias("both_ue")), "prm", "reasoneval", "validity_ue", "both_ue")
+    return rounded(r.select("doc_id", "claim_idx", (1 - F.col("reward")).alias("prm"), (F.col("redundancy") - F.col("validity")).alias("evaluator"), (1 - F.col("validity")).alias("validity_ue"), (F.col("redundancy") - F.col("validity") + 0.5).alias("both_ue")), "prm", "evaluator", "validity_ue", "both_ue")
 
 
-@query("scorer_signs", f"WITH {C.REW} SELECT doc_id, round(avg(-reward), 6) AS prm, round(avg(redundancy - validity), 6) AS reasoneval, round(avg(redundancy), 6) AS redundancy, round(avg(-validity), 6) AS validity FROM rew GROUP BY doc_id")
+@query("scorer_signs", f"WITH {C.REW} SELECT doc_id, round(avg(-reward), 6) AS prm, round(avg(redundancy - validity), 6) AS evaluator, round(avg(redundancy), 6) AS redundancy, round(avg(-validity), 6) AS validity FROM rew GROUP BY doc_id")
 def scorer_signs(spark, sf):
-    r = S.step_rewards(spark, sf).groupBy("doc_id").agg(F.avg(-F.col("reward")).alias("prm"), F.avg(F.col("redundancy") - F.col("validity")).alias("reasoneval"), F.avg("redundancy").alias("redundancy"), F.avg(-F.col("validity")).alias("validity"))
-    return rounded(r, "prm", "reasoneval", "redundancy", "validity")
+    r = S.step_rewards(spark, sf).groupBy("doc_id").agg(F.avg(-F.col("reward")).alias("prm"), F.avg(F.col("redundancy") - F.col("validity")).alias("evaluator"), F.avg("redundancy").alias("redundancy"), F.avg(-F.col("validity")).alias("validity"))
+    return rounded(r, "prm", "evaluator", "redundancy", "validity")
 
 
 @query("bon_update", f"WITH {C.CAND} SELECT question_id, cand_idx, map_from_entries([('discount', discount), ('tax', tax)])['tax'] AS old_score, round(discount * 2, 6) AS new_score FROM cand")

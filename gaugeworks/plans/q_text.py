@@ -49,7 +49,7 @@ _text("normalize_text", lambda: X.normalize(F.col("q")), r"regexp_replace(lower(
 _text("grade_parse", lambda: X.grade(F.concat(F.lit("<Grade>: "), F.when(F.col("doc_id") % 3 == 0, "Correct").when(F.col("doc_id") % 3 == 1, "Incorrect").otherwise("unsure"))), "CASE doc_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 END")
 _text("reply_binary", lambda: X.binary_reply(F.col("n_chars").cast("string")), "CASE WHEN contains(CAST(n_chars AS VARCHAR), '1') AND contains(CAST(n_chars AS VARCHAR), '0') THEN NULL WHEN contains(CAST(n_chars AS VARCHAR), '1') THEN 1.0 WHEN contains(CAST(n_chars AS VARCHAR), '0') THEN 0.0 END")
 _text("accuracy", lambda: (F.trim("q") == F.trim("lang")).cast("int"), "CAST(trim(q) = trim(lang) AS INT)")
-_text("model_kind", lambda: X.model_kind(F.when(F.col("doc_id") % 3 == 0, "run_PRM.json").when(F.col("doc_id") % 3 == 1, "reasoneval_validity.json").otherwise("uhead_x.json")), "CASE doc_id % 3 WHEN 0 THEN 'PRM' WHEN 1 THEN 'ReasonEval validity' ELSE 'UHead' END")
+_text("model_kind", lambda: X.model_kind(F.when(F.col("doc_id") % 3 == 0, "run_Reward.json").when(F.col("doc_id") % 3 == 1, "judge_validity.json").otherwise("head_x.json")), "CASE doc_id % 3 WHEN 0 THEN 'process reward' WHEN 1 THEN 'validity' ELSE 'learned head' END")
 _text("reply_list_parse", lambda: X.label_list(F.when(F.col("doc_id") % 4 == 0, "All steps are correct").when(F.col("doc_id") % 4 == 1, F.concat(F.lit("```python\n[1, 0, "), F.col("n_chars").cast("string"), F.lit("]\n```"))).when(F.col("doc_id") % 4 == 2, "[0, 1]").otherwise("unclear")), "CASE doc_id % 4 WHEN 0 THEN [] WHEN 1 THEN [1, 0, n_chars] WHEN 2 THEN [0, 1] END")
 _text("reply_json_labels", lambda: X.json_labels(F.when(F.col("doc_id") % 3 == 0, '{"correctness": [1, 0, 1]}').when(F.col("doc_id") % 3 == 1, '{"correctness": [0, 0]}').otherwise("broken"), F.lit(3)), "CASE doc_id % 3 WHEN 0 THEN [0.0, 1.0, 0.0] WHEN 1 THEN [1.0, 1.0, NULL] ELSE [NULL, NULL, NULL] END")
 _text("bullet_claims", lambda: X.bullet_claims(F.concat(F.lit("- "), F.col("q"), F.lit("\nnote\n- There aren't any claims.\n- x"))), "[trim(q), 'x']")
