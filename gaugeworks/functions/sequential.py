@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .stemmer import stem
+
 #: Abbreviations whose dot ends no sentence, and the shortest sentence that stands alone.
 ABBREVIATIONS = frozenset(("e.g", "i.e", "mr", "mrs", "ms", "dr", "prof", "vs", "no", "etc"))
 SHORTEST = 20
@@ -137,12 +140,48 @@ def bleu(hypothesis: list[str], reference: list[str], weights: tuple[float, ...]
     return math.exp(penalty + logs / used)
 
 
+def overlap_words(text: str) -> list[str]:
+    """Lower-cased runs of letters a-z and digits; those of more than three characters are stemmed."""
+    return [stem(w) if len(w) > 3 else w for w in re.findall(r"[a-z0-9]+", (text or "").lower())]
+
+
+def translation_words(text: str) -> list[str]:
+    """Lower-cased words with punctuation apart, but for points and commas inside numbers and hyphens behind letters."""
+    text = re.sub(r"([{-~\[-` -&(-+:-@/])", r" \1 ", (text or "").lower())
+    text = re.sub(r"([^0-9])([.,])", r"\1 \2 ", text)
+    text = re.sub(r"([.,])([^0-9])", r" \1 \2", text)
+    return re.sub(r"([0-9])(-)", r"\1 \2 ", text).split()
+
+
+def sentence_bleu(hypothesis: str, reference: str) -> float:
+    """BLEU of one sentence, 0 to 100: a trailing point is cut, orders the hypothesis is too short for are left out, and an order without a
+    hit counts as half a hit, then a quarter, and so on."""
+    cut = lambda t: (t or "").strip().removesuffix(".")
+    x, y = translation_words(cut(hypothesis)), translation_words(cut(reference))
+    if not x or not y:
+        return 0.0
+    logs, orders, half = 0.0, 0, 1.0
+    for n in range(1, 5):
+        grams = ngrams(x, n)
+        if not grams:
+            break
+        hit = (grams & ngrams(y, n)).total()
+        if not hit:
+            half *= 2
+            hit = 1 / half
+        logs, orders = logs + math.log(hit / grams.total()), orders + 1
+    if not (ngrams(x, 1) & ngrams(y, 1)):
+        return 0.0
+    return 100 * math.exp(min(0.0, 1 - len(y) / len(x)) + logs / orders)
+
+
 def lexical_score(a: str, b: str, kind: str) -> float:
-    x, y = (a or "").lower().split(), (b or "").lower().split()
-    if kind == "rougeL":
-        return rouge_l(x, y)
     if kind.startswith("rouge"):
-        return rouge_n(x, y, int(kind[5:]))
+        x, y = overlap_words(a), overlap_words(b)
+        return rouge_l(x, y) if kind == "rougeL" else rouge_n(x, y, int(kind[5:]))
+    if kind == "sentence_bleu":
+        return sentence_bleu(a, b)
+    x, y = (a or "").split(), (b or "").split()
     order = max(1, min(4, len(x), len(y)))
     return bleu(x, y, tuple([1 / order] * order))
 

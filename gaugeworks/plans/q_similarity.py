@@ -80,6 +80,8 @@ for _k in ("rouge1", "rouge2", "rougeL", "BLEU"):
 
     def _quality(spark, sf, kind=_k):
         c = S.table(spark, sf, "conversations").withColumn("ref", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("ref IS NOT NULL")
+        if kind == "BLEU":
+            return rounded(c.select("conv_id", "turn", sequential.lexical_udf("sentence_bleu")("text", "ref").alias("value")), "value")
         score = sequential.lexical_udf(kind)
         return rounded(c.select("conv_id", "turn", F.try_divide(score("text", "ref"), score("ref", "ref")).alias("value")), "value")
 

@@ -239,3 +239,17 @@ def test_head_learns(spark):
     df = spark.createDataFrame(rows, "v array<double>, y int")
     scored = features.apply_head(df, features.fit_head(df, "v", "y"), "v", "p").where("y >= 0").collect()
     assert np.mean([(r.p > 0.5) == bool(r.y) for r in scored]) > 0.95
+
+
+@pytest.mark.parametrize(("word", "stem"), [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("triplicate", "triplic"), ("hopeful", "hope"), ("revival", "reviv"), ("adjustment", "adjust"), ("adoption", "adopt"), ("probate", "probat"), ("rate", "rate"), ("controll", "control"), ("roll", "roll"), ("sky", "sky")])
+def test_stems(word, stem):
+    from gaugeworks.functions.stemmer import stem as found
+
+    assert found(word) == stem
+
+
+def test_overlap_scores():
+    assert Q.lexical_score("The cats were hopping.", "the cat was hopped", "rouge1") == pytest.approx(0.75)
+    assert Q.sentence_bleu("the cat sat on the mat.", "The cat sat on the mat") == pytest.approx(100)
+    assert Q.sentence_bleu("dog", "cat") == 0 and 0 < Q.sentence_bleu("the cat sat", "the cat ran") < 100
+    assert Q.translation_words("It costs 3.5, (maybe)!") == ["it", "costs", "3.5", ",", "(", "maybe", ")", "!"]
