@@ -143,8 +143,9 @@ def _settle(rows: DataFrame, size: int, length: int) -> tuple[DataFrame, DataFra
     covers = Written(rows.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "nlo", "lo", "hi")).alias("w")), "substrings-names").df
     hit = semi_join(rows, covers.where("n > 1"), ["core", "cover"])
     runs = hit.select("rid", F.greatest(F.lit(0), F.col("pos") - F.col("nlo") - (size - 1)).alias("start"), (F.col("pos") - F.col("nlo") + length).alias("end"))
-    cores = covers.groupBy("core").agg(F.sum("n").alias("all"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("all > 1 and single > 0").select(F.col("core").alias("c"))
-    return runs, covers.join(cores, F.col("core") == F.col("c"), "left_semi").select("w.*")
+    cores = covers.groupBy("core").agg(F.sum("n").alias("all"), F.sum((F.col("n") == 1).cast("int")).alias("single"), F.count("*").alias("n"))
+    partial = Written(cores.where("all > 1 and single > 0").select("core", "n"), "substrings-partial").df
+    return runs, semi_join(covers, partial, ["core"]).select("w.*")
 
 
 def _nodes(texts: DataFrame, size: int, length: int, span: int) -> DataFrame:
