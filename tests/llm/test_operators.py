@@ -403,3 +403,24 @@ def test_wide_links_are_similar():
     for edits in (1, 2, 40, 50):
         j, d = similarity(edits)
         assert (d <= simhash.WIDE_RADIUS) == (j >= 0.8), (j, d)
+
+
+def test_hot_keys_are_looked_up_the_same(spark, monkeypatch):
+    """With the bound for hot keys at its least, broadcast look-ups give what the shuffles give."""
+    from gaugeworks.llm import common
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else None, k) for k in range(300)], "key long, v long")
+    keys = rows.where("key in (1, 2, 5)").groupBy("key").agg(F.count("*").alias("n"))
+    want = {r.v for r in rows.where("key in (1, 2, 5)").collect()}
+    rng = random.Random(20)
+    say = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    passage = say(900)
+    texts = [say(rng.randrange(300)) + passage + say(rng.randrange(300)) for _ in range(25)] + ["same text here"] * 12
+    for least in (200, 1):
+        monkeypatch.setattr(common, "LEAST_HOT", least)
+        monkeypatch.setattr(simhash, "LEAST_HOT", least)
+        assert {r.v for r in common.semi_join(rows, keys, ["key"]).collect()} == want
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
+        assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 400)
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, texts)).collect()}
+        assert [found[k] for k in range(len(texts))] == brute_components([brute_print(t) for t in texts])
