@@ -145,3 +145,44 @@ def binned_edges(spark, sf):
 
     edges, means = calibrate.binned_curve(calibrate.score_knots(S.scored_answers(spark, sf)), 10)
     return spark.createDataFrame([(k, float(np.round(edges[k], 6)), float(np.round(means[k], 6))) for k in range(len(means))], "bin int, edge double, mean double")
+
+
+@query("multi_dataset_load", "SELECT doc_id, TRY_CAST(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang || '' END AS BIGINT) AS label FROM documents WHERE doc_id % 4 IN (0, 1)")
+def multi_dataset_load(spark, sf):
+    """A nested list of data sets, one of them by a split, in one table; a label that is no number becomes null."""
+    a, b = io.scratch(spark, "set-a"), io.scratch(spark, "set-b")
+    d = S.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("label"), F.when(F.col("doc_id") % 4 == 1, "test").otherwise("train").alias("split"))
+    d.where("doc_id % 4 = 0").write.parquet(a)
+    d.where("doc_id % 4 IN (1, 2)").write.parquet(b)
+    return io.load_many(spark, [[a], f"{b}:test"], 228, "doc_id", {"label": "bigint"}).select("doc_id", "label")
+
+
+@query("observed_run", "SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total FROM documents")
+def observed_run(spark, sf):
+    """What a run's callback reports: counts gathered while the rows are written."""
+    path = io.scratch(spark, "observed")
+    got = io.observed(S.table(spark, sf, "documents").select("doc_id", "n_chars"), lambda d: d.write.parquet(path), n=F.count(F.lit(1)), total=F.sum("n_chars"))
+    return spark.createDataFrame([(got["n"], got["total"])], "n long, total long")
+
+
+@query("source_dispatch", "SELECT doc_id, lang AS language, CAST(n_chars AS DOUBLE) AS length FROM documents")
+def source_dispatch(spark, sf):
+    """Read by suffix, renamed and cast."""
+    path = io.scratch(spark, "dispatch") + ".csv"
+    S.table(spark, sf, "documents").select("doc_id", "lang", "n_chars").write.csv(path, header=True)
+    return io.read(spark, path, io.kind_of(path)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("language"), F.col("n_chars").cast("double").alias("length"))
+
+
+@query("batch_ids", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 32 AS BIGINT) AS batch FROM documents")
+def batch_ids(spark, sf):
+    """Rows in batches of 32 in order of their key."""
+    from ..operators import etl
+
+    return etl.positions(S.table(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", F.floor(F.col("position") / 32).cast("long").alias("batch"))
+
+
+@query("random_baseline", f"WITH {C.ANS} SELECT lang, round(avg(target), 6) AS prr, round(1 - avg(target), 6) AS rcc_auc, 0.5 AS roc_auc FROM ans GROUP BY lang")
+def random_baseline(spark, sf):
+    """What a random score is worth on average: exact expectations in place of a thousand shuffles."""
+    d = evaluate.normalized_target(evaluate.clean(S.scored_answers(spark, sf)), ["lang"])
+    return rounded(d.groupBy("lang").agg(F.avg("target").alias("prr"), (1 - F.avg("target")).alias("rcc_auc")).withColumn("roc_auc", F.lit(0.5)), "prr", "rcc_auc")

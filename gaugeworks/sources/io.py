@@ -127,3 +127,18 @@ def save_details(df: DataFrame, path: str) -> None:
     """As CSV, nested columns as JSON."""
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]
     df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").csv(path, header=True)
+
+
+def kind_of(path: str) -> str:
+    """By suffix: csv, json lines, or parquet for anything else."""
+    low = path.lower().rstrip("/")
+    return "csv" if low.endswith(".csv") else "json" if low.endswith((".json", ".jsonl")) else "parquet"
+
+
+def observed(df: DataFrame, write: Callable[[DataFrame], None], **metrics) -> dict:
+    """Writes `df` and returns metrics of the rows that passed, gathered in the same pass."""
+    from pyspark.sql import Observation
+
+    watch = Observation()
+    write(df.observe(watch, *(c.alias(k) for k, c in metrics.items())))
+    return watch.get
