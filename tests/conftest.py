@@ -14,7 +14,7 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 def spark():
     from gaugeworks.session import build_session
 
-    session = build_session("local[4]", "tests", **{"spark__sql__shuffle__partitions": "4", "spark__ui__enabled": "false", "spark__driver__memory": "4g"})
+    session = build_session("local[4]", "tests", **{"spark__sql__shuffle__partitions": "4", "spark__ui__enabled": "false", "spark__driver__memory": "8g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
@@ -23,3 +23,11 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def nothing_cached(request):
+    """What a query cached goes after its test."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
