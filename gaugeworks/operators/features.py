@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +56,8 @@ def fit_head(rows: DataFrame, features: str, label: str, positive_weight: float
 
 
 def apply_head(rows: DataFrame, model, features: str, out: str) -> DataFrame:
-    scored = model.transform(rows.withColumn("features", array_to_vector(features)))
-    return scored.withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction")
+    """The fitted head's probability, as an expression."""
+    return rows.withColumn(out, A.sigmoid(head_logit(F.col(features), [float(x) for x in model.coefficients], float(model.intercept))))
 
 
 def head_logit(features: Column, weights: list[float], bias: float) -> Column:
