@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, text_buffer
+from .common import Written, semi_join, text_buffer
 from .components import components
 
 RADIUS = 2
@@ -128,13 +128,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return group(prints, id_col).select(id_col, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# Wide fingerprints: near copies at a similarity of 0.8 or more.
+# Near copies at a similarity of 0.8 or more: an exact join of shingle sets, see keep_one.
 
-#: Bits of a wide fingerprint; the ring's segments; bits that near copies may differ in. Sets of shingles at a similarity of 0.8 differ in
-#: about 39 of 256 bits, give or take 6, at 0.9 in 26, at 0.7 in 50: links at 34 bits or fewer have a similarity of 0.8 or more nearly always.
-WIDE, RING, WIDE_WIDTH, WIDE_RADIUS = 256, 21, 12, 34
-#: Members of a crowded bucket that meet at once.
+#: Bits of a wide fingerprint, and bits in which those of near copies differ at most, nearly always. keep_one does not decide by them.
+WIDE, WIDE_RADIUS = 256, 34
+#: Near copies share SIMILAR[0] / SIMILAR[1] of the union of their shingle sets at least.
+SIMILAR = (4, 5)
+#: Members of a crowded bucket that meet at once; larger ones meet block against block.
 CROWD = 1000
+#: One text of SAMPLE is looked at for common shingles; those seen COMMON times or more come last in the order of shingles, MOST_COMMON at most.
+#: The order decides how many texts meet, not which pairs are found.
+SAMPLE, COMMON, MOST_COMMON = 32, 4, 200_000
 
 
 def wide_fingerprint(raw: bytes, shingle: int = 5) -> bytes:
@@ -155,81 +159,202 @@ def wide_fingerprint(raw: bytes, shingle: int = 5) -> bytes:
     return np.packbits(counts * 2 > n).tobytes()
 
 
-def ring_keys(prints: list[bytes]) -> np.ndarray:
-    """Per fingerprint, the values of each two consecutive segments of the ring."""
-    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, WIDE // 8), axis=1)[:, : RING * WIDE_WIDTH]
-    segments = bits.reshape(-1, RING, WIDE_WIDTH) @ (1 << np.arange(WIDE_WIDTH))
-    return segments * (1 << WIDE_WIDTH) + np.roll(segments, -1, axis=1)
+def shingle_set(raw: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text in UTF-8; a text of fewer words is one shingle, one without words has none."""
+    words = raw.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    n = max(1, len(words) - shingle + 1)
+    starts, stops = (ends - lengths)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, n))
 
 
-def _wide_prints(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(who, text) to (who, fp, keys)."""
-    at = docs.columns.index(text_col)
-    who = next(f for f in docs.schema.fields if f.name != text_col)
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order, so many that two sets of SIMILAR share one of them: rare ones by hash, then `common` by rank."""
+    part, whole = SIMILAR
+    n = len(hashes)
+    take = n - -(-part * n // whole) + 1 if n else 0
+    if len(common) and n:
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        last = common[at] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last][np.argsort(rank[at[last]])]])
+    return hashes[:take]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
+    data, starts, lengths = text_buffer(batch.column(name))
+    view = memoryview(data)
+    return (bytes(view[s : s + n]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the common shingles of a sample (who, text), sorted, and the rank of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts, lengths = text_buffer(batch.column(at))
-            view = memoryview(data)
-            prints = [wide_fingerprint(bytes(view[s : s + n]), shingle) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-            keys = ring_keys(prints) if prints else np.zeros((0, RING), np.int64)
-            offsets = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * RING)
-            yield pa.RecordBatch.from_arrays([batch.column(who.name), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().astype(np.int32)))], [who.name, "fp", "keys"])
+            found = [shingle_set(t, shingle) for t in _texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], ["shingle"])
+
+    seen = texts.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    rows = seen.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).collect()
+    hashes = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.arange(len(rows), 0, -1)[order]
+
+
+def _set_prints(texts: DataFrame, shingle: int) -> DataFrame:
+    """(who, text) to (who, digest of the shingle set, its size, its prefix)."""
+    common, rank = _common(texts.where(F.pmod(F.col("who.k"), F.lit(SAMPLE)) == 0), shingle)
+    who = next(f for f in texts.schema.fields if f.name == "who")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in _texts(batch, "text")]
+            digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("who"), digests, pa.array([len(x) for x in sets], pa.int32()), _lists([prefix(x, common, rank) for x in sets])], ["who", "digest", "n", "prefix"])
+
+    return texts.mapInArrow(run, T.StructType([who, T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+
+
+def _may_match(n_a, at_a, n_b, at_b):
+    """False only for pairs that cannot be SIMILAR if the shingle at these places is their first common one."""
+    part, whole = SIMILAR
+    return (whole * np.minimum(n_a, n_b) >= part * np.maximum(n_a, n_b)) & ((part + whole) * np.minimum(n_a - at_a, n_b - at_b) >= part * (n_a + n_b))
 
-    return docs.mapInArrow(run, T.StructType([who, T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.IntegerType()))]))
 
+def _members(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    column = batch.column("members")
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    flat, kind = column.flatten(), column.type.value_type
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), {kind.field(k).name: flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(kind.num_fields)}
 
-def _leader_links(ids: list[int], prints: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links of a bucket, and its leaders. The first member without a link leads next; it is checked against all members."""
-    bits = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, WIDE // 8)
-    free, out, leaders = np.ones(len(ids), bool), [], []
-    while free.any():
-        k = int(np.argmax(free))
-        leaders.append(k)
-        near = np.bitwise_count(bits ^ bits[k]).sum(axis=1) <= WIDE_RADIUS
-        free &= ~near
-        out += [(ids[k], ids[j]) for j in np.flatnonzero(near) if j != k]
-    return out, leaders
 
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["a", "b"])
 
-def _wide_links(buckets: DataFrame) -> DataFrame:
-    """Rows (seg, val, members of (id, fp)) to links (a, b) and the leaders of each bucket: (a, b, seg, val, fp), a leader with a null b."""
+
+def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's members with its first one, where their components differ."""
+    for batch in batches:
+        offsets, m = _members(batch)
+        bucket = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        order = np.lexsort((m["id"], m["o"], bucket))
+        lead, this = order[offsets[:-1]][bucket], order
+        fit = _may_match(m["n"][lead], m["pos"][lead], m["n"][this], m["pos"][this]) & (m["root"][lead] != m["root"][this])
+        yield _pairs([m["id"][lead[fit]]], [m["id"][this[fit]]])
+
+
+def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of members from different components; of two blocks, those between the blocks."""
+    for batch in batches:
+        offsets, m = _members(batch)
+        block_i, block_j = (batch.column(x).to_numpy(zero_copy_only=False) for x in "ij")
+        one_block = block_i == block_j
+        a_out, b_out, held = [], [], 0
+        for k, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            rows = np.arange(lo, hi)
+            left, right = (rows, rows) if one_block[k] else (rows[m["block"][lo:hi] == block_i[k]], rows[m["block"][lo:hi] != block_i[k]])
+            x, y = left[:, None], right[None, :]
+            fit = (m["root"][x] != m["root"][y]) & _may_match(m["n"][x], m["pos"][x], m["n"][y], m["pos"][y])
+            if one_block[k]:
+                fit = np.triu(fit, 1)
+            p, q = np.nonzero(fit)
+            a_out.append(m["id"][left[p]])
+            b_out.append(m["id"][right[q]])
+            held += len(p)
+            if held > 1 << 20:
+                yield _pairs(a_out, b_out)
+                a_out, b_out, held = [], [], 0
+        yield _pairs(a_out, b_out)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of candidates (a, b), those whose sets are SIMILAR."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for seg, val, members in zip(batch.column("seg").to_pylist(), batch.column("val").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                members = sorted((m["id"], m["fp"]) for m in members)
-                links, leaders = _leader_links([m[0] for m in members], [m[1] for m in members])
-                out += [(a, b, seg, val, None) for a, b in links]
-                out += [(members[k][0], None, seg, val, members[k][1]) for k in leaders]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "seg", "val", "fp"])
+            halves = []
+            for name in ("x", "y"):
+                column = batch.column(name)
+                halves.append((column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)))
+            (x, xo), (y, yo) = halves
+            fit = pa.array([similar(x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]) for k in range(batch.num_rows)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(fit)
 
-    return buckets.mapInArrow(run, "a long, b long, seg int, val int, fp binary")
+    first, second = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    return pairs.distinct().join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """The shingle sets (id, hashes) of the wanted (id, k): of the text whose row has the key k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([shingle_set(t, shingle) for t in _texts(batch, "text")])], ["id", "hashes"])
+
+    rows = texts.select(F.col("who.k").alias("k"), "text").join(wanted, "k").dropDuplicates(["k"]).select("id", "text")
+    return rows.mapInArrow(run, "id long, hashes array<long>")
+
+
+def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Distinct sets (id, k, n, prefix) to edges (a, b) between SIMILAR sets that have the same components as all such pairs.
+
+    Sets meet in buckets of a shingle of both prefixes, which no SIMILAR pair misses. First each member is held against the first one of its
+    bucket, which joins groups of near copies at a linear cost; then all pairs of a bucket whose members are in different components, those of
+    a crowded bucket block against block.
+    """
+    keyed = distinct.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    counts = Written(keyed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "near-counts").df
+    crowds = F.broadcast(counts.where(F.col("n") > CROWD).select(F.col("shingle").alias("s"), F.ceil(F.col("n") / CROWD).cast("long").alias("g")))
+    met = semi_join(keyed, counts, ["shingle"]).join(crowds, F.col("shingle") == F.col("s"), "left").drop("s")
+    met = Written(met.withColumn("g", F.coalesce("g", F.lit(1))).withColumn("block", F.pmod(F.col("id"), F.col("g"))), "near-met").df
+    sets = Written(_sets(texts, distinct.join(met.select("id").distinct(), "id", "left_semi").select("id", "k"), shingle), "near-sets").df
+    edges, open_rows = None, met.withColumn("root", F.col("id"))
+    for o in (F.col("id"), F.xxhash64("id", "shingle")):  # the first of a bucket: one order for all buckets, then one for each
+        stars = open_rows.groupBy("shingle", "block").agg(F.collect_list(F.struct(o.alias("o"), "id", "n", "pos", "root")).alias("members")).where(F.size("members") > 1).select("members")
+        found = Written(_verified(stars.mapInArrow(_star_pairs, "a long, b long"), sets), "near-stars").df
+        edges = found if edges is None else edges.unionByName(found)
+        roots = Written(components(edges), "near-star-roots").df
+        labelled = met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        open_keys = Written(labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shingle", "n"), "near-open").df
+        open_rows = semi_join(labelled, open_keys, ["shingle"])
+    # the pairs of blocks i <= j that a member is part of
+    left = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    crosses = left.groupBy("shingle", "i", "j").agg(F.collect_list(F.struct("id", "n", "pos", "root", "block")).alias("members")).where(F.size("members") > 1).select("i", "j", "members")
+    return edges.unionByName(Written(_verified(crosses.mapInArrow(_cross_pairs, "a long, b long"), sets), "near-crosses").df)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of near copies, the one with the least id, with the columns of `docs`; ties and null ids go by a text hash.
 
-    Near copies are found by wide fingerprints: those that agree in two consecutive segments of the ring meet, and are links if they differ
-    in WIDE_RADIUS bits at most. Two consecutive equal segments are a stricter filter than the ring's budgets: it finds pairs at a similarity
-    of 0.9 nearly always, at 0.8 about every third time. In a crowded bucket members meet in blocks of CROWD, and the blocks' leaders again.
+    Near copies have sets of shingles with a Jaccard similarity of 0.8 or more; groups are the components of all such pairs. Every pair is
+    found: candidates by prefix filter, length and position, then the exact similarity. Texts without words are one group.
     """
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
-    who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("__gw_who")
-    prints = Written(_wide_prints(docs.select(who, text_col), text_col, shingle), "wide-prints", slim=True).df
-    distinct = Written(prints.groupBy("fp").agg(F.min("__gw_who").alias("first"), F.min("keys").alias("keys")).withColumn("id", F.xxhash64("fp")), "wide-distinct").df
-    keyed = distinct.select("id", "fp", F.posexplode("keys").alias("seg", "val"))
-    counts = keyed.groupBy("seg", "val").agg(F.count("*").alias("n")).where("n > 1").select(F.col("seg").alias("s"), F.col("val").alias("v"), "n")
-    met = keyed.join(counts, (F.col("seg") == F.col("s")) & (F.col("val") == F.col("v"))).withColumn("block", F.pmod(F.col("id"), F.ceil(F.col("n") / CROWD)).cast("long"))
-    buckets = met.groupBy("seg", "val", "block").agg(F.collect_list(F.struct("id", "fp")).alias("members"), F.max("n").alias("n"))
-    first = Written(_wide_links(buckets.where(F.size("members") > 1).select("seg", "val", "members").unionByName(buckets.where((F.size("members") == 1) & (F.col("n") > CROWD)).select("seg", "val", "members"))), "wide-links").df
-    again = first.where("b IS NULL").groupBy("seg", "val").agg(F.collect_list(F.struct(F.col("a").alias("id"), "fp")).alias("members")).where(F.size("members") > 1)
-    crowded = met.where(F.col("n") > CROWD).select("seg", "val").distinct()
-    edges = first.where("b IS NOT NULL").select("a", "b").unionByName(_wide_links(again.join(crowded, ["seg", "val"], "left_semi")).where("b IS NOT NULL").select("a", "b"))
-    roots = Written(components(edges.distinct()), "wide-roots").df
+    who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("who")
+    texts = docs.select(who, F.col(text_col).alias("text"))
+    prints = Written(_set_prints(texts, shingle), "near-prints", slim=True).df
+    grouped = prints.groupBy("digest").agg(F.min("who").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    distinct = Written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "n", "prefix"), "near-distinct").df
+    edges = set_links(distinct.select("id", "k", "n", "prefix"), texts, shingle)
+    roots = Written(components(edges), "near-roots").df
     rooted = distinct.select("id", "first").join(roots, F.col("id") == F.col("node"), "left")
     least = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     keepers = least.select(F.col("first.k").alias("__gw_keep"))

@@ -424,3 +424,35 @@ def test_hot_keys_are_looked_up_the_same(spark, monkeypatch):
         assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 400)
         found = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, texts)).collect()}
         assert [found[k] for k in range(len(texts))] == brute_components([brute_print(t) for t in texts])
+
+
+def brute_groups(texts):
+    """Components of all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_keep_one_finds_every_isolated_pair(spark):
+    """Groups of two at a similarity of 0.75 to 0.95, and odd texts, against brute force."""
+    rng = random.Random(14)
+    texts = [None, "", " \n", "one", "One", "a b c d e", "a b c d f", "a b c d"]
+    for _ in range(60):
+        for edits in (3, 6, 8, 10, 12, 13, 14, 16):  # each takes five shingles out and puts five in: at 12 about 0.65 to 0.8
+            base = [f"w{rng.randrange(100_000)}" for _ in range(rng.choice([300, 450, 560, 620]))]
+            other = list(base)
+            for k in rng.sample(range(len(base)), edits):
+                other[k] = "edited"
+            texts += [" ".join(base), " ".join(other)]
+    want = brute_groups(texts[:8]) + [8 + k - (k % 2 and brute_groups(texts[8 + k - 1 : 8 + k + 1]) == [0, 0]) for k in range(len(texts) - 8)]
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()}
+    assert kept == set(want)
+    assert 100 < sum(k != w for k, w in enumerate(want)) < 470
