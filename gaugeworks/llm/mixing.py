@@ -7,7 +7,7 @@ expected copies. Documents meet in blocks of about BLOCK of one source; the one
 reduction tree, until a source has one left, which goes to the nearer
 whole number. So a source misses its target by half of one document at most.
 
-Random numbers are hashes of ids, sizes and levels: reruns agree. Sizes of null texts are 0, and such documents are never taken. A null
+Random numbers and blocks are hashes of ids, sizes, levels and a number within equal rows: reruns agree wherever the rows lie. Sizes of null texts are 0, and such documents are never taken. A null
 source is a source of its own, last in order. Repeated rows are separate documents. An empty table gives an empty result.
 """
 
@@ -21,6 +21,8 @@ from .common import WORD, Written
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 BLOCK = 64
+#: Equal rows numbered at once.
+CHUNK = 1000
 #: The table of sources is broadcast up to this many rows (about 100 bytes each); beyond it, it is joined by a salted shuffle.
 BROADCAST_SOURCES = 20_000
 SALTS = 64
@@ -91,32 +93,33 @@ def _reduce_blocks(rows: DataFrame, level: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per document: id, its size in words, its source's size and target, copies and words taken."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    slim = Written(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(source_col).alias("__source"), size.alias("__size")), "mix-sizes", slim=True)
-    # rows of one id must not fall into one block, however often it repeats; the number of a row in its written part tells them apart
-    rows = slim.df.withColumn("__row", F.monotonically_increasing_id())
-    sources = Written(source_targets(slim.df), "mix-sources").df
+    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"))
+    # equal rows are counted and dealt out again with numbers, so that nothing depends on where a row lies; in two steps, as arrays of CHUNK at most
+    counted = Written(slim.groupBy("__id", "__source", "__size").agg(F.count("*").alias("__n")), "mix-sizes")
+    parts = counted.df.withColumn("__lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(CHUNK).cast("long"))))
+    rows = parts.withColumn("__row", F.explode(F.sequence(F.col("__lo"), F.least(F.col("__lo") + CHUNK, F.col("__n")) - 1))).drop("__n", "__lo")
+    sources = Written(source_targets(rows), "mix-sources").df
     if sources.count() <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(sources), rows["__source"].eqNullSafe(sources["__source"])).drop(sources["__source"])
     else:
         salted = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", "__size", "__row"), F.lit(SALTS)).cast("int"))
         joined = rows.join(salted, rows["__source"].eqNullSafe(salted["__source"]) & (rows["__salt"] == salted["__salt"])).drop(salted["__source"]).drop(salted["__salt"]).drop("__salt")
     rate = F.when(F.col("__total") > 0, F.least(F.col("__target") / F.col("__total"), F.lit(float(MOST_COPIES)))).otherwise(0.0)
     whole = F.floor(rate + 1e-12)
     fraction = F.greatest(rate - whole, F.lit(0.0))
     fixed = joined.select(
-        F.xxhash64("__id", "__size", F.when(F.col("__id").isNull(), F.col("__row"))).alias("key"),
+        F.xxhash64("__id", "__size", "__row").alias("key"),
         F.col("__id").alias("id"),
         F.col("__source").alias("source"),
         F.when(F.col("__size") > 0, whole).otherwise(0).cast("long").alias("n"),
         F.when((F.col("__size") > 0) & (fraction > 1e-9), fraction).otherwise(0.0).alias("p"),
         F.col("__size").alias("s"),
-        "__row",
         "__docs",
     )
-    block = F.pmod(F.xxhash64("key", F.pmod(F.col("__row"), F.lit(1009))), F.greatest(F.lit(1), F.ceil(F.col("__docs") / BLOCK))).cast("long")
+    block = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.ceil(F.col("__docs") / BLOCK))).cast("long")
     done = [fixed.where("p <= 0").select("id", "source", "n", "s")]
-    pending, level = fixed.where("p > 0").withColumn("block", block).drop("__row", "__docs"), 0
+    pending, level = fixed.where("p > 0").withColumn("block", block).drop("__docs"), 0
     while True:
         result = Written(_reduce_blocks(pending, level), f"mix-level{level}").df
         done.append(result.select(F.explode("done").alias("x")).select("x.id", "x.source", "x.n", "x.s"))

@@ -70,6 +70,15 @@ def test_mixing_odd(odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_does_not_depend_on_where_rows_lie(spark):
+    rng = random.Random(15)
+    ids = [rng.choice([None, 7, *range(1000, 1300)]) for _ in range(1500)] + [7] * 1200
+    texts = [" ".join(["w"] * rng.randrange(1, 40)) for _ in ids[:1500]] + ["w w w"] * 1200
+    docs = documents(spark, texts, sources=[rng.choice(["a", "b", "c"]) for _ in ids], ids=ids)
+    want, *others = (Counter(map(tuple, mixing.mix(d).collect())) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("n_chars"))))
+    assert sum(want.values()) == 2700 and all(x == want for x in others)
+
+
 # 2, 3 byte networks
 
 def test_quality_held_out(spark):
