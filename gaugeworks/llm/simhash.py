@@ -139,6 +139,8 @@ CROWD = 1000
 #: One text of SAMPLE is looked at for common shingles; those seen COMMON times or more come last in the order of shingles, MOST_COMMON at most.
 #: The order decides how many texts meet, not which pairs are found.
 SAMPLE, COMMON, MOST_COMMON = 32, 4, 200_000
+#: Bits of a sketch of a set: of each residue of the hashes, whether their number is odd. Sketches differ in no more bits than sets in shingles.
+SKETCH = 1024
 
 
 def wide_fingerprint(raw: bytes, shingle: int = 5) -> bytes:
@@ -190,6 +192,21 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((hashes % SKETCH).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def _close(n_a, sketch_a: np.ndarray, n_b, sketch_b: np.ndarray) -> np.ndarray:
+    """False only for pairs whose sketches, rows of words, differ in more bits than SIMILAR sets can in shingles."""
+    part, whole = SIMILAR
+    differ = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=1, dtype=np.int64)
+    return (part + whole) * differ <= (whole - part) * (n_a + n_b)
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
     data, starts, lengths = text_buffer(batch.column(name))
     view = memoryview(data)
@@ -218,7 +235,7 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _set_prints(texts: DataFrame, shingle: int) -> DataFrame:
-    """(who, text) to (who, digest of the shingle set, its size, its prefix)."""
+    """(who, text) to (who, digest of the shingle set, its size, its sketch, its prefix)."""
     common, rank = _common(texts.where(F.pmod(F.col("who.k"), F.lit(SAMPLE)) == 0), shingle)
     who = next(f for f in texts.schema.fields if f.name == "who")
 
@@ -226,9 +243,9 @@ def _set_prints(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in _texts(batch, "text")]
             digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("who"), digests, pa.array([len(x) for x in sets], pa.int32()), _lists([prefix(x, common, rank) for x in sets])], ["who", "digest", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("who"), digests, pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary()), _lists([prefix(x, common, rank) for x in sets])], ["who", "digest", "n", "sketch", "prefix"])
 
-    return texts.mapInArrow(run, T.StructType([who, T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    return texts.mapInArrow(run, T.StructType([who, T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
 
 
 def _may_match(n_a, at_a, n_b, at_b):
@@ -241,7 +258,7 @@ def _members(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     column = batch.column("members")
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     flat, kind = column.flatten(), column.type.value_type
-    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), {kind.field(k).name: flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(kind.num_fields)}
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), {kind.field(k).name: _words(flat.field(k)) if kind.field(k).name == "sketch" else flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(kind.num_fields)}
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -251,18 +268,18 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each bucket's members with its first one, where their components differ."""
+    """Each bucket's members with its first one."""
     for batch in batches:
         offsets, m = _members(batch)
         bucket = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         order = np.lexsort((m["id"], m["o"], bucket))
         lead, this = order[offsets[:-1]][bucket], order
-        fit = _may_match(m["n"][lead], m["pos"][lead], m["n"][this], m["pos"][this]) & (m["root"][lead] != m["root"][this])
+        fit = _may_match(m["n"][lead], m["pos"][lead], m["n"][this], m["pos"][this]) & (m["id"][lead] != m["id"][this])
         yield _pairs([m["id"][lead[fit]]], [m["id"][this[fit]]])
 
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of members from different components; of two blocks, those between the blocks."""
+    """All close pairs of members from different components; of two blocks, those between the blocks."""
     for batch in batches:
         offsets, m = _members(batch)
         block_i, block_j = (batch.column(x).to_numpy(zero_copy_only=False) for x in "ij")
@@ -276,30 +293,29 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if one_block[k]:
                 fit = np.triu(fit, 1)
             p, q = np.nonzero(fit)
-            a_out.append(m["id"][left[p]])
-            b_out.append(m["id"][right[q]])
-            held += len(p)
+            for at in range(0, len(p), _CHUNK):
+                a, b = left[p[at : at + _CHUNK]], right[q[at : at + _CHUNK]]
+                near = _close(m["n"][a], m["sketch"][a], m["n"][b], m["sketch"][b])
+                a_out.append(m["id"][a[near]])
+                b_out.append(m["id"][b[near]])
+                held += len(a_out[-1])
             if held > 1 << 20:
                 yield _pairs(a_out, b_out)
                 a_out, b_out, held = [], [], 0
         yield _pairs(a_out, b_out)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of candidates (a, b), those whose sets are SIMILAR."""
+def _screened(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Of candidates (a, b), those whose sketches are close."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves = []
-            for name in ("x", "y"):
-                column = batch.column(name)
-                halves.append((column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)))
-            (x, xo), (y, yo) = halves
-            fit = pa.array([similar(x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]) for k in range(batch.num_rows)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(fit)
+            n_a, n_b = (batch.column(x).to_numpy().astype(np.int64) for x in ("n_a", "n_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(_close(n_a, _words(batch.column("x")), n_b, _words(batch.column("y"))), pa.bool_()))
 
-    first, second = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.distinct().join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    first = distinct.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    second = distinct.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    return pairs.distinct().join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -313,47 +329,68 @@ def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, hashes array<long>")
 
 
+def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Of candidates (a, b), those whose sets are SIMILAR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = []
+            for name in ("x", "y"):
+                column = batch.column(name)
+                halves.append((column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)))
+            (x, xo), (y, yo) = halves
+            fit = pa.array([similar(x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]) for k in range(batch.num_rows)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(fit)
+
+    pairs = Written(pairs.distinct(), "near-candidates").df
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = Written(_sets(texts, distinct.join(wanted, "id", "left_semi").select("id", "k"), shingle), "near-sets").df
+    first, second = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    return Written(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links").df
+
+
 def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Distinct sets (id, k, n, prefix) to edges (a, b) between SIMILAR sets that have the same components as all such pairs.
+    """Distinct sets (id, k, n, sketch, prefix) to edges (a, b) between SIMILAR sets that have the same components as all such pairs.
 
     Sets meet in buckets of a shingle of both prefixes, which no SIMILAR pair misses. First each member is held against the first one of its
     bucket, which joins groups of near copies at a linear cost; then all pairs of a bucket whose members are in different components, those of
-    a crowded bucket block against block.
+    a crowded bucket block against block. Length, position and sketch drop no SIMILAR pair; what they leave is compared set by set.
     """
     keyed = distinct.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
     counts = Written(keyed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "near-counts").df
     crowds = F.broadcast(counts.where(F.col("n") > CROWD).select(F.col("shingle").alias("s"), F.ceil(F.col("n") / CROWD).cast("long").alias("g")))
     met = semi_join(keyed, counts, ["shingle"]).join(crowds, F.col("shingle") == F.col("s"), "left").drop("s")
     met = Written(met.withColumn("g", F.coalesce("g", F.lit(1))).withColumn("block", F.pmod(F.col("id"), F.col("g"))), "near-met").df
-    sets = Written(_sets(texts, distinct.join(met.select("id").distinct(), "id", "left_semi").select("id", "k"), shingle), "near-sets").df
-    edges, open_rows = None, met.withColumn("root", F.col("id"))
+    stars = None
     for o in (F.col("id"), F.xxhash64("id", "shingle")):  # the first of a bucket: one order for all buckets, then one for each
-        stars = open_rows.groupBy("shingle", "block").agg(F.collect_list(F.struct(o.alias("o"), "id", "n", "pos", "root")).alias("members")).where(F.size("members") > 1).select("members")
-        found = Written(_verified(stars.mapInArrow(_star_pairs, "a long, b long"), sets), "near-stars").df
-        edges = found if edges is None else edges.unionByName(found)
-        roots = Written(components(edges), "near-star-roots").df
-        labelled = met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-        open_keys = Written(labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shingle", "n"), "near-open").df
-        open_rows = semi_join(labelled, open_keys, ["shingle"])
+        buckets = met.groupBy("shingle", "block").agg(F.collect_list(F.struct(o.alias("o"), "id", "n", "pos")).alias("members")).where(F.size("members") > 1).select("members")
+        found = buckets.mapInArrow(_star_pairs, "a long, b long")
+        stars = found if stars is None else stars.unionByName(found)
+    edges = _verified(_screened(stars, distinct), distinct, texts, shingle)
+    roots = Written(components(edges), "near-star-roots").df
+    labelled = met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    open_keys = Written(labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shingle", "n"), "near-open").df
+    left = semi_join(labelled, open_keys, ["shingle"])
     # the pairs of blocks i <= j that a member is part of
-    left = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    crosses = left.groupBy("shingle", "i", "j").agg(F.collect_list(F.struct("id", "n", "pos", "root", "block")).alias("members")).where(F.size("members") > 1).select("i", "j", "members")
-    return edges.unionByName(Written(_verified(crosses.mapInArrow(_cross_pairs, "a long, b long"), sets), "near-crosses").df)
+    left = left.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    left = left.join(distinct.select("id", "sketch"), "id")
+    crosses = left.groupBy("shingle", "i", "j").agg(F.collect_list(F.struct("id", "n", "pos", "root", "block", "sketch")).alias("members")).where(F.size("members") > 1).select("i", "j", "members")
+    return edges.unionByName(_verified(crosses.mapInArrow(_cross_pairs, "a long, b long"), distinct, texts, shingle))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of near copies, the one with the least id, with the columns of `docs`; ties and null ids go by a text hash.
 
     Near copies have sets of shingles with a Jaccard similarity of 0.8 or more; groups are the components of all such pairs. Every pair is
-    found: candidates by prefix filter, length and position, then the exact similarity. Texts without words are one group.
+    found: candidates by prefix filter, length, position and sketch, then the exact similarity. Texts without words are one group.
     """
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("who")
     texts = docs.select(who, F.col(text_col).alias("text"))
     prints = Written(_set_prints(texts, shingle), "near-prints", slim=True).df
-    grouped = prints.groupBy("digest").agg(F.min("who").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    distinct = Written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "n", "prefix"), "near-distinct").df
-    edges = set_links(distinct.select("id", "k", "n", "prefix"), texts, shingle)
+    grouped = prints.groupBy("digest").agg(F.min("who").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    distinct = Written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "n", "sketch", "prefix"), "near-distinct").df
+    edges = set_links(distinct.drop("first"), texts, shingle)
     roots = Written(components(edges), "near-roots").df
     rooted = distinct.select("id", "first").join(roots, F.col("id") == F.col("node"), "left")
     least = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
