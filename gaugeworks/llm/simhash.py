@@ -329,6 +329,15 @@ def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, hashes array<long>")
 
 
+def _written(df: DataFrame, label: str, *done: Written) -> Written:
+    """`df` written; then the tables `done` go, and so do the shuffle files that nothing refers to any more."""
+    out = Written(df, label)
+    for x in done:
+        x.drop()
+    out.spark._jvm.System.gc()
+    return out
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Of candidates (a, b), those whose sets are SIMILAR."""
 
@@ -342,11 +351,11 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle:
             fit = pa.array([similar(x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]) for k in range(batch.num_rows)], pa.bool_())
             yield batch.select(["a", "b"]).filter(fit)
 
-    pairs = Written(pairs.distinct(), "near-candidates").df
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = Written(_sets(texts, distinct.join(wanted, "id", "left_semi").select("id", "k"), shingle), "near-sets").df
-    first, second = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return Written(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links").df
+    candidates = _written(pairs.distinct(), "near-candidates")
+    wanted = candidates.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = _written(_sets(texts, distinct.join(wanted, "id", "left_semi").select("id", "k"), shingle), "near-sets")
+    first, second = sets.df.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.df.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    return _written(candidates.df.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links", candidates, sets).df
 
 
 def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -357,10 +366,12 @@ def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     a crowded bucket block against block. Length, position and sketch drop no SIMILAR pair; what they leave is compared set by set.
     """
     keyed = distinct.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    counts = Written(keyed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "near-counts").df
+    counted = _written(keyed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
+    counts = counted.df
     crowds = F.broadcast(counts.where(F.col("n") > CROWD).select(F.col("shingle").alias("s"), F.ceil(F.col("n") / CROWD).cast("long").alias("g")))
     met = semi_join(keyed, counts, ["shingle"]).join(crowds, F.col("shingle") == F.col("s"), "left").drop("s")
-    met = Written(met.withColumn("g", F.coalesce("g", F.lit(1))).withColumn("block", F.pmod(F.col("id"), F.col("g"))), "near-met").df
+    meetings = _written(met.withColumn("g", F.coalesce("g", F.lit(1))).withColumn("block", F.pmod(F.col("id"), F.col("g"))), "near-met", counted)
+    met = meetings.df
     stars = None
     for o in (F.col("id"), F.xxhash64("id", "shingle")):  # the first of a bucket: one order for all buckets, then one for each
         buckets = met.groupBy("shingle", "block").agg(F.collect_list(F.struct(o.alias("o"), "id", "n", "pos")).alias("members")).where(F.size("members") > 1).select("members")
@@ -368,8 +379,8 @@ def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
         stars = found if stars is None else stars.unionByName(found)
     edges = _verified(_screened(stars, distinct), distinct, texts, shingle)
     roots = Written(components(edges), "near-star-roots").df
-    labelled = met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    open_keys = Written(labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shingle", "n"), "near-open").df
+    labelled = _written(met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node"), "near-labelled", meetings).df
+    open_keys = _written(labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shingle", "n"), "near-open").df
     left = semi_join(labelled, open_keys, ["shingle"])
     # the pairs of blocks i <= j that a member is part of
     left = left.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
@@ -387,9 +398,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("who")
     texts = docs.select(who, F.col(text_col).alias("text"))
-    prints = Written(_set_prints(texts, shingle), "near-prints", slim=True).df
-    grouped = prints.groupBy("digest").agg(F.min("who").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    distinct = Written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "n", "sketch", "prefix"), "near-distinct").df
+    prints = Written(_set_prints(texts, shingle), "near-prints", slim=True)
+    grouped = prints.df.groupBy("digest").agg(F.min("who").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    distinct = _written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "n", "sketch", "prefix"), "near-distinct", prints).df
     edges = set_links(distinct.drop("first"), texts, shingle)
     roots = Written(components(edges), "near-roots").df
     rooted = distinct.select("id", "first").join(roots, F.col("id") == F.col("node"), "left")
