@@ -192,6 +192,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+#: Texts looked up by broadcast (16 bytes each); of more, the texts are dealt out by a shuffle.
+BROADCAST_TEXTS = 1_000_000
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes % SKETCH).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
@@ -325,7 +329,9 @@ def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([shingle_set(t, shingle) for t in _texts(batch, "text")])], ["id", "hashes"])
 
-    rows = texts.select(F.col("who.k").alias("k"), "text").join(wanted, "k").dropDuplicates(["k"]).select("id", "text")
+    found = Written(wanted, "near-wanted").df
+    found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
+    rows = texts.select(F.col("who.k").alias("k"), "text").join(found, "k").dropDuplicates(["k"]).select("id", "text")
     return rows.mapInArrow(run, "id long, hashes array<long>")
 
 
