@@ -161,9 +161,9 @@ def rde(spark, sf):
     return rounded(density.robust_density(test, train, "vec_id", "v", "value").select("vec_id", "value"), "value")
 
 
-def _step_pairs(spark, sf):
+def _step_pairs(spark, sf, where="claim_idx < 6"):
     """Samples of a step: lines of documents of one source, five at a time."""
-    c = S.claims(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), X.words(F.col("text")).alias("toks")).where("claim_idx < 6")
+    c = S.claims(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), X.words(F.col("text")).alias("toks")).where(where)
     a, b = c.select("group_id", "claim_idx", F.col("turn").alias("i"), F.col("toks").alias("x")), c.select("group_id", "claim_idx", F.col("turn").alias("j"), F.col("toks").alias("y"))
     return S.similarity(a.join(b, ["group_id", "claim_idx"]), F.col("i") == F.col("j"))
 
@@ -185,12 +185,12 @@ def steps_semantic_entropy(spark, sf):
     return rounded(pairs.semantic_entropy(c, "key", empirical=True).select("key.group_id", "key.claim_idx", "value"), "value")
 
 
-query("steps_eccentricity")(lambda spark, sf: rounded(spectral.per_group(_step_pairs(spark, sf), ["group_id", "claim_idx"], lambda p: spectral.eccentricity(spectral.dense(p, "entail"))), "value"))
-query("steps_num_sem_sets")(lambda spark, sf: spectral.per_group(_step_pairs(spark, sf), ["group_id", "claim_idx"], lambda p: spectral.semantic_sets(spectral.dense(p, "entail"), spectral.dense(p, "contra"))))
+query("steps_eccentricity")(lambda spark, sf: rounded(spectral.per_group(_step_pairs(spark, sf, "true"), ["group_id", "claim_idx"], lambda p: spectral.eccentricity(spectral.dense(p, "entail"))), "value"))
+query("steps_num_sem_sets")(lambda spark, sf: spectral.per_group(_step_pairs(spark, sf, "true"), ["group_id", "claim_idx"], lambda p: spectral.semantic_sets(spectral.dense(p, "entail"), spectral.dense(p, "contra"))))
 
 
 @query("steps_lexical_similarity")
 def steps_lexical_similarity(spark, sf):
-    c = S.claims(spark, sf).where("claim_idx < 3").select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), "text")
+    c = S.claims(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), "text")
     p = c.select("group_id", "claim_idx", F.col("turn").alias("i"), F.col("text").alias("a")).join(c.select("group_id", "claim_idx", F.col("turn").alias("j"), F.col("text").alias("b")), ["group_id", "claim_idx"]).where("i < j")
     return rounded(p.select("group_id", "claim_idx", sequential.lexical_udf("rougeL")("a", "b").alias("s")).groupBy("group_id", "claim_idx").agg((-F.avg("s")).alias("value")), "value")
