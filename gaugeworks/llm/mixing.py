@@ -4,11 +4,11 @@ Each document of a source wants rate = target / source size copies (3 at most).
 rounded by a weighted pivotal scheme: two fractional documents meet, words move from one to the other in a random direction until one of
 them has a whole number of copies, and the other goes on to the next meeting. A meeting keeps the pair's expected words and each one's
 expected copies. Documents meet in blocks of about BLOCK of one source; the one left over in each block goes to the next level of a
-reduction tree, until a source has one left, which goes to the nearer
-whole number. So a source misses its target by half of one document at most.
+reduction tree, until a source has one left, which goes to the nearer whole number. So a source misses its target by half of one document at most.
 
-Random numbers and blocks are hashes of ids, sizes, levels and a number within equal rows: reruns agree wherever the rows lie. Sizes of null texts are 0, and such documents are never taken. A null
-source is a source of its own, last in order. Repeated rows are separate documents. An empty table gives an empty result.
+Random numbers and blocks are hashes of ids, sizes, levels and a number within equal rows: reruns agree wherever the rows lie. Ids keep their
+type. Sizes of null texts are 0, and such documents are never taken. A null source is a source of its own, last in order. Repeated rows are
+separate documents. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ def _meet(state, item, level: int):
 def _reduce_blocks(rows: DataFrame, level: int) -> DataFrame:
     """Rows (key, id, source, n, p, s, block) to one row per block: the settled documents and the one carried on, if any."""
     item = F.struct("key", "id", "source", "n", "p", "s")
-    kind = "struct<key:bigint,id:bigint,source:string,n:bigint,p:double,s:bigint>"
+    id_kind, source_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "source"))
+    kind = f"struct<key:bigint,id:{id_kind},source:{source_kind},n:bigint,p:double,s:bigint>"
     blocks = rows.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("o"), F.col("key").alias("k"), item.alias("x")))).alias("xs"))
 
     def step(state, entry):
@@ -93,7 +94,7 @@ def _reduce_blocks(rows: DataFrame, level: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per document: id, its size in words, its source's size and target, copies and words taken."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"))
+    slim = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"))
     # equal rows are counted and dealt out again with numbers, so that nothing depends on where a row lies; in two steps, as arrays of CHUNK at most
     counted = Written(slim.groupBy("__id", "__source", "__size").agg(F.count("*").alias("__n")), "mix-sizes")
     parts = counted.df.withColumn("__lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(CHUNK).cast("long"))))
