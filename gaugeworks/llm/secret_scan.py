@@ -1,7 +1,8 @@
 """Secret scans: pattern matches, and dictionary-primed zstandard novelty.
 
-Base spans are the leftmost non-overlapping matches of each kind. The method adds spans of kind `novel`: long strings in a sensitive context
-whose marginal compressed size, after a dictionary of common identifiers and the surrounding text, stays close to their own length.
+Base spans are the leftmost non-overlapping matches of each kind. The method adds spans of kind `novel`: strings within REACH code points behind
+a sensitive word, on its line, that hold letters with digits or of both cases, and whose marginal compressed size, after a dictionary of common
+identifiers and CONTEXT code points of text on either side, stays close to their own length.
 
 A null text counts as empty and has no span; its digest is that of the empty text. Spans of one start keep the order of KINDS. Repeated rows
 are scanned each; an empty table gives an empty result. A base span is never dropped; a novel span never overlaps another span.
@@ -29,8 +30,9 @@ ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Words that make the next string sensitive.
-SENSITIVE = re.compile(r"(?:auth|bearer|credential|private|signature|session|cookie|passphrase|client_id|access|key|pwd)[\w-]*[\"']?\x20*[:=]?\x20*[\"']?([A-Za-z0-9+/_=-]{16,})", re.IGNORECASE | re.ASCII)
-SENSITIVE_WORDS = (b"auth", b"bearer", b"credential", b"private", b"signature", b"session", b"cookie", b"passphrase", b"client_id", b"access", b"key", b"pwd")
+SENSITIVE_WORDS = (b"auth", b"bearer", b"credential", b"private", b"signature", b"session", b"cookie", b"passphrase", b"passwd", b"password", b"secret", b"token", b"client_id", b"access", b"key", b"pwd")
+SENSITIVE = re.compile("|".join(w.decode() for w in SENSITIVE_WORDS), re.IGNORECASE | re.ASCII)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_~.@-])[A-Za-z0-9+/_][A-Za-z0-9+/_~.-]{10,}[A-Za-z0-9+/_~-]={0,2}")
 #: Identifiers that code and configuration files share.
 IDENTIFIERS = (
     "access_token refresh_token client_secret client_id api_key apikey private_key public_key secret_key password passwd username user_name "
@@ -40,6 +42,7 @@ IDENTIFIERS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 http https www com org net json xml yaml config settings token"
 )
 CONTEXT = 256
+REACH = 40
 #: Marginal bytes for each byte of the candidate from which it counts as novel.
 NOVELTY = 0.7
 
@@ -67,13 +70,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def mixed(candidate: str) -> bool:
+    """Letters with digits, or capitals closer than those of joined words; words and paths in one case are left alone."""
+    upper, lower, digits = (sum(map(test, candidate)) for test in (str.isupper, str.islower, str.isdigit))
+    return (digits >= 2 and upper + lower >= 2) or (upper >= 3 and lower >= 3 and len(candidate) < 3 * upper)
+
+
 def novel_spans(zstd: zstandard.ZstdCompressor, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = []
-    for m in SENSITIVE.finditer(text):
-        lo, hi = m.span(1)
+    found: list[tuple[int, int, int]] = []
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    last = 0
+    for m in CANDIDATE.finditer(text) if words else ():
+        lo, hi = m.span()
+        while last + 1 < len(words) and words[last + 1][1] <= lo:
+            last += 1
+        end = words[last][1]
+        if not (lo - REACH <= end <= lo) or "\n" in text[end:lo] or not mixed(m[0]):
+            continue
         if any(s < hi and lo < e for s, _, e in taken):
             continue
-        if marginal_bytes(zstd, text[max(0, lo - CONTEXT) : lo], m[1], text[hi : hi + CONTEXT]) >= NOVELTY * (hi - lo):
+        if marginal_bytes(zstd, text[max(0, lo - CONTEXT) : lo], m[0], text[hi : hi + CONTEXT]) >= NOVELTY * (hi - lo):
             found.append((lo, 3, hi))
     return found
 
