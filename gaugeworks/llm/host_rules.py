@@ -1,13 +1,17 @@
 """Quality rules with host-level verdicts; DataFrame functions only.
 
-Rules of a document fail by themselves (BASE) or only count against its host (SOFT). The failures of each host are aggregated, each rate is
-shrunk with a beta prior fitted on all hosts by the method of moments, and a host whose shrunk rate passes HOST_LIMIT loses its documents.
+Rules of a document fail by themselves (BASE) or only count against its host (SOFT). The failures of each host are aggregated, and each rate
+is shrunk with a beta prior fitted on all hosts by the method of moments. A host whose shrunk rate lies DEVIATIONS standard deviations of the
+prior above its mean loses its documents; that limit is held between LOWEST_LIMIT and HIGHEST_LIMIT, so that neither hosts that differ little
+nor a crowd of bad hosts decide alone.
 
 A null text has no word, so it fails. A null host is a host of its own. Repeated rows count each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +21,8 @@ SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent
 GRAM = 5
-HOST_LIMIT = 0.5
+#: See above: the limit of a host's shrunk failure rate.
+DEVIATIONS, LOWEST_LIMIT, HIGHEST_LIMIT = 3.0, 0.3, 0.5
 #: The hosts' verdicts are broadcast up to this many rows (about 50 bytes each); beyond it they are joined by a salted shuffle.
 BROADCAST_HOSTS = 50_000
 SALTS = 64
@@ -83,6 +88,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     strength = F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(10_000.0))
     prior = moments.select((m * strength).alias("__a"), ((1 - m) * strength).alias("__b"), "__hosts").first()
     a, b, n_hosts = (prior["__a"] or 0.0), (prior["__b"] or 0.0), prior["__hosts"]
+    mean = a / (a + b) if a + b else 0.0
+    limit = max(LOWEST_LIMIT, min(HIGHEST_LIMIT, mean + DEVIATIONS * math.sqrt(mean * (1 - mean) / (a + b + 1))))
     verdicts = hosts.select(F.col("__host").alias("__h"), ((F.col("__fails") + F.lit(a)) / (F.col("__docs") + F.lit(a + b))).alias("__rate"))
     if n_hosts <= BROADCAST_HOSTS:
         joined = rows.join(F.broadcast(verdicts), F.col("__host").eqNullSafe(F.col("__h")))
@@ -99,5 +106,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         F.col("__repeat").alias("n_repeat_words"),
         F.col("__failed").alias("base_failed"),
         F.round("__rate", 6).alias("host_rate"),
-        (~F.col("__failed") & (F.col("__rate") <= HOST_LIMIT)).alias("kept"),
+        (~F.col("__failed") & (F.col("__rate") <= limit)).alias("kept"),
     )

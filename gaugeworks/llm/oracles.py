@@ -50,8 +50,8 @@ WITH d AS (
 ), r AS (
   SELECT source, (fails + m * k) / (docs + k) AS rate FROM h, s
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept
-FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= greatest(0.3, least(0.5, m + 3 * sqrt(m * (1 - m) / (k + 1)))) AS kept
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source, s
 """
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
