@@ -5,9 +5,11 @@ every chain of consecutive segments stays within its share of the budget: the fi
 all three in 2. Distinct fingerprints meet in buckets of (segment, value); a pair is a candidate if its chain from that segment keeps
 within these budgets, and a link after the full Hamming check.
 
-A bucket of more than BUCKET fingerprints (a large group of near copies, or a common segment) lists no pairs. Its fingerprints get 65 hub
-keys each, themselves and their one-bit neighbours: two fingerprints differ in at most 2 bits exactly if they share a hub, and a hub has
-at most 65 members, so tying each member to the hub's least member gives the same components at a linear cost.
+The chains are looked for within the bucket; of the pairs that pass, those that tie the bucket together become links, so that a crowd of near
+copies gives no more links than it has members. Three segments of 21 bits or more keep the buckets of distinct texts below BUCKET members up to
+2^21 * BUCKET, some four billion fingerprints. A bucket beyond it, a crowd of near copies, follows the chain to its end by keys: each of its
+fingerprints gets 65 hubs, itself and its one-bit neighbours. Two fingerprints differ in at most 2 bits exactly if they share a hub, and a hub
+has at most 65 members, so tying each member to the hub's least member gives the same components at a linear cost.
 
 A null or empty text has fingerprint 0, linked like any other. Components carry the smallest id; null ids count last. Repeated rows share
 their component. An empty table gives an empty result.
@@ -30,7 +32,9 @@ from .components import components
 RADIUS = 2
 #: Lowest bit and width of the ring's segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-BUCKET = 32
+BUCKET = 2048
+#: Members up to which all pairs of a bucket are held against each other at once.
+FEW = 64
 SEED = 42
 #: Rows of one fingerprint from which it counts as hot, and how many such fingerprints there can be.
 LEAST_HOT, HOT = 200, 10_000
@@ -76,20 +80,41 @@ def _segment(bits: np.ndarray, k: int) -> np.ndarray:
     return (bits >> np.uint64(low)) & np.uint64((1 << width) - 1)
 
 
+def _chained(differ: np.ndarray, seg: int) -> np.ndarray:
+    """Which differences of equal first segments keep the chain's budgets: 1 bit in two of the three segments, RADIUS in all."""
+    near = np.bitwise_count(_segment(differ, seg + 1)) <= RADIUS * 2 // 3
+    return near & (np.bitwise_count(differ) <= RADIUS)
+
+
+def _tied(x: np.ndarray, seg: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links that tie the members of a bucket together as all its near pairs would."""
+    if len(x) <= FEW:
+        i, j = np.triu_indices(len(x), 1)
+        near = _chained(x[i] ^ x[j], seg)
+        return [x[i[near]]], [x[j[near]]]
+    a_out, b_out, left = [], [], x
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front:
+            y = front.pop()
+            near = _chained(left ^ y, seg)
+            if near.any():
+                found, left = left[near], left[~near]
+                a_out.append(np.full(len(found), y))
+                b_out.append(found)
+                front.extend(found)
+    return a_out, b_out
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets (segment, fps) of BUCKET fingerprints at most to links: the chain filter, then the Hamming check."""
     for batch in batches:
         a_out, b_out = [], []
-        for seg, fps in zip(batch.column("seg").to_pylist(), batch.column("fps").to_pylist(), strict=True):
-            x = np.array(fps, np.int64)
-            i, j = np.triu_indices(len(x), 1)
-            differ = (x[i] ^ x[j]).view(np.uint64)
-            chain = np.bitwise_count(_segment(differ, seg + 1))
-            near = chain <= RADIUS * 2 // 3  # two of three segments; the first one is equal
-            near &= np.bitwise_count(differ) <= RADIUS
-            a_out.append(x[i[near]])
-            b_out.append(x[j[near]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (a_out, b_out)], ["a", "b"])
+        for k, seg in enumerate(batch.column("seg").to_pylist()):
+            a, b = _tied(batch.column("fps")[k].values.to_numpy(zero_copy_only=False).view(np.uint64), seg)
+            a_out += a
+            b_out += b
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *c]).view(np.int64)) for c in (a_out, b_out)], ["a", "b"])
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -130,8 +155,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies at a similarity of 0.8 or more: an exact join of shingle sets, see keep_one.
 
-#: Bits of a wide fingerprint, and bits in which those of near copies differ at most, nearly always. keep_one does not decide by them.
-WIDE, WIDE_RADIUS = 256, 34
 #: Near copies share SIMILAR[0] / SIMILAR[1] of the union of their shingle sets at least.
 SIMILAR = (4, 5)
 #: Members of a crowded bucket that meet at once; larger ones meet block against block.
@@ -143,36 +166,31 @@ SAMPLE, COMMON, MOST_COMMON = 32, 4, 200_000
 SKETCH = 1024
 
 
-def wide_fingerprint(raw: bytes, shingle: int = 5) -> bytes:
-    """As fingerprint, with 256 bits of two seeded 128-bit hashes of each shingle."""
+def shingle_hashes(raw: bytes, shingle: int = 5) -> np.ndarray:
+    """XXH64 of each shingle of a text in UTF-8, in order; a text of fewer words is one shingle, one without words has none."""
     words = raw.lower().split()
     if not words:
-        return bytes(WIDE // 8)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts, stops = (ends - lengths)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    digest, counts = xxhash.xxh3_128_digest, np.zeros(WIDE, np.int64)
-    for lo in range(0, n, _CHUNK):
-        parts = [joined[s:e] for s, e in zip(starts[lo : lo + _CHUNK], stops[lo : lo + _CHUNK], strict=True)]
-        found = b"".join([digest(x, SEED) + digest(x, SEED + 1) for x in parts])
-        counts += np.unpackbits(np.frombuffer(found, np.uint8).reshape(-1, WIDE // 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n).tobytes()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingles, as a signed number."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[lo : lo + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
 def shingle_set(raw: bytes, shingle: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text in UTF-8; a text of fewer words is one shingle, one without words has none."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts, stops = (ends - lengths)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, n))
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(shingle_hashes(raw, shingle))
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -239,17 +257,18 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _set_prints(texts: DataFrame, shingle: int) -> DataFrame:
-    """(who, text) to (who, digest of the shingle set, its size, its sketch, its prefix)."""
+    """(who, text) to (who, fingerprint, digest of the shingle set, its size, its sketch, its prefix)."""
     common, rank = _common(texts.where(F.pmod(F.col("who.k"), F.lit(SAMPLE)) == 0), shingle)
     who = next(f for f in texts.schema.fields if f.name == "who")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in _texts(batch, "text")]
+            hashes = [shingle_hashes(t, shingle) for t in _texts(batch, "text")]
+            prints, sets = pa.array([print_of(x) for x in hashes], pa.int64()), [np.unique(x) for x in hashes]
             digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("who"), digests, pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary()), _lists([prefix(x, common, rank) for x in sets])], ["who", "digest", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("who"), prints, digests, pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary()), _lists([prefix(x, common, rank) for x in sets])], ["who", "fp", "digest", "n", "sketch", "prefix"])
 
-    return texts.mapInArrow(run, T.StructType([who, T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    return texts.mapInArrow(run, T.StructType([who, T.StructField("fp", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
 
 
 def _may_match(n_a, at_a, n_b, at_b):
@@ -364,12 +383,23 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle:
     return _written(candidates.df.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links", candidates, sets).df
 
 
+def _ring_pairs(distinct: DataFrame) -> DataFrame:
+    """Candidates (a, b) by the ring: the first sets of linked fingerprints, and the sets of one fingerprint with its first one."""
+    first = Written(distinct.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "near-fingerprints").df
+    ids = lambda k: first.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}"))
+    linked = links(first.select("fp")).join(ids("a"), "a").join(ids("b"), "b").select("first_a", "first_b")
+    shared = semi_join(distinct.select("id", "fp"), first.where("n > 1"), ["fp"]).join(first, "fp").where("id != first").select("id", "first")
+    return linked.unionByName(shared.toDF("first_a", "first_b")).select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+
+
 def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Distinct sets (id, k, n, sketch, prefix) to edges (a, b) between SIMILAR sets that have the same components as all such pairs.
+    """Distinct sets (id, k, fp, n, sketch, prefix) to edges (a, b) between SIMILAR sets that have the same components as all such pairs.
 
-    Sets meet in buckets of a shingle of both prefixes, which no SIMILAR pair misses. First each member is held against the first one of its
-    bucket, which joins groups of near copies at a linear cost; then all pairs of a bucket whose members are in different components, those of
-    a crowded bucket block against block. Length, position and sketch drop no SIMILAR pair; what they leave is compared set by set.
+    The ring of the fingerprints gives the candidates that differ least. What lies between its radius and SIMILAR, some ten bits of 64, no ring
+    of segments prunes; so sets also meet in buckets of a shingle of both prefixes, which no SIMILAR pair misses. First each member is held
+    against the first one of its bucket, which joins groups of near copies at a linear cost; then all pairs of a bucket whose members are in
+    different components, those of a crowded bucket block against block. Length, position and sketch drop no SIMILAR pair; what they leave is
+    compared set by set.
     """
     keyed = distinct.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
     counted = _written(keyed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
@@ -378,11 +408,10 @@ def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     met = semi_join(keyed, counts, ["shingle"]).join(crowds, F.col("shingle") == F.col("s"), "left").drop("s")
     meetings = _written(met.withColumn("g", F.coalesce("g", F.lit(1))).withColumn("block", F.pmod(F.col("id"), F.col("g"))), "near-met", counted)
     met = meetings.df
-    stars = None
+    stars = _ring_pairs(distinct)
     for o in (F.col("id"), F.xxhash64("id", "shingle")):  # the first of a bucket: one order for all buckets, then one for each
         buckets = met.groupBy("shingle", "block").agg(F.collect_list(F.struct(o.alias("o"), "id", "n", "pos")).alias("members")).where(F.size("members") > 1).select("members")
-        found = buckets.mapInArrow(_star_pairs, "a long, b long")
-        stars = found if stars is None else stars.unionByName(found)
+        stars = stars.unionByName(buckets.mapInArrow(_star_pairs, "a long, b long"))
     edges = _verified(_screened(stars, distinct), distinct, texts, shingle)
     roots = Written(components(edges), "near-star-roots").df
     labelled = _written(met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node"), "near-labelled", meetings).df
@@ -399,18 +428,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One row of each group of near copies, the one with the least id, with the columns of `docs`; ties and null ids go by a text hash.
 
     Near copies have sets of shingles with a Jaccard similarity of 0.8 or more; groups are the components of all such pairs. Every pair is
-    found: candidates by prefix filter, length, position and sketch, then the exact similarity. Texts without words are one group.
+    found: candidates by the fingerprints' ring and by prefix filter, length, position and sketch, then the exact similarity. Texts without words are one group.
     """
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("who")
     texts = docs.select(who, F.col(text_col).alias("text"))
     prints = Written(_set_prints(texts, shingle), "near-prints", slim=True)
-    grouped = prints.df.groupBy("digest").agg(F.min("who").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    distinct = _written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "n", "sketch", "prefix"), "near-distinct", prints).df
+    repeated = Written(prints.df.groupBy("who.k").count().where("count > 1").select("k", F.lit(True).alias("twice")), "near-repeated").df
+    grouped = prints.df.groupBy("digest").agg(F.min("who").alias("first"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    distinct = _written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "fp", "n", "sketch", "prefix"), "near-distinct", prints).df
     edges = set_links(distinct.drop("first"), texts, shingle)
     roots = Written(components(edges), "near-roots").df
     rooted = distinct.select("id", "first").join(roots, F.col("id") == F.col("node"), "left")
     least = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
-    keepers = least.select(F.col("first.k").alias("__gw_keep"))
+    keepers = Written(least.select(F.col("first.k").alias("k")).join(repeated, "k", "left").select(F.col("k").alias("__gw_keep"), F.coalesce("twice", F.lit(False)).alias("__gw_twice")), "near-keepers").df
+    if keepers.count() <= BROADCAST_TEXTS:
+        keepers = F.broadcast(keepers)
     keyed_docs = docs.withColumn("__gw_key", key)
-    return keyed_docs.join(keepers, keyed_docs["__gw_key"] == keepers["__gw_keep"], "left_semi").dropDuplicates(["__gw_key"]).drop("__gw_key")
+    on = keyed_docs["__gw_key"] == F.col("__gw_keep")
+    # texts are only shuffled where a row repeats, id and text
+    once, twice = (keyed_docs.join(keepers.where(F.col("__gw_twice") == x), on, "left_semi") for x in (False, True))
+    return once.unionByName(twice.dropDuplicates(["__gw_key"])).drop("__gw_key")
