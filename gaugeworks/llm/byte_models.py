@@ -28,6 +28,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     chosen = (
         labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
         .where("__id is not null and __label is not null")
+        .distinct()
         .orderBy(F.xxhash64("__id"), "__id", "__label")
         .limit(sample_texts)
     )
@@ -35,19 +36,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for key, text, label in zip(*(batch.column(k).to_pylist() for k in ("__id", "__text", "__label")), strict=True):
-                for w in sample_windows(text.encode(), SAMPLE_WINDOWS, zlib.crc32(str(key).encode())):
-                    out[0].append(str(key))
-                    out[1].append(w)
-                    out[2].append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], batch.schema.field("__label").type)], ["k", "w", "y"])
+            keys = [str(k) for k in batch.column("__id").to_pylist()]
+            windows = [sample_windows(text.encode(), SAMPLE_WINDOWS, zlib.crc32(key.encode())) for key, text in zip(keys, batch.column("__text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(windows, pa.list_(pa.binary())), batch.column("__label")], ["k", "w", "y"])
 
     kind = labels.schema[label_col].dataType
-    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("w", T.BinaryType()), T.StructField("y", kind)])
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("w", T.ArrayType(T.BinaryType())), T.StructField("y", kind)])
     # the broadcast side has sample_texts rows of an id and a label at most
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__label").mapInArrow(cut, schema).limit(2 * sample_texts * SAMPLE_WINDOWS).collect()
-    rows = sorted((r.k, bytes(r.w), r.y) for r in rows)
+    found = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__label").mapInArrow(cut, schema)
+    # of several texts of one id, the same one counts wherever they lie: sample_texts rows reach the driver
+    found = found.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("w").alias("h"), "w")).alias("x")).select("k", "y", "x.w").collect()
+    rows = sorted((r.k, bytes(w), r.y) for r in found for w in r.w)
     classes = sorted({r[2] for r in rows})
     if not rows:
         return None, []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and Spark is local (tests)."""
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     if where := spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None):
         return where.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", master := spark.sparkContext.master):
+        raise ValueError(f"spark.checkpoint.dir is unset; executors of {master} would not see each other's files")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="gaugeworks-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
