@@ -1,8 +1,8 @@
 """The corpus pipeline: five operators in a row, each over all that its predecessor kept.
 
 1. quality classifier: documents that it rejects go.
-2. SimHash near-dedup: of each group of near copies, the document with the least id stays. The stage takes shingles of five words and wide
-   fingerprints of 256 bits, whose links mean a similarity of 0.8 or more nearly always.
+2. SimHash near-dedup: of each group of near copies, the document with the least id stays. Near copies share 0.8 or more of their shingles of
+   five words: candidates come from the ring of the fingerprints and, beyond its radius, from rare shingles; each is verified exactly.
 3. benchmark decontamination: contaminated documents go.
 4. secret scans: every secret found in a text is masked; all documents stay.
 5. mixing sources to target weights: words taken from each document.
