@@ -26,6 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -248,7 +250,7 @@ def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
-    """(vocabulary, model, example ids, slope and offset), or the score of every text if the examples have one label."""
+    """(vocabulary, examples, idf, slope and offset), or the score of every text if the examples have one label."""
     examples, vocabulary = _examples(docs, labels, id_col, text_col, label_col)
     if not vocabulary or examples.y.min() == examples.y.max():
         return float(examples.y.mean()) if len(examples.y) else 0.0
@@ -262,7 +264,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             raw[own] = [model.votes(examples.terms[r], examples.counts[r])[0] for r in own]
     known = ~np.isnan(raw)
     curve = calibration(raw[known], examples.y[known]) if known.any() and 0 < examples.y[known].sum() < known.sum() else (1.0, 0.0)
-    return vocabulary, build(examples, np.arange(len(part)), idf), examples.ids, curve
+    return vocabulary, examples, idf, curve
+
+
+def _packed(vocabulary: list[bytes], examples: Examples, idf: np.ndarray, curve: tuple[float, float]) -> bytes:
+    """What a worker builds the model from, compressed; the index itself is some ten times larger."""
+    sizes = np.array([len(t) for t in examples.terms], np.int64)
+    flat = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32).tobytes() for x in (examples.terms, examples.counts)]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((vocabulary, examples.ids, examples.y, examples.share, sizes, *flat, idf, curve)))
+
+
+#: The model of this worker's last task: a worker serves many tasks of one query.
+_LAST: dict[int, tuple] = {}
+
+
+def _unpacked(packed: bytes) -> tuple[dict[bytes, int], Model, list, tuple[float, float]]:
+    key = xxhash.xxh3_64_intdigest(packed)
+    if key not in _LAST:
+        _LAST.clear()
+        vocabulary, ids, y, share, sizes, terms, counts, idf, curve = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+        cuts = np.cumsum(sizes)[:-1]
+        terms, counts = (np.split(np.frombuffer(x, np.int32).astype(np.int64), cuts) for x in (terms, counts))
+        examples = Examples(ids, y, terms, counts, share)
+        _LAST[key] = {t: k for k, t in enumerate(vocabulary)}, build(examples, np.arange(len(ids)), idf), ids, curve
+    return _LAST[key]
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -273,12 +298,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = T.StructType([rows.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("example", id_kind), T.StructField("cosine", T.DoubleType())])))])
     if isinstance(learned, float):
         return rows.select(id_col, F.lit(learned).alias("score"), F.array().cast(schema["evidence"].dataType).alias("evidence"))
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(learned))  # words and postings of SAMPLE_TEXTS examples
+    shared = docs.sparkSession.sparkContext.broadcast(_packed(*learned))  # words and counts of SAMPLE_TEXTS examples
     kind = pa.list_(pa.struct([("example", to_arrow_type(id_kind)), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model, ids, (slope, offset) = pickle.loads(shared.value)
-        number = {t: k for k, t in enumerate(vocabulary)}
+        number, model, ids, (slope, offset) = _unpacked(shared.value)
         for batch in batches:
             scores, evidence = [], []
             for raw in _texts(batch.column(1)):

@@ -192,7 +192,8 @@ def test_toxicity_scores_whole_texts_as_brute_force_does(spark):
     docs, labels = documents(spark, texts), labels_of(spark, rows)
     got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
     learned = toxicity.learn(docs, labels.where(toxicity.bucket_of("doc_id", 3) != 1), "doc_id", "text", "toxic")
-    vocabulary, _, ids, (slope, offset) = learned
+    vocabulary, examples, _, (slope, offset) = learned
+    ids = examples.ids
     fold = lambda t: re.findall(r"[0-9a-z]+", t)
     df, y = Counter(w for t in texts for w in set(fold(t))), {k: int(k % 4 == 0) for k in ids}
     assert set(ids) == {r.doc_id for r in labels.where(toxicity.bucket_of("doc_id", 3) != 1).where("toxic is not null").collect()}
