@@ -163,7 +163,8 @@ CROWD = 1000
 #: The order decides how many texts meet, not which pairs are found.
 SAMPLE, COMMON, MOST_COMMON = 32, 4, 200_000
 #: Bits of a sketch of a set: of each residue of the hashes, whether their number is odd. Sketches differ in no more bits than sets in shingles.
-SKETCH = 1024
+#: A sketch has LEAST_SKETCH bits, or twice as many as its set has shingles, in powers of two; folding its halves gives the shorter ones.
+LEAST_SKETCH, MOST_SKETCH = 512, 1 << 17
 
 
 def shingle_hashes(raw: bytes, shingle: int = 5) -> np.ndarray:
@@ -215,18 +216,35 @@ BROADCAST_TEXTS = 1_000_000
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((hashes % SKETCH).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    bits = min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (2 * len(hashes) - 1).bit_length())) if len(hashes) else LEAST_SKETCH
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
-def _close(n_a, sketch_a: np.ndarray, n_b, sketch_b: np.ndarray) -> np.ndarray:
-    """False only for pairs whose sketches, rows of words, differ in more bits than SIMILAR sets can in shingles."""
+def folded(sketch: bytes, size: int = LEAST_SKETCH // 8) -> np.ndarray:
+    """The sketch of fewer bits, as words."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _allowed(n_a, n_b, differ):
+    """False only for pairs whose sketches differ in more bits than SIMILAR sets can in shingles."""
     part, whole = SIMILAR
-    differ = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=1, dtype=np.int64)
     return (part + whole) * differ <= (whole - part) * (n_a + n_b)
 
 
+def _close(n_a, short_a: np.ndarray, n_b, short_b: np.ndarray) -> np.ndarray:
+    return _allowed(n_a, n_b, np.bitwise_count(short_a ^ short_b).sum(axis=1, dtype=np.int64))
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum(dtype=np.int64))
+
+
 def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LEAST_SKETCH // 64)
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
@@ -257,7 +275,7 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _set_prints(texts: DataFrame, shingle: int) -> DataFrame:
-    """(who, text) to (who, fingerprint, digest of the shingle set, its size, its sketch, its prefix)."""
+    """(who, text) to (who, fingerprint, digest of the shingle set, its size, its sketch, whole and short, its prefix)."""
     common, rank = _common(texts.where(F.pmod(F.col("who.k"), F.lit(SAMPLE)) == 0), shingle)
     who = next(f for f in texts.schema.fields if f.name == "who")
 
@@ -265,10 +283,11 @@ def _set_prints(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             hashes = [shingle_hashes(t, shingle) for t in _texts(batch, "text")]
             prints, sets = pa.array([print_of(x) for x in hashes], pa.int64()), [np.unique(x) for x in hashes]
+            sketches = [sketch(x) for x in sets]
             digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("who"), prints, digests, pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary()), _lists([prefix(x, common, rank) for x in sets])], ["who", "fp", "digest", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("who"), prints, digests, pa.array([len(x) for x in sets], pa.int32()), pa.array(sketches, pa.binary()), pa.array([folded(x).tobytes() for x in sketches], pa.binary()), _lists([prefix(x, common, rank) for x in sets])], ["who", "fp", "digest", "n", "sketch", "short", "prefix"])
 
-    return texts.mapInArrow(run, T.StructType([who, T.StructField("fp", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    return texts.mapInArrow(run, T.StructType([who, T.StructField("fp", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("short", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
 
 
 def _may_match(n_a, at_a, n_b, at_b):
@@ -281,7 +300,7 @@ def _members(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     column = batch.column("members")
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     flat, kind = column.flatten(), column.type.value_type
-    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), {kind.field(k).name: _words(flat.field(k)) if kind.field(k).name == "sketch" else flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(kind.num_fields)}
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), {kind.field(k).name: _words(flat.field(k)) if kind.field(k).name == "short" else flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(kind.num_fields)}
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -318,7 +337,7 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, q = np.nonzero(fit)
             for at in range(0, len(p), _CHUNK):
                 a, b = left[p[at : at + _CHUNK]], right[q[at : at + _CHUNK]]
-                near = _close(m["n"][a], m["sketch"][a], m["n"][b], m["sketch"][b])
+                near = _close(m["n"][a], m["short"][a], m["n"][b], m["short"][b])
                 a_out.append(m["id"][a[near]])
                 b_out.append(m["id"][b[near]])
                 held += len(a_out[-1])
@@ -334,7 +353,8 @@ def _screened(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = (batch.column(x).to_numpy().astype(np.int64) for x in ("n_a", "n_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(_close(n_a, _words(batch.column("x")), n_b, _words(batch.column("y"))), pa.bool_()))
+            differ = np.array([_differ(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(_allowed(n_a, n_b, differ), pa.bool_()))
 
     first = distinct.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
     second = distinct.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
@@ -393,7 +413,7 @@ def _ring_pairs(distinct: DataFrame) -> DataFrame:
 
 
 def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Distinct sets (id, k, fp, n, sketch, prefix) to edges (a, b) between SIMILAR sets that have the same components as all such pairs.
+    """Distinct sets (id, k, fp, n, sketch, short, prefix) to edges (a, b) between SIMILAR sets that have the same components as all such pairs.
 
     The ring of the fingerprints gives the candidates that differ least. What lies between its radius and SIMILAR, some ten bits of 64, no ring
     of segments prunes; so sets also meet in buckets of a shingle of both prefixes, which no SIMILAR pair misses. First each member is held
@@ -419,9 +439,9 @@ def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     left = semi_join(labelled, open_keys, ["shingle"])
     # the pairs of blocks i <= j that a member is part of
     left = left.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    left = left.join(distinct.select("id", "sketch"), "id")
-    crosses = left.groupBy("shingle", "i", "j").agg(F.collect_list(F.struct("id", "n", "pos", "root", "block", "sketch")).alias("members")).where(F.size("members") > 1).select("i", "j", "members")
-    return edges.unionByName(_verified(crosses.mapInArrow(_cross_pairs, "a long, b long"), distinct, texts, shingle))
+    left = left.join(distinct.select("id", "short"), "id")
+    crosses = left.groupBy("shingle", "i", "j").agg(F.collect_list(F.struct("id", "n", "pos", "root", "block", "short")).alias("members")).where(F.size("members") > 1).select("i", "j", "members")
+    return edges.unionByName(_verified(_screened(crosses.mapInArrow(_cross_pairs, "a long, b long"), distinct), distinct, texts, shingle))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -433,10 +453,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("who")
     texts = docs.select(who, F.col(text_col).alias("text"))
-    prints = Written(_set_prints(texts, shingle), "near-prints", slim=True)
+    prints = Written(_set_prints(texts, shingle), "near-prints")
     repeated = Written(prints.df.groupBy("who.k").count().where("count > 1").select("k", F.lit(True).alias("twice")), "near-repeated").df
-    grouped = prints.df.groupBy("digest").agg(F.min("who").alias("first"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    distinct = _written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "fp", "n", "sketch", "prefix"), "near-distinct", prints).df
+    grouped = prints.df.groupBy("digest").agg(F.min("who").alias("first"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.first("prefix").alias("prefix"))
+    distinct = _written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "fp", "n", "sketch", "short", "prefix"), "near-distinct", prints).df
     edges = set_links(distinct.drop("first"), texts, shingle)
     roots = Written(components(edges), "near-roots").df
     rooted = distinct.select("id", "first").join(roots, F.col("id") == F.col("node"), "left")
