@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranked import stretch, with_running
 from .evaluate import clean, empirical_rank
 
-#: Fitted curves are kept as this many knots at most; more distinct scores are averaged in equal shares first.
-KNOTS = 10_000
-
-
 def minmax(train: DataFrame, test: DataFrame) -> DataFrame:
     lo, hi = clean(train).agg(F.min(-F.col("ue")), F.max(-F.col("ue"))).first()
     value = F.try_divide(-F.col("ue") - F.lit(lo), F.lit(hi) - F.lit(lo))
@@ -24,30 +21,29 @@ def quantile(train: DataFrame, test: DataFrame) -> DataFrame:
     return ranked.withColumnRenamed("rank_share", "confidence")
 
 
-def score_knots(train: DataFrame) -> pd.DataFrame:
-    """Distinct scores with rows and mean target, ascending: KNOTS rows at most reach the driver."""
-    cells = clean(train).groupBy("ue").agg(F.count("*").alias("w"), F.avg("target").alias("y"))
-    if cells.count() > KNOTS:
-        cells = cells.withColumn("b", F.ntile(KNOTS).over(Window.orderBy("ue"))).groupBy("b").agg(F.avg("ue").alias("ue"), F.sum("w").alias("w"), (F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y")).drop("b")
-    return cells.toPandas().sort_values("ue", ignore_index=True)
+def score_cells(train: DataFrame) -> DataFrame:
+    """Distinct scores `ue` with their rows `w` and mean target `y`."""
+    return clean(train).groupBy("ue").agg(F.count("*").alias("w"), F.avg("target").alias("y"))
 
 
-def binned_curve(knots: pd.DataFrame, bins: int) -> tuple[np.ndarray, np.ndarray]:
+def binned_curve(cells: DataFrame, bins: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of bins of nearly equal counts, and the mean target of each bin. A score above an edge belongs to the bin behind it."""
-    total = knots["w"].cumsum().to_numpy()
-    at = np.searchsorted(total, np.arange(1, bins) * total[-1] / bins)
-    edges = np.unique(np.concatenate([[knots["ue"].iloc[0]], knots["ue"].to_numpy()[at], [knots["ue"].iloc[-1]]]))
-    place = np.clip(np.searchsorted(edges, knots["ue"], side="left") - 1, 0, len(edges) - 2)
-    w = np.bincount(place, knots["w"], len(edges) - 1)
-    return edges, np.bincount(place, knots["w"] * knots["y"], len(edges) - 1) / np.maximum(w, 1)
+    total, lo, hi = cells.agg(F.sum("w"), F.min("ue"), F.max("ue")).first()
+    if total is None or lo == hi:
+        return np.array([] if lo is None else [lo]), np.array([] if lo is None else [cells.agg(F.avg("y")).first()[0]])
+    ranked = with_running(cells, [], ["ue"], {"cum": F.col("w")})
+    inner = ranked.agg(*(F.min(F.when(F.col("cum") >= k * total / bins, F.col("ue"))) for k in range(1, bins))).first()
+    edges = np.unique(np.array([lo, *inner, hi]))
+    place = F.greatest(F.lit(0), F.size(F.filter(F.array(*map(F.lit, edges.tolist())), lambda e: e < F.col("ue"))) - 1)
+    means = {r.k: r.m for r in cells.groupBy(place.alias("k")).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m")).collect()}  # a row per bin
+    return edges, np.array([means.get(k, 0.0) for k in range(len(edges) - 1)])
 
 
 def binned(train: DataFrame, test: DataFrame, bins: int = 10) -> DataFrame:
     """The mean target of the score's bin. Scores up to the first edge, or above the last, take the last bin, as index -1 does."""
-    knots = score_knots(train)
-    if len(knots) < 2:
-        return test.select("unit", F.lit(float(knots["y"].iloc[0]) if len(knots) else None).cast("double").alias("confidence"))
-    edges, means = binned_curve(knots, bins)
+    edges, means = binned_curve(score_cells(train), bins)
+    if len(edges) < 2:
+        return test.select("unit", F.lit(float(means[0]) if len(means) else None).cast("double").alias("confidence"))
     out = F.lit(float(means[-1]))
     for k in reversed(range(len(means))):
         out = F.when((F.col("ue") > float(edges[k])) & (F.col("ue") <= float(edges[k + 1])), float(means[k])).otherwise(out)
@@ -55,40 +51,70 @@ def binned(train: DataFrame, test: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def pool(y: np.ndarray, w: np.ndarray) -> list[list[float]]:
-    """Pool adjacent violators for a rising fit: blocks of [mean, weight, members]."""
+    """Pool adjacent violators, and equal neighbours, for a strictly rising fit: blocks of [mean, weight, members]."""
     blocks: list[list[float]] = []
     for value, weight in zip(y, w, strict=True):
         blocks.append([float(value), float(weight), 1])
-        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0] - 1e-12:
             b, a = blocks.pop(), blocks.pop()
             total = a[1] + b[1]
             blocks.append([(a[0] * a[1] + b[0] * b[1]) / total, total, a[2] + b[2]])
     return blocks
 
 
-def centered_isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Points of the centered rising fit: each block shrinks to its weighted mean of x; the first and the last x keep their values."""
-    w = np.ones(len(x)) if w is None else w
-    px, py, k = [], [], 0
-    for mean, weight, n in pool(y, w):
-        part = slice(k, k + int(n))
-        px.append(float((x[part] * w[part]).sum() / weight))
-        py.append(mean)
-        k += int(n)
-    if px and px[0] > x[0]:
-        px, py = [float(x[0]), *px], [py[0], *py]
-    if px and px[-1] < x[-1]:
-        px, py = [*px, float(x[-1])], [*py, py[-1]]
+#: Columns of the blocks of a rising fit: mean, weight, weighted sum of x, first and last x.
+BLOCK = "mean double, weight double, xw double, first double, last double"
+
+
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """Blocks in order of x, pooled until their means rise."""
+    if not len(rows):
+        return rows
+    pooled = pool(rows["mean"].to_numpy(), rows["weight"].to_numpy())
+    sizes = np.array([int(b[2]) for b in pooled])
+    at = np.cumsum(sizes) - sizes
+    return pd.DataFrame({"mean": [b[0] for b in pooled], "weight": [b[1] for b in pooled], "xw": np.add.reduceat(rows["xw"].to_numpy(), at), "first": rows["first"].to_numpy()[at], "last": rows["last"].to_numpy()[at + sizes - 1]})
+
+
+def _blocks(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> pd.DataFrame:
+    return _merge(pd.DataFrame({"mean": y, "weight": w, "xw": x * w, "first": x, "last": x}).astype(float))
+
+
+def rising_fit(cells: DataFrame) -> pd.DataFrame:
+    """Blocks of the rising fit of (x, y, w). Pooling within stretches of x first changes nothing, so only the stretches' blocks reach the driver."""
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        return _blocks(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
+
+    found = cells.select("x", "y", "w", stretch(cells, ["x"], n).alias("part")).groupBy("part").applyInPandas(fit, BLOCK).toPandas()
+    return _merge(found.sort_values("first", ignore_index=True))
+
+
+def _points(blocks: pd.DataFrame, low: float = 0.0, high: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Each step shrinks to its weighted mean of x, but the outer steps to the first and the last x; steps at `low` or `high` keep both ends."""
+    px, py, n = [], [], len(blocks)
+    for k, (mean, weight, xw, first, last) in enumerate(blocks.itertuples(index=False)):
+        ends = [first, last] if mean in (low, high) else [first] if k == 0 else [last] if k == n - 1 else [xw / weight]
+        px += ends
+        py += [mean] * len(ends)
     return np.array(px), np.array(py)
 
 
+def centered_isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the centered rising fit of rows in order of x."""
+    return _points(_blocks(x, y, np.ones(len(x)) if w is None else w))
+
+
 def isotonic(train: DataFrame, test: DataFrame) -> DataFrame:
     """Confidence that falls with ue: a centered isotonic fit in [0, 1], linear between its points, flat beyond them."""
-    knots = score_knots(train)
-    if not len(knots):
+    blocks = rising_fit(score_cells(train).withColumn("x", -F.col("ue")))
+    blocks["mean"] = blocks["mean"].clip(0, 1)
+    px, py = _points(_merge(blocks))
+    if not len(px):
         return test.select("unit", F.lit(None).cast("double").alias("confidence"))
-    px, py = centered_isotonic(-knots["ue"].to_numpy()[::-1], knots["y"].to_numpy()[::-1], knots["w"].to_numpy(float)[::-1])
-    shared = test.sparkSession.sparkContext.broadcast((px, np.clip(py, 0, 1)))  # KNOTS points at most
+    shared = test.sparkSession.sparkContext.broadcast((px, py))  # the steps of the curve
 
     @F.pandas_udf("double")
     def apply(ue: pd.Series) -> pd.Series:
@@ -99,10 +125,9 @@ def isotonic(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def isotonic_scores(df: DataFrame) -> DataFrame:
     """`df` with ue replaced by its isotonic estimate of an error."""
-    knots = score_knots(df)
-    blocks = pool(1 - knots["y"].to_numpy(), knots["w"].to_numpy(float))
-    fitted = np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
-    shared = df.sparkSession.sparkContext.broadcast((knots["ue"].to_numpy(), fitted))
+    blocks = rising_fit(score_cells(df).select(F.col("ue").alias("x"), (1 - F.col("y")).alias("y"), "w"))
+    x, y = blocks[["first", "last"]].to_numpy().ravel(), np.repeat(blocks["mean"].to_numpy(), 2)
+    shared = df.sparkSession.sparkContext.broadcast((x, y))  # the steps of the curve
 
     @F.pandas_udf("double")
     def apply(ue: pd.Series) -> pd.Series:

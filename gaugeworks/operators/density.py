@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 
 def moments(train: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sum and sum of outer products, added up in each partition first: what reaches the driver has the size of one covariance."""
+    """Rows, sum and sum of outer products, added up in each partition and then by entry: one covariance reaches the driver."""
 
     def partial(batches):
-        n, s, ss = 0, None, None
+        total = None
         for pdf in batches:
-            x = np.stack(pdf[column].to_numpy()).astype(float) if len(pdf) else None
-            if x is not None:
-                n, s, ss = n + len(x), x.sum(axis=0) + (0 if s is None else s), x.T @ x + (0 if ss is None else ss)
-        if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
-
-    n, s, ss = 0, 0, 0
-    for r in train.select(column).mapInPandas(partial, "n long, s array<double>, ss array<double>").toLocalIterator():
-        n, s, ss = n + r.n, s + np.array(r.s), ss + np.array(r.ss)
-    d = len(s) if n else 0
-    return n, np.array(s), np.array(ss).reshape(d, d)
+            if len(pdf):
+                x = np.stack(pdf[column].to_numpy()).astype(float)
+                part = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+    found = train.select(column).mapInPandas(partial, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
+    if not len(found):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    d = int(round((-1 + np.sqrt(1 + 4 * (len(found) - 1))) / 2))
+    return int(found[0]), found[1 : d + 1], found[d + 1 :].reshape(d, d)
 
 
 def fit(train: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ranked import with_running
+from ..plans.ranked import stretch, with_running
 
 
 def clean(df: DataFrame, bound: float = 1e7) -> DataFrame:
@@ -117,23 +117,39 @@ def _dominated(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
     return total
 
 
+def _ties(v: np.ndarray, w: np.ndarray) -> int:
+    sums = np.bincount(np.unique(v, return_inverse=True)[1], weights=w).astype(np.int64)
+    return int((sums * (sums - 1) // 2).sum())
+
+
 def pair_counts(df: DataFrame, group: list[str]) -> DataFrame:
     """Per group: n, concordant and discordant pairs of (ue, target), pairs tied in ue and in target.
 
-    Rows combine to distinct (ue, target) cells first; a group's cells, 24 bytes each, are merged in one task.
+    Rows combine to distinct (ue, target) cells, and both axes are cut into stretches. Pairs within a stretch of ue are merged in one task for
+    each, pairs of one stretch of the target and different ones of ue in another, and all others are counted from sums over the stretches.
     """
     cells = clean(df).groupBy(*group, "ue", "target").agg(F.count("*").alias("w"))
     cells = cells.withColumn("__all", F.lit(1))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.withColumns({"__x": stretch(cells, ["ue"], n), "__y": stretch(cells, ["target"], n)})
     keys = group or ["__all"]
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, concordant long, discordant long, tied_ue long, tied_target long"])
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = pdf["ue"].to_numpy(), pdf["target"].to_numpy(), pdf["w"].to_numpy()
-        tie = lambda v: int((lambda s: (s * (s - 1) // 2).sum())(np.bincount(np.unique(v, return_inverse=True)[1], weights=w).astype(np.int64)))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [int(w.sum())], "concordant": [_dominated(x, y, w)], "discordant": [_dominated(x, -y, w)], "tied_ue": [tie(x)], "tied_target": [tie(y)]})
+    def counts(x: str, y: str, of_ue: bool, of_target: bool):
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            a, b, w = pdf[x].to_numpy(), pdf[y].to_numpy(), pdf["w"].to_numpy()
+            return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [int(w.sum()) if of_ue else 0], "concordant": [_dominated(a, b, w)], "discordant": [_dominated(a, -b, w)], "tied_ue": [_ties(a, w) if of_ue else 0], "tied_target": [_ties(b, w) if of_target else 0]})
 
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, concordant long, discordant long, tied_ue long, tied_target long"])
-    return cells.groupBy(*keys).applyInPandas(count, schema).drop("__all")
+        return count
+
+    within_ue = cells.groupBy(*keys, "__x").applyInPandas(counts("ue", "target", True, False), schema)
+    coarse = cells.groupBy(*keys, "__x", "__y", "target").agg(F.sum("w").alias("w"))
+    within_target = coarse.groupBy(*keys, "__y").applyInPandas(counts("__x", "target", False, True), schema)
+    # as many rows as pairs of stretches for each group
+    across = coarse.groupBy(*keys, "__x", "__y").agg(F.sum("w").alias("w")).groupBy(*keys).applyInPandas(counts("__x", "__y", False, False), schema)
+    parts = within_ue.unionByName(within_target).unionByName(across)
+    return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "concordant", "discordant", "tied_ue", "tied_target"))).drop("__all")
 
 
 def kendall(df: DataFrame, group: list[str]) -> DataFrame:

@@ -85,7 +85,7 @@ def eigen_score(z: np.ndarray, alpha: float = 1e-3) -> float:
 
 
 def greedy_classes(classes: np.ndarray) -> list[int]:
-    """Each sample joins the first class whose first member and it entail each other (2), with at least one of the two strictly and none contradicting."""
+    """Each sample joins the first class whose first member and it entail each other (2 both ways)."""
     firsts: list[int] = []
     out = []
     for k in range(len(classes)):

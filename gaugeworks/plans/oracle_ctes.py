@@ -47,3 +47,17 @@ REW = CLAIM + r""",
 crew AS (SELECT *, 1 / (1 + exp(-(length(text) - 40) / 20.0)) AS reward, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY claim_idx), '') AS prev FROM claim),
 cset AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(prev, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS b FROM crew),
 rew AS (SELECT doc_id, claim_idx, text, verified, reward, reward AS validity, CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS redundancy FROM cset)"""
+
+
+def rising(rows: str, x: str, y: str) -> str:
+    """Distinct x with the rising fit of y: the largest, over starts up to x, of the least mean up to any end from x on."""
+    return f"""icell AS (SELECT x, w, sy, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(sy) OVER (ORDER BY x) AS cy FROM (SELECT {x} AS x, count(*) AS w, sum({y}) AS sy FROM {rows} GROUP BY 1)),
+imean AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.sy) / (b.cw - a.cw + a.w) AS m FROM icell a JOIN icell b ON a.i <= b.i),
+ileast AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM imean),
+ifit AS (SELECT x, w, round(f, 12) AS fit FROM icell JOIN (SELECT i, max(m) AS f FROM ileast GROUP BY i) USING (i))"""
+
+
+BINS = """bcell AS (SELECT ue, w, y, sum(w) OVER (ORDER BY ue) AS cum, sum(w) OVER () AS n FROM (SELECT ue, count(*) AS w, avg(target) AS y FROM {rows} GROUP BY ue)),
+bedge AS (SELECT DISTINCT e FROM (SELECT min(ue) AS e FROM bcell UNION ALL SELECT max(ue) FROM bcell UNION ALL SELECT (SELECT min(ue) FROM bcell WHERE cum >= k * n / 10.0) FROM (SELECT unnest(range(1, 10)) AS k, (SELECT max(n) FROM bcell) AS n))),
+bplace AS (SELECT ue, w, y, greatest(0, (SELECT count(*) FROM bedge WHERE e < ue) - 1) AS bin FROM bcell),
+bmean AS (SELECT edges.bin, edges.e AS lo, edges.hi, coalesce(m, 0) AS m FROM (SELECT e, lead(e) OVER (ORDER BY e) AS hi, row_number() OVER (ORDER BY e) - 1 AS bin FROM bedge) edges LEFT JOIN (SELECT bin, sum(w * y) / sum(w) AS m FROM bplace GROUP BY bin) b ON b.bin = edges.bin WHERE edges.hi IS NOT NULL)"""

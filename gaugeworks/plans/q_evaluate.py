@@ -34,8 +34,9 @@ _metric("kendall", lambda d: evaluate.kendall(d, []), f"SELECT round((dis - con)
 _metric("rpp", lambda d: evaluate.reversed_pairs(d, []), f"SELECT round(con / (n * n), 6) AS value FROM ({_PAIRS}), ({_TIES})")
 _metric("ece", lambda d: evaluate.calibration_error(d, []), "SELECT round(sum(CASE WHEN b < 10 THEN abs(e - t) ELSE 0 END) / sum(c), 6) AS value FROM (SELECT floor(p * 10) AS b, count(*) AS c, sum(p) AS e, sum(1 - target) AS t FROM (SELECT target, 1 - exp(-ue) AS p FROM ans) GROUP BY floor(p * 10))")
 _metric("brier", lambda d: evaluate.brier(d, []), "SELECT round(avg(pow(1 - target - (1 - exp(-ue)), 2)), 6) AS value FROM ans")
-_metric("ece_isotonic", lambda d: evaluate.calibration_error(calibrate.isotonic_scores(d), []), None)
-_metric("brier_isotonic", lambda d: evaluate.brier(calibrate.isotonic_scores(d), []), None)
+_ISO = "SELECT * FROM (WITH " + C.rising("ans", "ue", "1 - target") + ", fitted AS (SELECT target, fit AS p FROM ans JOIN ifit ON ans.ue = ifit.x) {} )"
+_metric("ece_isotonic", lambda d: evaluate.calibration_error(calibrate.isotonic_scores(d), []), _ISO.format("SELECT round(sum(CASE WHEN b < 10 THEN abs(e - t) ELSE 0 END) / sum(c), 6) AS value FROM (SELECT floor(p * 10) AS b, count(*) AS c, sum(p) AS e, sum(1 - target) AS t FROM fitted GROUP BY floor(p * 10))"))
+_metric("brier_isotonic", lambda d: evaluate.brier(calibrate.isotonic_scores(d), []), _ISO.format("SELECT round(avg(pow(1 - target - p, 2)), 6) AS value FROM fitted"))
 
 
 @query("target_minmax", _A + "SELECT unit, round(y, 6) AS target FROM norm")
@@ -128,13 +129,19 @@ def quantile_normalizer(spark, sf):
     return rounded(calibrate.quantile(train, test), "confidence")
 
 
-@query("binned_pcc")
+@query("binned_pcc", _FIT + ", " + C.BINS.format(rows="f") + " SELECT unit, round(coalesce((SELECT m FROM bmean WHERE t.ue > lo AND t.ue <= hi), (SELECT last(m ORDER BY bin) FROM bmean)), 6) AS confidence FROM t")
 def binned_pcc(spark, sf):
     train, test = _split(spark, sf)
     return rounded(calibrate.binned(train, test, 10), "confidence")
 
 
-@query("isotonic_pcc")
+_STEPS = """, step AS (SELECT fit, sum(x * w) / sum(w) AS mean, min(x) AS a, max(x) AS b, row_number() OVER (ORDER BY fit) AS k, count(*) OVER () AS n FROM ifit GROUP BY fit),
+point AS (SELECT DISTINCT x, fit AS y FROM (SELECT CASE WHEN fit IN (0, 1) OR k = 1 THEN a WHEN k = n THEN b ELSE mean END AS x, fit FROM step UNION ALL SELECT b, fit FROM step WHERE fit IN (0, 1))),
+lo AS (SELECT unit, max_by(point.x, point.x) AS x0, max_by(point.y, point.x) AS y0 FROM t JOIN point ON point.x <= t.c GROUP BY unit), hi AS (SELECT unit, min_by(point.x, point.x) AS x1, min_by(point.y, point.x) AS y1 FROM t JOIN point ON point.x >= t.c GROUP BY unit)
+SELECT t.unit, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (t.c - x0) / (x1 - x0) END, 6) AS confidence FROM t LEFT JOIN lo ON t.unit = lo.unit LEFT JOIN hi ON t.unit = hi.unit"""
+
+
+@query("isotonic_pcc", _FIT + ", " + C.rising("f", "c", "target") + _STEPS)
 def isotonic_pcc(spark, sf):
     train, test = _split(spark, sf)
     return rounded(calibrate.isotonic(train, test), "confidence")

@@ -139,11 +139,11 @@ for _name, _fn in (("smart_l", sequential.smart_l), ("smart_n", sequential.smart
     query(_name)(_smart)
 
 
-@query("binned_edges")
+@query("binned_edges", f"WITH {C.ANS}, " + C.BINS.format(rows="ans") + " SELECT CAST(bin AS INT) AS bin, round(lo, 6) AS edge, round(m, 6) AS mean FROM bmean")
 def binned_edges(spark, sf):
     from ..operators import calibrate
 
-    edges, means = calibrate.binned_curve(calibrate.score_knots(S.scored_answers(spark, sf)), 10)
+    edges, means = calibrate.binned_curve(calibrate.score_cells(S.scored_answers(spark, sf)), 10)
     return spark.createDataFrame([(k, float(np.round(edges[k], 6)), float(np.round(means[k], 6))) for k in range(len(means))], "bin int, edge double, mean double")
 
 
@@ -153,7 +153,7 @@ def multi_dataset_load(spark, sf):
     a, b = io.scratch(spark, "set-a"), io.scratch(spark, "set-b")
     d = S.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("label"), F.when(F.col("doc_id") % 4 == 1, "test").otherwise("train").alias("split"))
     d.where("doc_id % 4 = 0").write.parquet(a)
-    d.where("doc_id % 4 IN (1, 2)").write.parquet(b)
+    d.where("doc_id % 4 > 0").write.parquet(b)
     return io.load_many(spark, [[a], f"{b}:test"], 228, "doc_id", {"label": "bigint"}).select("doc_id", "label")
 
 

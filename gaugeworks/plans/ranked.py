@@ -1,7 +1,8 @@
 """Ranks and running sums over a global order, without one task for all rows.
 
-Rows are dealt out into stretches of the order by approximate quantiles of its first column, which are computed first and are then constants
-of the plan, so that every branch and every retried task cuts alike. Running values within a stretch come from a window over the stretch;
+Rows are dealt out into stretches of the order by approximate quantiles of its first column, and where a value of it fills whole stretches, by
+quantiles of the second column among its rows. These are computed first and are then constants of the plan, so that every branch and every
+retried task cuts alike. Running values within a stretch come from a window over the stretch;
 what lies before it comes from the table of stretches, one row for each group and stretch, whose size is bounded by groups times stretches. That table is small, but joined without a hint: adaptive execution decides on its measured size.
 """
 
@@ -9,17 +10,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _below(cuts: list, column: str) -> Column:
+    """The number of cuts below a value; cuts are constants."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
+
+
+def stretch(df: DataFrame, order: list[str], n: int) -> Column:
+    """The number of a row's stretch, rising with the order; of n stretches or somewhat more."""
+    if n < 2:
+        return F.lit(0)
+    shares = [k / n for k in range(1, n)]
+    found = df.agg(F.percentile_approx(order[0], shares, 10_000)).first()[0] or []
+    part = _below(sorted(set(found)), order[0]) * (n + 1)
+    # a value that is the cut more than once holds over 1 / n of all rows: there are n such values at most
+    hot = sorted({v for v in found if found.count(v) > 1})
+    numeric = len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.NumericType)
+    if not hot or not numeric:
+        return part
+    within = df.where(F.col(order[0]).isin(hot)).groupBy(order[0]).agg(F.percentile_approx(order[1], shares, 10_000).alias("c")).collect()
+    inner = F.lit(0)
+    for row in within:
+        inner = F.when(F.col(order[0]) == row[0], _below(sorted(set(row["c"])), order[1])).otherwise(inner)
+    return part + inner
 
 
 def with_running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column] | None = None, partitions: int | None = None) -> DataFrame:
     """`df` with `rank` (from 1, by the ascending `order`, which must be unique in a group), `n` rows of the group, and running sums."""
     sums = sums or {}
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(order[0], [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    # the number of cuts below a value; cuts are n - 1 constants at most
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
-    dealt = df.withColumn("__part", part)
+    dealt = df.withColumn("__part", stretch(df, order, n))
     for k, c in sums.items():
         dealt = dealt.withColumn(f"__v_{k}", c)
     local = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
