@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features
@@ -55,10 +56,10 @@ def csv_source(spark, sf):
     return io.load(spark, path, "csv", "question", "lang", template="Q: {q}\nA:")
 
 
-@query("json_source", "SELECT CAST(doc_id AS VARCHAR) AS input_text, '' AS target_text FROM documents WHERE doc_id < 100")
+@query("json_source", "SELECT CAST(doc_id AS VARCHAR) AS input_text, '' AS target_text FROM documents")
 def json_source(spark, sf):
     path = io.scratch(spark, "json")
-    S.table(spark, sf, "documents").where("doc_id < 100").select(F.col("doc_id").cast("string").alias("question")).write.json(path)
+    S.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("question")).write.json(path)
     return io.load(spark, path, "json", "question", None)
 
 
@@ -108,3 +109,68 @@ def provider_cache(spark, sf):
 def review_sheet(spark, sf):
     rows = S.claims(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("claim_idx", "text", "verified"))).alias("c"))
     return io.explode_checked(rows.select("doc_id", F.col("c.text").alias("claims"), F.col("c.verified").alias("labels")), "claims", "labels").select("doc_id", F.col("claims").alias("claim"), F.col("labels").alias("label"))
+
+
+_TURNS = r"turns AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM conversations)"
+
+
+def _pairs_asked(spark, sf, provider):
+    t = S.table(spark, sf, "conversations")
+    a, b = (t.select("conv_id", F.col("turn").alias(k), F.col("text").alias(f"t_{k}")) for k in "ij")
+    rows = a.join(b, "conv_id").where("i < j").withColumn("prompt", F.concat("t_i", F.lit(providers.PAIR), "t_j"))
+    return providers.ask(rows, provider, "prompt")
+
+
+@query("nli_provider", f"WITH {C.PAIR}, same AS (SELECT a.conv_id, a.turn AS i, b.turn AS j, a.text = b.text AS eq FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id) SELECT conv_id, i, j, round(e, 6) AS entail, round((1 - e) / 2, 6) AS neutral, round((1 - e) / 2, 6) AS contra FROM (SELECT p.conv_id, p.i, p.j, CASE WHEN eq THEN 1.0 ELSE least(1.0, 10 * jac) END AS e FROM pair p JOIN same s ON p.conv_id = s.conv_id AND p.i = s.i AND p.j = s.j WHERE p.i < p.j)")
+def nli_provider(spark, sf):
+    """Each distinct pair of turns asked once."""
+    return rounded(_pairs_asked(spark, sf, providers.OverlapNli()).select("conv_id", "i", "j", "entail", "neutral", "contra"), "entail", "neutral", "contra")
+
+
+@query("similarity_provider", f"WITH {C.PAIR} SELECT conv_id, i, j, round(jac, 6) AS similarity FROM pair WHERE i < j")
+def similarity_provider(spark, sf):
+    return rounded(_pairs_asked(spark, sf, providers.OverlapSimilarity()).select("conv_id", "i", "j", "similarity"), "similarity")
+
+
+@query("step_sampling", f"WITH {_TURNS} SELECT conv_id, turn, k AS sample_idx, array_to_string(list_concat(w[k + 1:], w[1:k]), ' ') AS text FROM turns, (SELECT unnest(range(4)) AS k)")
+def step_sampling(spark, sf):
+    """Four samples of each step, one row each."""
+    rows = S.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    asked = providers.ask(rows, providers.RotatingSamples(4), "prompt")
+    return asked.select("conv_id", "turn", F.posexplode("samples").alias("sample_idx", "text")).select("conv_id", "turn", F.col("sample_idx").cast("long").alias("sample_idx"), "text")
+
+
+@query("conditional_scores", f"WITH {_TURNS}, p AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY conv_id ORDER BY turn), []) AS c FROM turns) SELECT conv_id, turn, round(list_sum(list_transform(w, lambda x: -ln(1 + length(x)) - 1 / (1 + len(c)))), 6) AS logprob, CAST(len(w) AS INT) AS n FROM p")
+def conditional_scores(spark, sf):
+    """The log-likelihood of each turn given the one before it."""
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    rows = S.table(spark, sf, "conversations").select("conv_id", "turn", F.concat(before, F.lit(providers.PAIR), F.col("text")).alias("prompt"))
+    asked = providers.ask(rows, providers.LengthLikelihood(), "prompt")
+    total = F.when(F.size("lls") > 0, F.aggregate("lls", F.lit(0.0), lambda s, x: s + x))
+    return rounded(asked.select("conv_id", "turn", total.alias("logprob"), F.size("lls").alias("n")), "logprob")
+
+
+@query("hashed_alternatives", f"WITH {_TURNS}, tok AS (SELECT conv_id, turn, unnest(w) AS w, unnest(range(len(w))) AS pos FROM turns), alt AS (SELECT *, w || repeat('~', CAST(k AS BIGINT)) AS token, -ln(2) * (k + 1) AS lp FROM tok, (SELECT unnest(range(5)) AS k)) SELECT conv_id, turn, pos, CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 50000 AS idx, round(max(lp), 6) AS logprob FROM alt GROUP BY ALL")
+def hashed_alternatives(spark, sf):
+    """Top words of a closed model at each position, in a hashed vocabulary; of words in one place the likelier one counts."""
+    rows = S.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    asked = providers.ask(rows, providers.Alternatives(5), "prompt").select("conv_id", "turn", F.posexplode("alternatives").alias("pos", "a"))
+    cells = asked.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.explode("a").alias("x")).select("conv_id", "turn", "pos", providers.hashed_index(F.col("x.token")).alias("idx"), "x.logprob")
+    return rounded(cells.groupBy("conv_id", "turn", "pos", "idx").agg(F.max("logprob").alias("logprob")), "logprob")
+
+
+@query("retried_provider", "SELECT conv_id, turn, length(text) AS reply_length FROM conversations")
+def retried_provider(spark, sf):
+    """A model whose calls fail twice before each answer."""
+    rows = S.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    steady = providers.Retrying(providers.Unsteady(providers.EchoChat(), 2), waits=(0.0, 0.0, 0.0))
+    return providers.ask(rows, steady, "prompt").select("conv_id", "turn", F.length("reply").cast("long").alias("reply_length"))
+
+
+@query("routed_scores", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'reward' WHEN 1 THEN 'reason' ELSE 'reason-large' END AS route, round(CAST('0x' || substr(sha256(CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'v:' || text ELSE 'r:' || text END), 1, 12) AS BIGINT) / 281474976710656.0, 6) AS score FROM conversations")
+def routed_scores(spark, sf):
+    """Scorers by the beginning of a model's name, the longest one first."""
+    model = F.when(F.col("turn") % 3 == 0, "reward-7b").when(F.col("turn") % 3 == 1, "reason-7b").otherwise("reason-large-34b")
+    rows = S.table(spark, sf, "conversations").select("conv_id", "turn", model.alias("model"), F.concat(F.when(F.col("turn") % 3 == 1, "v:").when(F.col("turn") % 3 == 2, "r:").otherwise(""), F.col("text")).alias("prompt"))
+    scorers = {"reward": providers.HashScore(), "reason": providers.HashScore(), "reason-large": providers.HashScore()}
+    return rounded(providers.routed(rows, scorers, "model", "prompt").select("conv_id", "turn", "route", "score"), "score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as X
+from . import io
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,19 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(model, ["lang", "tok"]).withColumn("ent", -F.col("ll") * F.exp("ll"))
 
 
+#: Where the sequences of a session's tables are written.
+_SEQUENCES: dict[tuple[str, str], str] = {}
+
+
 def sequences(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("ll", "lm", "ent")) -> DataFrame:
-    """One row per document: arrays of the named fields in order of words. Only these are shuffled."""
-    rows = tokens(spark, sf_dir).groupBy("doc_id", "lang").agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("t"))
-    return rows.select("doc_id", "lang", *(F.col(f"t.{f}").alias(f) for f in fields))
+    """One row per document: arrays of the named fields in order of words. They are derived once and written; a query reads the fields it names."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SEQUENCES:
+        rows = tokens(spark, sf_dir).groupBy("doc_id", "lang").agg(F.sort_array(F.collect_list(F.struct("pos", "ll", "lm", "ent"))).alias("t"))
+        path = io.scratch(spark, "sequences")
+        rows.select("doc_id", "lang", *(F.col(f"t.{f}").alias(f) for f in ("ll", "lm", "ent"))).write.parquet(path)
+        _SEQUENCES[key] = path
+    return spark.read.parquet(_SEQUENCES[key]).select("doc_id", "lang", *fields)
 
 
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:

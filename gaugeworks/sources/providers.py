@@ -6,11 +6,13 @@ Here are deterministic stand-ins only; their outputs carry provider='standin'.
 from __future__ import annotations
 
 import hashlib
+import math
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,6 +51,123 @@ class HashEmbedding:
         return pd.DataFrame({"vec": [[b / 127.5 - 1 for b in hashlib.sha256(t.encode()).digest()[:16]] for t in texts]})
 
 
+#: Between the two texts of a pair, and between a context and what is scored in it.
+PAIR = "\x1e"
+
+
+def _overlap(text: str) -> float:
+    """The Jaccard similarity of a pair's words."""
+    a, b = (set(x.split()) for x in text.split(PAIR, 1))
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+class OverlapNli:
+    """Entailment, neutrality and contradiction of a pair from the words it shares."""
+
+    name, schema = "standin", "entail double, neutral double, contra double"
+
+    def answer(self, texts: list[str]) -> pd.DataFrame:
+        entail = [1.0 if t.split(PAIR, 1)[0] == t.split(PAIR, 1)[1] else min(1.0, 10 * _overlap(t)) for t in texts]
+        return pd.DataFrame({"entail": entail, "neutral": [(1 - e) / 2 for e in entail], "contra": [(1 - e) / 2 for e in entail]})
+
+
+class OverlapSimilarity:
+    """Similarity of a pair in [0, 1]."""
+
+    name, schema = "standin", "similarity double"
+
+    def answer(self, texts: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"similarity": [_overlap(t) for t in texts]})
+
+
+class RotatingSamples:
+    """`n` continuations of a prompt: its words from the k-th on, then the first ones."""
+
+    name, schema = "standin", "samples array<string>"
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def answer(self, texts: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"samples": [[" ".join(w[k:] + w[:k]) for k in range(self.n)] for w in (t.split() for t in texts)]})
+
+
+class LengthLikelihood:
+    """Log-likelihood of each word of a text given a context: the longer the word, and the shorter the context, the less likely."""
+
+    name, schema = "standin", "lls array<double>"
+
+    def answer(self, texts: list[str]) -> pd.DataFrame:
+        pairs = [t.split(PAIR, 1) for t in texts]
+        return pd.DataFrame({"lls": [[-math.log(1 + len(w)) - 1 / (1 + len(context.split())) for w in text.split()] for context, text in pairs]})
+
+
+class Alternatives:
+    """The `top` most likely words at each position of a text, the chosen one first, as closed models give them: words and log-probabilities."""
+
+    name, schema = "standin", "alternatives array<array<struct<token:string,logprob:double>>>"
+
+    def __init__(self, top: int):
+        self.top = top
+
+    def answer(self, texts: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"alternatives": [[[{"token": w + "~" * k, "logprob": -math.log(2) * (k + 1)} for k in range(self.top)] for w in t.split()] for t in texts]})
+
+
+#: Width of the vector that words of unknown vocabularies are hashed into.
+HASHED = 50_000
+
+
+def hashed_index(token) -> Column:
+    """A word's place in that vector."""
+    return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % HASHED
+
+
+class Retrying:
+    """A provider that is asked again after an error, with the waits of a remote service; the last error is raised."""
+
+    def __init__(self, provider: Provider, waits: tuple[float, ...] = (5, 10, 30, 60, 120), sleep=time.sleep):
+        self.provider, self.waits, self.sleep = provider, waits, sleep
+        self.name, self.schema = provider.name, provider.schema
+
+    def answer(self, texts: list[str]) -> pd.DataFrame:
+        for wait in self.waits:
+            try:
+                return self.provider.answer(texts)
+            except Exception:  # any failure of a remote call
+                self.sleep(wait)
+        return self.provider.answer(texts)
+
+
+class Unsteady:
+    """Fails `failures` times before each answer; for tests of retries."""
+
+    def __init__(self, provider: Provider, failures: int):
+        self.provider, self.failures, self.left = provider, failures, failures
+        self.name, self.schema = provider.name, provider.schema
+
+    def answer(self, texts: list[str]) -> pd.DataFrame:
+        if self.left:
+            self.left -= 1
+            raise ConnectionError("busy")
+        self.left = self.failures
+        return self.provider.answer(texts)
+
+
+def routed(df: DataFrame, providers: dict[str, Provider], model: str, prompt: str) -> DataFrame:
+    """`df` with a column `score` by the provider of each row's model name; a name without one is an error."""
+    names = [r[0] for r in df.select(model).distinct().limit(1000).collect()]  # models, not rows
+    parts: dict[str, list[str]] = {}
+    for name in names:
+        by_prefix(providers, name)
+        parts.setdefault(max((k for k in providers if name.startswith(k)), key=len), []).append(name)
+    out = None
+    for key, own in sorted(parts.items()):
+        part = apply(df.where(F.col(model).isin(own)), providers[key], prompt).withColumn("route", F.lit(key))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def apply(df: DataFrame, provider: Provider, prompt: str) -> DataFrame:
     """`df` with the provider's columns; one call for each Arrow batch."""
     from pyspark.sql import types as T
