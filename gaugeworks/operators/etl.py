@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..plans.ranked import with_running
 
 
+#: Rows of a sample that one task may gather; larger ones are ranked in stretches.
+ONE_TASK = 10_000
+
+
 def positions(df: DataFrame, key: str) -> DataFrame:
     """`df` with `position` by the key and `total` rows."""
     return with_running(df, [], [key]).withColumn("position", F.col("rank") - 1).withColumnRenamed("n", "total").drop("rank")
@@ -37,8 +41,8 @@ def ceil_partition(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def hash_order(key: Column, seed: int) -> Column:
-    """A repeatable order that looks random: a multiplicative hash, equal on other engines."""
-    return (key * 2654435761 + seed * 40503) % 1000003
+    """A repeatable order that looks random: a multiplicative hash, equal on other engines. Keys of any size stay within a long."""
+    return (F.pmod(key, F.lit(1000003)) * 2654435761 + seed * 40503) % 1000003
 
 
 def hash_split(df: DataFrame, key: str, test_share: float, seed: int) -> DataFrame:
@@ -49,7 +53,9 @@ def hash_split(df: DataFrame, key: str, test_share: float, seed: int) -> DataFra
 def subsample(df: DataFrame, key: str, size: float, seed: int) -> DataFrame:
     """`size` rows, or that share if below 1, by hash order."""
     n = int(size * df.count()) if size < 1 else int(size)
-    return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
+    if n <= ONE_TASK:
+        return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
+    return with_running(df.withColumn("__h", hash_order(F.col(key), seed)), [], ["__h", key]).where(F.col("rank") <= n).select(*df.columns)
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, most: int, seed: int) -> DataFrame:

@@ -185,11 +185,11 @@ def class_histogram(spark, sf):
 query("original_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS original_index FROM documents")(lambda spark, sf: etl.positions(_docs(spark, sf).select("doc_id"), "doc_id").select("doc_id", F.col("position").alias("original_index")))
 
 
-@query("prefix_prompts", f"WITH {C.CLAIM} SELECT doc_id, claim_idx, string_agg(text, chr(10)) OVER (PARTITION BY doc_id ORDER BY claim_idx) AS prompt FROM claim WHERE claim_idx < 4")
+@query("prefix_prompts", f"WITH {C.CLAIM} SELECT doc_id, claim_idx, string_agg(text, chr(10)) OVER (PARTITION BY doc_id ORDER BY claim_idx) AS prompt FROM claim")
 def prefix_prompts(spark, sf):
     """Each claim with all before it, as a fact check is asked."""
     w = Window.partitionBy("doc_id").orderBy("claim_idx").rowsBetween(Window.unboundedPreceding, 0)
-    c = S.claims(spark, sf).where("claim_idx < 4")
+    c = S.claims(spark, sf)
     return c.select("doc_id", "claim_idx", F.array_join(F.collect_list("text").over(w), "\n").alias("prompt"))
 
 

@@ -111,12 +111,12 @@ def embedding_pooling(spark, sf):
     return rounded(e.groupBy("label", "k").agg(F.avg("x").alias("mean"), F.max("x").alias("max"), F.sum("x").alias("sum")), "mean", "max", "sum")
 
 
-@query("leave_one_out", r"WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM conversations WHERE turn = 0) SELECT conv_id, unnest(range(least(len(w), 3))) AS pos, unnest(list_transform(range(least(len(w), 3)), lambda k: array_to_string(list_concat(w[1:k], w[k + 2:]), ' '))) AS text FROM t")
+@query("leave_one_out", r"WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM conversations) SELECT conv_id, turn, unnest(range(len(w))) AS pos, unnest(list_transform(range(len(w)), lambda k: array_to_string(list_concat(w[1:k], w[k + 2:]), ' '))) AS text FROM t")
 def leave_one_out(spark, sf):
     """The texts that a similarity model would compare with the whole: one word left out."""
-    t = S.table(spark, sf, "conversations").where("turn = 0").select("conv_id", X.words(F.col("text")).alias("w"))
-    rows = t.where(F.size("w") > 0).select("conv_id", "w", F.explode(F.sequence(F.lit(0), F.least(F.size("w"), F.lit(3)) - 1)).alias("pos"))
-    return rows.select("conv_id", "pos", F.array_join(F.concat(F.slice("w", F.lit(1), F.col("pos")), F.slice("w", F.col("pos") + 2, F.size("w"))), " ").alias("text"))
+    t = S.table(spark, sf, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("w"))
+    rows = t.where(F.size("w") > 0).select("conv_id", "turn", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("pos"))
+    return rows.select("conv_id", "turn", "pos", F.array_join(F.concat(F.slice("w", F.lit(1), F.col("pos")), F.slice("w", F.col("pos") + 2, F.size("w"))), " ").alias("text"))
 
 
 def _split(spark, sf):
@@ -161,14 +161,14 @@ def rde(spark, sf):
     return rounded(density.robust_density(test, train, "vec_id", "v", "value").select("vec_id", "value"), "value")
 
 
-def _step_pairs(spark, sf, where="claim_idx < 6"):
+def _step_pairs(spark, sf):
     """Samples of a step: lines of documents of one source, five at a time."""
-    c = S.claims(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), X.words(F.col("text")).alias("toks")).where(where)
+    c = S.claims(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), X.words(F.col("text")).alias("toks"))
     a, b = c.select("group_id", "claim_idx", F.col("turn").alias("i"), F.col("toks").alias("x")), c.select("group_id", "claim_idx", F.col("turn").alias("j"), F.col("toks").alias("y"))
     return S.similarity(a.join(b, ["group_id", "claim_idx"]), F.col("i") == F.col("j"))
 
 
-_SP = rf"""WITH {C.CLAIM}, sset AS (SELECT doc_id // 5 AS group_id, claim_idx, doc_id % 5 AS turn, list_distinct(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS t FROM claim WHERE claim_idx < 6),
+_SP = rf"""WITH {C.CLAIM}, sset AS (SELECT doc_id // 5 AS group_id, claim_idx, doc_id % 5 AS turn, list_distinct(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS t FROM claim),
 sj AS (SELECT a.group_id, a.claim_idx, a.turn AS i, b.turn AS j, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS jac FROM sset a JOIN sset b ON a.group_id = b.group_id AND a.claim_idx = b.claim_idx),
 sp AS (SELECT *, CASE WHEN i = j THEN 1.0 ELSE least(1.0, 10 * jac) END AS entail FROM sj) """
 query("steps_degmat", _SP + "SELECT group_id, claim_idx, round(1 - avg(entail), 6) AS value FROM sp GROUP BY group_id, claim_idx")(lambda spark, sf: rounded(pairs.degree_matrix(_step_pairs(spark, sf), ["group_id", "claim_idx"], F.col("entail")), "value"))
@@ -185,8 +185,10 @@ def steps_semantic_entropy(spark, sf):
     return rounded(pairs.semantic_entropy(c, "key", empirical=True).select("key.group_id", "key.claim_idx", "value"), "value")
 
 
-query("steps_eccentricity")(lambda spark, sf: rounded(spectral.per_group(_step_pairs(spark, sf, "true"), ["group_id", "claim_idx"], lambda p: spectral.eccentricity(spectral.dense(p, "entail"))), "value"))
-query("steps_num_sem_sets")(lambda spark, sf: spectral.per_group(_step_pairs(spark, sf, "true"), ["group_id", "claim_idx"], lambda p: spectral.semantic_sets(spectral.dense(p, "entail"), spectral.dense(p, "contra"))))
+query("steps_eccentricity")(lambda spark, sf: rounded(spectral.per_group(_step_pairs(spark, sf), ["group_id", "claim_idx"], lambda p: spectral.eccentricity(spectral.dense(p, "entail"))), "value"))
+query("steps_num_sem_sets", "WITH RECURSIVE" + _SP[4:] + """, tie AS (SELECT a.group_id, a.claim_idx, a.i, a.j FROM sp a JOIN sp b ON a.group_id = b.group_id AND a.claim_idx = b.claim_idx AND a.i = b.j AND a.j = b.i WHERE a.entail > (1 - a.entail) / 2 AND b.entail > (1 - b.entail) / 2),
+reach AS (SELECT group_id, claim_idx, i, j FROM tie UNION SELECT r.group_id, r.claim_idx, r.i, t.j FROM reach r JOIN tie t ON r.group_id = t.group_id AND r.claim_idx = t.claim_idx AND r.j = t.i),
+root AS (SELECT group_id, claim_idx, i, min(j) AS r FROM reach GROUP BY group_id, claim_idx, i) SELECT group_id, claim_idx, CAST(count(DISTINCT r) AS DOUBLE) AS value FROM root GROUP BY group_id, claim_idx""")(lambda spark, sf: spectral.per_group(_step_pairs(spark, sf), ["group_id", "claim_idx"], lambda p: spectral.semantic_sets(spectral.dense(p, "entail"), spectral.dense(p, "contra"))))
 
 
 @query("steps_lexical_similarity")
@@ -194,3 +196,15 @@ def steps_lexical_similarity(spark, sf):
     c = S.claims(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), "text")
     p = c.select("group_id", "claim_idx", F.col("turn").alias("i"), F.col("text").alias("a")).join(c.select("group_id", "claim_idx", F.col("turn").alias("j"), F.col("text").alias("b")), ["group_id", "claim_idx"]).where("i < j")
     return rounded(p.select("group_id", "claim_idx", sequential.lexical_udf("rougeL")("a", "b").alias("s")).groupBy("group_id", "claim_idx").agg((-F.avg("s")).alias("value")), "value")
+
+
+for _k in ("rouge1", "rouge2", "rougeL"):
+
+    def _dissimilarity(spark, sf, kind=_k):
+        """The step as given, sample 0, against the other samples of it."""
+        c = S.claims(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), "text")
+        given, others = c.where("turn = 0").select("group_id", "claim_idx", F.col("text").alias("a")), c.where("turn > 0").select("group_id", "claim_idx", F.col("text").alias("b"))
+        p = given.join(others, ["group_id", "claim_idx"])
+        return rounded(p.select("group_id", "claim_idx", sequential.lexical_udf(kind)("a", "b").alias("s")).groupBy("group_id", "claim_idx").agg((1 - F.avg("s")).alias("value")), "value")
+
+    query(f"steps_dissimilarity_{_k.lower()}")(_dissimilarity)

@@ -16,14 +16,14 @@ OTHER = "Q: {q}\nA:"
 
 
 def _docs(spark, sf):
-    """Documents with a question of up to 60 characters and a reply in steps."""
+    """Documents with their text on one line as the question, and a reply in steps."""
     d = S.table(spark, sf, "documents").select("doc_id", "text", "n_chars", "lang")
-    d = d.withColumn("q", F.trim(F.translate(F.substring("text", 1, 60), "\n", " ")))
+    d = d.withColumn("q", F.trim(F.translate("text", "\n", " ")))
     tail = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("#### 1,"), F.col("n_chars").cast("string"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("so \\boxed{x="), F.col("n_chars").cast("string"), F.lit("%}"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("<Answer>: 3 or "), F.col("n_chars").cast("string"))).otherwise("none")
     return d.withColumn("reply", F.concat(F.lit("- Step 1: "), "q", F.when(F.col("doc_id") % 3 == 0, "").otherwise("\n- Step 2: done"), F.lit("\n"), tail))
 
 
-_D = r"""WITH d0 AS (SELECT doc_id, text, n_chars, lang, trim(translate(substr(text, 1, 60), chr(10), ' ')) AS q FROM documents),
+_D = r"""WITH d0 AS (SELECT doc_id, text, n_chars, lang, trim(translate(text, chr(10), ' ')) AS q FROM documents),
 d AS (SELECT *, '- Step 1: ' || q || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || '- Step 2: done' END || chr(10) || CASE doc_id % 4 WHEN 0 THEN '#### 1,' || n_chars WHEN 1 THEN 'so \boxed{x=' || n_chars || '%}' WHEN 2 THEN '<Answer>: 3 or ' || n_chars ELSE 'none' END AS reply FROM d0) """
 
 
