@@ -137,13 +137,15 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
         raise ValueError(f"the input has columns {sorted(clash)}; name a prefix")
     kept = list(docs.columns)
     rows = docs.withColumn("__text", F.col(text_col)).withColumn("__hits", F.array().cast("array<bigint>")).withColumn("__items", F.array().cast("array<string>"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col)) or [[]]
-    for b, items in enumerate(blocks):
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    items, last = next(blocks, []), False
+    while not last:
+        following = next(blocks, None)
+        last = following is None
         vocabulary = sorted({w for _, words in items for w in words})
         seen = _frequencies(docs, text_col, vocabulary) if items else []
         rank = {w: int(n) for w, n in zip(vocabulary, seen, strict=True)}
         shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(_index(items, rank)))
-        last = b == len(blocks) - 1
         names = [*kept, *added[:4]]
         fields = list(docs.schema.fields)
         if last:
@@ -151,6 +153,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
         else:
             schema = rows.schema
         rows = rows.mapInArrow(lambda batches, shared=shared, last=last, names=names: _match(batches, pickle.loads(shared.value), last, names), schema)
+        items = following
     hit, n = F.col(added[1]), F.col(added[0])
     return rows.withColumn(added[4], (hit > 0) & (SHARE * hit >= n))
 
