@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,16 @@ def bucket_of(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+#: Rows taken from an Arrow batch at once where each holds a text or a set: they bound a worker's memory.
+ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, len(batch), ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, each text's start, each text's length. Null texts have length 0."""
     column = column.cast(pa.large_binary())

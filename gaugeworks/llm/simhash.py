@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, semi_join, text_buffer
+from .common import Written, semi_join, slices, text_buffer
 from .components import components
 
 RADIUS = 2
@@ -263,7 +263,7 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the common shingles of a sample (who, text), sorted, and the rank of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(t, shingle) for t in _texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], ["shingle"])
 
@@ -280,7 +280,7 @@ def _set_prints(texts: DataFrame, shingle: int) -> DataFrame:
     who = next(f for f in texts.schema.fields if f.name == "who")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes = [shingle_hashes(t, shingle) for t in _texts(batch, "text")]
             prints, sets = pa.array([print_of(x) for x in hashes], pa.int64()), [np.unique(x) for x in hashes]
             sketches = [sketch(x) for x in sets]
@@ -351,7 +351,7 @@ def _screened(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Of candidates (a, b), those whose sketches are close."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_a, n_b = (batch.column(x).to_numpy().astype(np.int64) for x in ("n_a", "n_b"))
             differ = np.array([_differ(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], np.int64)
             yield batch.select(["a", "b"]).filter(pa.array(_allowed(n_a, n_b, differ), pa.bool_()))
@@ -365,7 +365,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """The shingle sets (id, hashes) of the wanted (id, k): of the text whose row has the key k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([shingle_set(t, shingle) for t in _texts(batch, "text")])], ["id", "hashes"])
 
     found = Written(wanted, "near-wanted").df
@@ -387,7 +387,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle:
     """Of candidates (a, b), those whose sets are SIMILAR."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             halves = []
             for name in ("x", "y"):
                 column = batch.column(name)

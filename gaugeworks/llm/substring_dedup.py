@@ -28,15 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, semi_join, text_buffer
+from .common import Written, semi_join, slices, text_buffer
 
 LENGTH = 400
 SPAN = 256
 GRAM = 32
 SIZES = (16, 1)
-#: Positions hashed at once, and rows taken from a batch at once: they bound a worker's memory.
+#: Positions hashed at once: they bound a worker's memory.
 SLAB = 1 << 18
-ROWS = 256
 
 _BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -98,12 +97,6 @@ def _names(text: bytes, pos: int, lo: int, hi: int, length: int, span: int) -> t
     return _signed(core), _signed(cover)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, len(batch), ROWS):
-            yield batch.slice(k, ROWS)
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -116,7 +109,7 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, length: int, span: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdCompressor(level=3)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             data, starts, lengths = text_buffer(batch.column(2))
             found: list[list] = [[] for _ in starts]
             view = memoryview(data)
@@ -154,7 +147,7 @@ def _nodes(texts: DataFrame, size: int, length: int, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             out: list[tuple] = []
             for rid, packed, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = zstd.decompress(packed)
@@ -215,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             removed, spans, digests, lists = [], [], [], []
             for n, sha, packed, runs in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 if runs is None:
