@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -19,6 +20,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN: list[str] = []
+#: glibc's call that gives free memory back; absent elsewhere.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,10 +90,14 @@ def bucket_of(id_col: str, modulus: int):
 ROWS = 256
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of `rows` rows at most. After the last one, what the worker no longer needs goes back to the system: it serves more tasks."""
     for batch in batches:
-        for k in range(0, len(batch), ROWS):
-            yield batch.slice(k, ROWS)
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

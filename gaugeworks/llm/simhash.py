@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, out_
     fields = [f for f in docs.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data, starts, lengths = text_buffer(batch.column(at))
             view = memoryview(data)
             found = np.fromiter((fingerprint(bytes(view[s : s + n]), shingle) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)), np.uint64, len(starts))
@@ -108,7 +108,7 @@ def _tied(x: np.ndarray, seg: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets (segment, fps) of BUCKET fingerprints at most to links: the chain filter, then the Hamming check."""
-    for batch in batches:
+    for batch in slices(batches):
         a_out, b_out = [], []
         for k, seg in enumerate(batch.column("seg").to_pylist()):
             a, b = _tied(batch.column("fps")[k].values.to_numpy(zero_copy_only=False).view(np.uint64), seg)
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Near copies share SIMILAR[0] / SIMILAR[1] of the union of their shingle sets at least.
 SIMILAR = (4, 5)
 #: Members of a crowded bucket that meet at once; larger ones meet block against block.
-CROWD = 1000
+CROWD = 500
 #: One text of SAMPLE is looked at for common shingles; those seen COMMON times or more come last in the order of shingles, MOST_COMMON at most.
 #: The order decides how many texts meet, not which pairs are found.
 SAMPLE, COMMON, MOST_COMMON = 32, 4, 200_000
@@ -211,6 +211,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+#: Buckets unpacked at once, of CROWD members or fewer each.
+BUCKETS = 32
 #: Texts looked up by broadcast (16 bytes each); of more, the texts are dealt out by a shuffle.
 BROADCAST_TEXTS = 1_000_000
 
@@ -311,7 +313,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each bucket's members with its first one."""
-    for batch in batches:
+    for batch in slices(batches, BUCKETS):
         offsets, m = _members(batch)
         bucket = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         order = np.lexsort((m["id"], m["o"], bucket))
@@ -322,7 +324,7 @@ def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All close pairs of members from different components; of two blocks, those between the blocks."""
-    for batch in batches:
+    for batch in slices(batches, BUCKETS):
         offsets, m = _members(batch)
         block_i, block_j = (batch.column(x).to_numpy(zero_copy_only=False) for x in "ij")
         one_block = block_i == block_j
