@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import uuid
@@ -23,7 +22,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, spark.checkpoint.dir; where it is unset and Spark is local, in a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir is unset; executors would not see each other's files")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="gaugeworks-io-"))
