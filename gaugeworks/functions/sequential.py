@@ -96,6 +96,31 @@ def merge_words(tokens: list[str], confidences: list[float]) -> list[tuple[str,
     return out
 
 
+def with_spaces(tokens: list[str], text: str) -> list[str]:
+    """Decoded tokens with the space that follows them in the text they were decoded from."""
+    out, at = [], 0
+    for token in tokens:
+        at += len(token)
+        gap = " " if text[at : at + 1] == " " else ""
+        out.append(token + gap)
+        at += len(gap)
+    return out
+
+
+_EDGES = re.compile("([{0}]*)(.*?)([{0}]*)".format(re.escape(PUNCTUATION)), re.DOTALL)
+
+
+def split_edges(tokens: list[str], confidences: list[float]) -> tuple[list[str], list[float]]:
+    """Punctuation and spaces at either end of a token as tokens of their own, certain; blanks at the ends of the whole are dropped."""
+    pieces: list[tuple[str, float]] = []
+    for token, c in zip(tokens, confidences, strict=True):
+        head, body, tail = _EDGES.fullmatch(token).groups()
+        pieces += [*((p, 1.0) for p in head), *([(body, c)] if body else []), *((p, 1.0) for p in tail)]
+    solid = [k for k, (p, _) in enumerate(pieces) if p not in (" ", "\n")]
+    pieces = pieces[solid[0] : solid[-1] + 1] if solid else []
+    return [p for p, _ in pieces], [c for _, c in pieces]
+
+
 def ngrams(words: list[str], n: int) -> Counter:
     return Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
 

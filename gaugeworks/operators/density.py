@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch
+
 
 def moments(train: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, sum and sum of outer products, added up in each partition and then by entry: one covariance reaches the driver."""
@@ -77,31 +79,65 @@ def minimum_covariance(x: np.ndarray, support: float = 0.9, starts: int = 20, st
     return best[1], best[2] + 1e-9 * np.eye(x.shape[1])
 
 
-#: The robust density estimate learns from this many training rows at most, the first by hash of their id.
-RDE_ROWS = 2000
-
-
-def robust_density(df: DataFrame, train: DataFrame, key: str, column: str, out: str, components: int = 16) -> DataFrame:
-    """Kernel principal components (Gaussian kernel) of a bounded training sample, then the robust Mahalanobis distance in them."""
-    rows = train.orderBy(F.xxhash64(key), key).limit(RDE_ROWS).select(column).toPandas()
-    x = np.stack(rows[column].to_numpy()).astype(float)
-    gamma = 1 / x.shape[1]
-    kernel = lambda a, b: np.exp(-gamma * np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T))
-    k = kernel(x, x)
-    row, all_mean = k.mean(axis=0), k.mean()
-    values, vectors = np.linalg.eigh(k - row[None, :] - row[:, None] + all_mean)
-    pick = np.argsort(values)[::-1][: min(components, len(x) - 1)]
-    basis = vectors[:, pick] / np.sqrt(np.maximum(values[pick], 1e-12))
-    project = lambda a: (lambda q: (q - row[None, :] - q.mean(axis=1, keepdims=True) + all_mean) @ basis)(kernel(a, x))
-    mean, cov = minimum_covariance(project(x))
-    shared = df.sparkSession.sparkContext.broadcast((x, gamma, row, all_mean, basis, mean, np.linalg.inv(cov)))  # RDE_ROWS rows
-
-    @F.pandas_udf("double")
-    def score(v: pd.Series) -> pd.Series:
-        x, gamma, row, all_mean, basis, mean, inverse = shared.value
-        a = np.stack(v.to_numpy()).astype(float)
-        q = np.exp(-gamma * np.maximum(0, (a**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * a @ x.T))
-        p = (q - row[None, :] - q.mean(axis=1, keepdims=True) + all_mean) @ basis - mean
-        return pd.Series(np.sqrt(np.maximum(0, np.einsum("ij,jk,ik->i", p, inverse, p))))
-
-    return df.withColumn(out, score(column))
+#: The kernel map is spanned by this many training rows at most, the first by hash of their id: a basis, not the rows that are learned from.
+LANDMARKS = 512
+
+
+def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Gaussian kernel of each row of `a` with each of `b`, of width by the number of columns."""
+    return np.exp(-np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T) / b.shape[1])
+
+
+def _projected(df: DataFrame, column: str, marks: np.ndarray, weights: np.ndarray, offset: np.ndarray, out: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast((marks, weights, offset))  # LANDMARKS rows
+
+    @F.pandas_udf("array<double>")
+    def project(v: pd.Series) -> pd.Series:
+        marks, weights, offset = shared.value
+        if not len(v):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(_kernel(np.stack(v.to_numpy()).astype(float), marks) @ weights - offset))
+
+    return df.withColumn(out, project(column))
+
+
+def _concentrated(rows: DataFrame, column: str, mean: np.ndarray, cov: np.ndarray, support: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Concentration steps over all rows: moments of the nearest `support` share, while their determinant falls. Sums only reach the driver."""
+    level = np.inf
+    for _ in range(steps):
+        near = mahalanobis(rows, column, (mean, np.linalg.inv(cov)), "__d")
+        cut = near.agg(F.percentile_approx("__d", support, 10000)).first()[0]
+        n, s, ss = moments(near.where(F.col("__d") <= cut), column)
+        new_mean = s / n
+        new_cov = (ss - n * np.outer(new_mean, new_mean)) / max(1, n - 1) + 1e-9 * np.eye(len(s))
+        value = np.linalg.slogdet(new_cov)[1]
+        if not value < level - 1e-9:
+            break
+        mean, cov, level = new_mean, new_cov, value
+    return mean, cov
+
+
+def robust_density(df: DataFrame, train: DataFrame, key: str, column: str, out: str, components: int = 100, support: float = 0.9, steps: int = 5) -> DataFrame:
+    """Kernel principal components (Gaussian kernel), then the robust Mahalanobis distance in them.
+
+    Components and covariance come from all training rows, as sums. The kernel map is spanned by LANDMARKS rows (a Nystroem basis): exact up to
+    that many training rows, an approximation of the kernel beyond. There are half as many components as training rows at most, so that the
+    covariance has full rank. No training rows: null.
+    """
+    marks = train.orderBy(F.xxhash64(key), key).limit(LANDMARKS).select(column).toPandas()[column]
+    if not len(marks):
+        return df.withColumn(out, F.lit(None).cast("double"))
+    marks = np.stack(marks.to_numpy()).astype(float)
+    values, vectors = np.linalg.eigh(_kernel(marks, marks))
+    kept = values > 1e-10 * values[-1]
+    root = vectors[:, kept] / np.sqrt(values[kept])
+    mapped = _projected(train, column, marks, root, np.zeros(root.shape[1]), "__p")
+    n, s, ss = moments(mapped, "__p")
+    mean = s / n
+    vectors = np.linalg.eigh(ss / n - np.outer(mean, mean))[1][:, ::-1][:, : max(1, min(components, n // 2))]
+    weights, offset = root @ vectors, mean @ vectors
+    path = scratch(df.sparkSession, "density")
+    _projected(train.select(column), column, marks, weights, offset, "__p").select("__p").write.parquet(path)
+    start = minimum_covariance(_kernel(marks, marks) @ weights - offset, support)
+    model = _concentrated(df.sparkSession.read.parquet(path), "__p", *start, support, steps)
+    return mahalanobis(_projected(df, column, marks, weights, offset, "__p"), "__p", (model[0], np.linalg.inv(model[1])), out).drop("__p")

@@ -117,8 +117,9 @@ def token_char_align(spark, sf):
 @query("word_merge_conf")
 def word_merge_conf(spark, sf):
     def merge(t):
-        parts = [p for k in range(0, len(t), 3) for p in ([t[k : k + 3]] if not set(t[k : k + 3]) & set(sequential.PUNCTUATION) else t[k : k + 3])]
-        return [{"word": w, "confidence": c} for w, c in sequential.merge_words(parts, [round((len(p) + k % 7) / 10, 6) for k, p in enumerate(parts)])]
+        tokens = [t[k : k + 3] for k in range(0, len(t), 3)]
+        parts, confidences = sequential.split_edges(tokens, [round((len(p) + k % 7) / 10, 6) for k, p in enumerate(tokens)])
+        return [{"word": w, "confidence": c} for w, c in sequential.merge_words(parts, confidences)]
 
     rows = _turns(spark, sf).select("conv_id", "turn", F.udf(merge, "array<struct<word:string,confidence:double>>", useArrow=True)("text").alias("w"))
     return rows.select("conv_id", "turn", F.posexplode("w").alias("word_idx", "x")).select("conv_id", "turn", "word_idx", "x.word", "x.confidence")

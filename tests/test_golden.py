@@ -122,6 +122,27 @@ def test_density(spark):
     assert np.abs(centre - x.mean(0)).max() < 0.5
 
 
+@pytest.mark.parametrize("landmarks", [1000, 60])
+def test_robust_density_learns_from_all_rows(spark, monkeypatch, landmarks):
+    """With a landmark for each row, the components are those of the centred kernel matrix; with fewer, distances stay near."""
+    monkeypatch.setattr(density, "LANDMARKS", landmarks)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    train = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    test = spark.createDataFrame([(0, [0.0] * 6), (1, [3.0] * 6)], "id long, v array<double>")
+    got = {r.id: r.d for r in density.robust_density(test, train, "id", "v", "d", components=8, support=1.0).collect()}
+    k = density._kernel(x, x)
+    values, vectors = np.linalg.eigh(k - k.mean(0)[None, :] - k.mean(1)[:, None] + k.mean())
+    basis = vectors[:, ::-1][:, :8] / np.sqrt(values[::-1][:8])
+    project = lambda a: (lambda q: (q - k.mean(0)[None, :] - q.mean(1)[:, None] + k.mean()) @ basis)(density._kernel(a, x))
+    p, q = project(x), project(np.array([[0.0] * 6, [3.0] * 6]))
+    want = np.sqrt(np.einsum("ij,jk,ik->i", q - p.mean(0), np.linalg.inv(np.cov(p.T)), q - p.mean(0)))
+    assert [got[0], got[1]] == pytest.approx(list(want), rel=1e-3 if landmarks > 300 else 0.15)
+    robust = {r.id: r.d for r in density.robust_density(test, train, "id", "v", "d").collect()}
+    assert robust[1] > robust[0]
+    assert [r.d for r in density.robust_density(test, train.where("id < 0"), "id", "v", "d").collect()] == [None, None]
+
+
 def test_ensembles(spark):
     same = [math.log(0.7), math.log(0.3)]
     e = spark.createDataFrame([(0, 0, m, same) for m in range(4)], "obs long, token_idx int, model long, lp array<double>")
@@ -188,6 +209,10 @@ def test_sequential_texts():
     assert Q.match_mask(s, ["born", "Lanny"]) is None
     assert Q.tokens_of_mask("^^  ^", ["ab", "cd", "e"]) == [0, 2]
     assert Q.merge_words(["he", "llo", ",", "you"], [0.9, 0.5, 0.8, 0.7]) == [("hello", 0.5), (",", 0.8), ("you", 0.7)]
+    assert Q.with_spaces(["he", "llo", ",", "you", "!"], "hello, you!") == ["he", "llo", ", ", "you", "!"]
+    assert Q.split_edges([" (he", "llo), ", "it's\n", " "], [0.9, 0.5, 0.8, 0.7]) == (["(", "he", "llo", ")", ",", " ", "it's"], [1.0, 0.9, 0.5, 1.0, 1.0, 1.0, 0.8])
+    assert Q.split_edges([], []) == ([], []) and Q.split_edges(["\n", " "], [0.5, 0.5]) == ([], [])
+    assert Q.merge_words(*Q.split_edges(["he", "llo, ", "you"], [0.9, 0.5, 0.7])) == [("hello", 0.5), (",", 1.0), (" ", 1.0), ("you", 0.7)]
     assert Q.rouge_l(list("abcd"), list("axcd")) == pytest.approx(0.75) and Q.bleu(list("abcd"), list("abcd")) == pytest.approx(1)
     assert Q.smart_l([[1.0, 0.0], [0.0, 1.0]]) == 1.0 and Q.smart_n([[1.0, 0.0], [0.0, 1.0]]) == 1.0
 
