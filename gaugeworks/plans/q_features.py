@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import features
+from ..operators import features, heads
 from ..sources import fixtures as S
 from ..sources import io, providers
 from . import oracle_ctes as C
@@ -48,6 +48,29 @@ def linear_head(spark, sf):
     return rounded(features.apply_head(e.where("vec_id % 10 >= 7"), model, "v", "p").select("vec_id", "y", "p"), "p")
 
 
+def _head_rows(spark, sf):
+    e = S.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 5).cast("int").alias("y"))
+    return [e.where(c) for c in ("vec_id % 10 < 5", "vec_id % 10 IN (5, 6)", "vec_id % 10 >= 7")]
+
+
+@query("layered_head")
+def layered_head(spark, sf):
+    """The head of three hidden layers, stopped early by the validation rows."""
+    train, valid, test = _head_rows(spark, sf)
+    run = heads.fit(train, valid, "vec_id", "v", "y", heads.Setting(positive_weight=1.5))
+    return rounded(heads.apply(test, run, "v", "p").select("vec_id", "y", "p"), "p")
+
+
+@query("head_search")
+def head_search(spark, sf):
+    """Learning rates and positive weights by validation F1, the worse ones ended early."""
+    train, valid, _ = _head_rows(spark, sf)
+    settings = [heads.Setting(rate=r, positive_weight=w, hidden=(32, 16)) for r in (1e-3, 1e-4, 1e-5) for w in (1.0, 2.0, 4.0)]
+    found = heads.search(train, valid, "vec_id", "v", "y", settings)
+    rows = [(k, s.rate, s.positive_weight, n, round(f, 6)) for k, (s, n, f, _) in enumerate(found)]
+    return spark.createDataFrame(rows, "place int, rate double, positive_weight double, epochs int, f1 double")
+
+
 @query("csv_source", "SELECT 'Q: ' || CAST(doc_id AS VARCHAR) || chr(10) || 'A:' AS input_text, lang AS target_text FROM documents")
 def csv_source(spark, sf):
     """Written as CSV and read back through the loader."""
