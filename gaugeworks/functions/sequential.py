@@ -107,14 +107,14 @@ def with_spaces(tokens: list[str], text: str) -> list[str]:
     return out
 
 
-_EDGES = re.compile("([{0}]*)(.*?)([{0}]*)".format(re.escape(PUNCTUATION)), re.DOTALL)
+_EDGES = re.compile(r"([{0}]*)(.*?)([{0}]*)\Z".format(re.escape(PUNCTUATION)), re.DOTALL)
 
 
 def split_edges(tokens: list[str], confidences: list[float]) -> tuple[list[str], list[float]]:
     """Punctuation and spaces at either end of a token as tokens of their own, certain; blanks at the ends of the whole are dropped."""
     pieces: list[tuple[str, float]] = []
     for token, c in zip(tokens, confidences, strict=True):
-        head, body, tail = _EDGES.fullmatch(token).groups()
+        head, body, tail = _EDGES.match(token).groups()
         pieces += [*((p, 1.0) for p in head), *([(body, c)] if body else []), *((p, 1.0) for p in tail)]
     solid = [k for k, (p, _) in enumerate(pieces) if p not in (" ", "\n")]
     pieces = pieces[solid[0] : solid[-1] + 1] if solid else []
