@@ -75,6 +75,7 @@ class BlockMaxIndex:
         self.of_term = np.searchsorted(term[new], np.arange(n_terms + 1))
         self.seen, self.largest = np.bincount(term, minlength=n_terms), np.zeros(n_terms)
         np.maximum.at(self.largest, term, self.weight)
+        self.query = np.zeros(n_terms)  # zero between searches
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosines, largest first, and these; exact.
@@ -100,7 +101,8 @@ class BlockMaxIndex:
             size = self.end[entries] - self.start[entries]
             p = _ranges(self.start[entries], self.end[entries])
             np.add(partial, np.bincount(self.example[p], self.weight[p] * np.repeat(w[inside], size), self.n), out=partial)
-            return float(np.partition(partial, -k)[-k]) if self.n > k else 0.0
+            some = partial[partial > 0]
+            return float(np.partition(some, -k)[-k]) if len(some) >= k else 0.0
 
         first = np.argsort(-bound, kind="stable")[:FIRST]
         wanted[first] = True
@@ -113,10 +115,10 @@ class BlockMaxIndex:
         lo, hi = self.of_example[near], self.of_example[near + 1]
         frequent = terms[by_length[:n_light]]
         if (hi - lo).sum() <= self.seen[frequent].sum():
-            query = np.zeros(self.n_terms)
-            query[terms] = weights
+            self.query[terms] = weights
             p = _ranges(lo, hi)
-            cosine = np.bincount(np.repeat(np.arange(len(near)), hi - lo), self.weights[p] * query[self.terms[p]], len(near))
+            cosine = np.bincount(np.repeat(np.arange(len(near)), hi - lo), self.weights[p] * self.query[self.terms[p]], len(near))
+            self.query[terms] = 0
         else:  # many are near: the frequent terms' own postings are the shorter way
             at = self.of_term[frequent], self.of_term[frequent + 1]
             lo, hi = self.start[at[0]], self.end[at[1] - 1]
@@ -290,6 +292,16 @@ def _unpacked(packed: bytes) -> tuple[dict[bytes, int], Model, list, tuple[float
     return _LAST[key]
 
 
+def _counted(raw: bytes, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a text's known words in order, and how often each occurs."""
+    found = Counter(words_of(raw))
+    known = [w for w in found if w in number]
+    terms = np.fromiter(map(number.__getitem__, known), np.int64, len(known))
+    counts = np.fromiter(map(found.__getitem__, known), np.int64, len(known))
+    order = np.argsort(terms)
+    return terms[order], counts[order]
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Per document: id, score and its nearest examples."""
     learned = learn(docs, labels.where(bucket_of(id_col, FOLDS) != HELD), id_col, text_col, label_col)
@@ -306,9 +318,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             scores, evidence = [], []
             for raw in _texts(batch.column(1)):
-                found = sorted((number[w], n) for w, n in Counter(words_of(raw)).items() if w in number)
-                terms, counts = (np.array(found, np.int64).T if found else np.zeros((2, 0), np.int64))
-                share, near, cosine = model.votes(terms, counts)
+                share, near, cosine = model.votes(*_counted(raw, number))
                 scores.append(1 / (1 + math.exp(-(slope * _logit(share) + offset))))
                 evidence.append([{"example": ids[e], "cosine": c} for e, c in zip(near.tolist(), cosine.tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], [id_col, "score", "evidence"])
