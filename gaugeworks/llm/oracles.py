@@ -77,3 +77,72 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
 """
+
+ORACLE_SQL["op12_funnels"] = r"""
+WITH c AS (
+  SELECT DISTINCT client_id, kind, epoch_us(ts) AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL
+), f(funnel, k1, k2, k3, k4, ex) AS (
+  VALUES ('A', 'view', 'click', 'view', 'purchase', 'error'), ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')
+), s1 AS (
+  SELECT funnel, client_id, t AS t1, k2, k3, k4, ex FROM f JOIN c ON kind = k1
+), a2 AS (
+  SELECT s1.*, c.t AS n2 FROM s1 ASOF LEFT JOIN c ON s1.client_id = c.client_id AND s1.k2 = c.kind AND s1.t1 < c.t
+), b2 AS (
+  SELECT a2.*, c.t AS e2 FROM a2 ASOF LEFT JOIN c ON a2.client_id = c.client_id AND a2.ex = c.kind AND a2.t1 < c.t
+), s2 AS (
+  SELECT funnel, client_id, k3, k4, ex, t1, CASE WHEN n2 - t1 <= 900000000 AND (e2 IS NULL OR e2 > n2) THEN n2 END AS t2 FROM b2
+), a3 AS (
+  SELECT s2.*, c.t AS n3 FROM s2 ASOF LEFT JOIN c ON s2.client_id = c.client_id AND s2.k3 = c.kind AND s2.t2 < c.t
+), b3 AS (
+  SELECT a3.*, c.t AS e3 FROM a3 ASOF LEFT JOIN c ON a3.client_id = c.client_id AND a3.ex = c.kind AND a3.t2 < c.t
+), s3 AS (
+  SELECT funnel, client_id, k4, ex, t1, t2, CASE WHEN n3 - t2 <= 900000000 AND (e3 IS NULL OR e3 > n3) THEN n3 END AS t3 FROM b3
+), a4 AS (
+  SELECT s3.*, c.t AS n4 FROM s3 ASOF LEFT JOIN c ON s3.client_id = c.client_id AND s3.k4 = c.kind AND s3.t3 < c.t
+), b4 AS (
+  SELECT a4.*, c.t AS e4 FROM a4 ASOF LEFT JOIN c ON a4.client_id = c.client_id AND a4.ex = c.kind AND a4.t3 < c.t
+), s4 AS (
+  SELECT funnel, client_id, t1, t2, t3, CASE WHEN n4 - t3 <= 900000000 AND (e4 IS NULL OR e4 > n4) THEN n4 END AS t4 FROM b4
+), g AS (
+  SELECT funnel, client_id, count(*) AS n1, count(t2) AS n2, count(t3) AS n3, count(t4) AS n4,
+         list_sort(list(t2 - t1) FILTER (WHERE t2 IS NOT NULL)) AS d2, list_sort(list(t3 - t2) FILTER (WHERE t3 IS NOT NULL)) AS d3, list_sort(list(t4 - t3) FILTER (WHERE t4 IS NOT NULL)) AS d4
+  FROM s4 GROUP BY funnel, client_id
+), h AS (
+  SELECT *, CASE WHEN n4 > 0 THEN 4 WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END AS deepest FROM g
+)
+SELECT funnel, client_id, n1, n2, n3, n4, CAST(deepest AS INTEGER) AS deepest, d2[(n2 + 1) // 2] AS t2, d3[(n3 + 1) // 2] AS t3, d4[(n4 + 1) // 2] AS t4,
+       count(*) OVER (PARTITION BY funnel, deepest) AS same_depth
+FROM h
+"""
+
+ORACLE_SQL["op13_filter_audit"] = r"""
+WITH x AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), y AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM x
+), l AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT rid, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+    'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words), 'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(y.doc_id > least, false)} AS fails
+  FROM y LEFT JOIN l ON y.doc_id = l.doc_id
+), u AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM u a, u b, u c, u d, u e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, filter_order[:step - 1] AS before, replace('ABCDE', filter_order[step], '') AS others FROM o, (SELECT unnest(range(1, 6)) AS step)
+), v AS (
+  SELECT rid, part, good, toxic, array_to_string(list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: CASE f WHEN 'A' THEN fails['A'] WHEN 'B' THEN fails['B'] WHEN 'C' THEN fails['C'] WHEN 'D' THEN fails['D'] ELSE fails['E'] END), '') AS failed
+  FROM d
+), w AS (
+  SELECT part, filter_order, step, f, good, toxic, failed = f AS alone, contains(failed, f) AS now, regexp_matches(failed, '[' || before || '_]') AS earlier FROM v, s
+), g AS (
+  SELECT part, filter_order, step, f, count(*) FILTER (WHERE NOT earlier AND NOT now) AS kept, count(*) FILTER (WHERE now AND NOT earlier) AS removed, count(*) FILTER (WHERE now AND earlier) AS redundant,
+         count(*) FILTER (WHERE alone) AS unique_fails, count(*) FILTER (WHERE now AND NOT earlier AND good = 1) AS good_lost, count(*) FILTER (WHERE now AND NOT earlier AND toxic = 1) AS toxic_lost
+  FROM w GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, host_rules, language_id, mixing, quality_classifier, secret_scan, simhash, substring_dedup, toxicity
+from . import chat_format, decontamination, filter_audit, funnels, host_rules, language_id, mixing, quality_classifier, secret_scan, sharding, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.count_funnels(table(spark, sf_dir, "clicks"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_source_mixing, op2_quality_classifier, op3_language_id, op4_substring_dedup, op5_toxicity, op6_chat_format, op7_secret_scan, op8_host_rules, op9_simhash, op10_decontamination)
+    found = (op1_source_mixing, op2_quality_classifier, op3_language_id, op4_substring_dedup, op5_toxicity, op6_chat_format, op7_secret_scan, op8_host_rules, op9_simhash, op10_decontamination, op11_sharding, op12_funnels, op13_filter_audit)
     return {f.__name__: f for f in found}
