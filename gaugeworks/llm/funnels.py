@@ -19,8 +19,9 @@ LIMIT = 15 * 60 * 1_000_000
 STEPS = 4
 #: Rows of one group, about. A client beyond LEAST_HOT rows and its share of all rows, 1 / HOT, is cut into stretches of time of about ROWS rows.
 ROWS, LEAST_HOT, HOT = 4096, 20_000, 10_000
-#: Microseconds of one cell when a hot client's times are counted: some 27,500 cells, and as many values in each.
-CELL = 1 << 15
+#: A hot client's times are counted in cells of 1/32 to 1/64 of their value (some 900 up to the limit), then in parts of FINE microseconds of the
+#: cell that holds the median (2048 at most), then one by one.
+TOP_BITS, FINE = 6, 1 << 13
 TIMES = [f"t{k}" for k in range(2, STEPS + 1)]
 COUNTS = [f"n{k}" for k in range(1, STEPS + 1)]
 
@@ -38,6 +39,13 @@ def _kth(values: np.ndarray) -> int:
     return int(np.partition(values, k)[k])
 
 
+def cells_of(times: np.ndarray) -> tuple[list[int], list[int]]:
+    """The cells of times, and the number in each: how many low bits are cut off, and what is left."""
+    cut = np.maximum(np.frexp(times.astype(float))[1] - TOP_BITS, 0)
+    cell, n = np.unique((cut << TOP_BITS) + (times >> cut), return_counts=True)
+    return cell.tolist(), n.tolist()
+
+
 def chains(pdf: pd.DataFrame) -> pd.DataFrame:
     """Attempts of the clients of one group. The last columns hold a hot client's times, whose order statistics other groups take part in."""
     clients, of = np.unique(pdf["client_id"].to_numpy(), return_inverse=True)
@@ -72,8 +80,8 @@ def chains(pdf: pd.DataFrame) -> pd.DataFrame:
         for u in np.flatnonzero(n[0]):
             hot = stretch[first[u]] >= 0
             found = [t[u] for t in times]
-            out.append((name, clients[of[first[u]]], *(int(c[u]) for c in n), *(_kth(t) if len(t) and not hot else None for t in found), bool(hot), *(t.tolist() if hot else None for t in found)))
-    columns = ["funnel", "client_id", *COUNTS, *TIMES, "hot", *(f"d{k}" for k in range(2, STEPS + 1))]
+            out.append((name, clients[of[first[u]]], *(int(c[u]) for c in n), *(_kth(t) if len(t) and not hot else None for t in found), bool(hot), *(x for t in found for x in ((t.tolist(), *cells_of(t)) if hot else (None,) * 3))))
+    columns = ["funnel", "client_id", *COUNTS, *TIMES, "hot", *(f"{x}{k}" for k in range(2, STEPS + 1) for x in ("d", "cell", "in_cell"))]
     return pd.DataFrame(out, columns=columns).astype({t: "Int64" for t in TIMES})
 
 
@@ -98,34 +106,47 @@ def grouped(clicks: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64("client_id", "stretch"), F.lit(max(1, total // ROWS))))
 
 
-def _select(times: DataFrame, ranks: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """For each key, the least value up to which `k` rows lie, and the rank among the rows of that value."""
-    counts = times.groupBy(*keys, value).agg(F.count("*").alias("n"))
+def _holding(counts: DataFrame, ranks: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """For each key, the value at which its rank `k` is reached, and the rank among the rows of that value."""
+    counts = counts.groupBy(*keys, value).agg(F.sum("n").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy(*keys).orderBy(value))
     return counts.join(ranks, keys).withColumn("up_to", up_to).where("up_to >= k and up_to - n < k").select(*keys, value, (F.col("k") - F.col("up_to") + F.col("n")).alias("k"))
 
 
+def medians(found: DataFrame, totals: DataFrame) -> DataFrame:
+    """t2 to t4 of hot clients. Groups have counted their times in cells; only times of the cell that holds the median are looked at one by one."""
+    keys, steps = ["funnel", "client_id"], range(2, STEPS + 1)
+    each = [*keys, "step"]
+    named = lambda *x: F.inline(F.array(*(F.struct(F.lit(k).alias("step"), *(F.col(f"{c}{k}").alias(c) for c in x)) for k in steps)))
+    ranks = totals.select(*keys, named("n")).where("n > 0").select(*each, F.ceil(F.col("n") / 2).alias("k"))
+    counts = found.select(*keys, named("cell", "in_cell")).select(*each, F.inline(F.arrays_zip("cell", F.col("in_cell").alias("n"))))
+    at = _holding(counts, ranks, "cell", each)  # a row for each hot client, funnel and step
+    low = F.expr(f"shiftleft(cell & {(1 << TOP_BITS) - 1}L, cast(cell >> {TOP_BITS} as int))")
+    at = at.select(*each, "k", low.alias("low"), (low + F.expr(f"shiftleft(1L, cast(cell >> {TOP_BITS} as int))")).alias("high"))
+    times = found.select(*keys, named("d")).join(F.broadcast(at.drop("k")), each)
+    times = times.select(*each, F.explode(F.filter("d", lambda x: (x >= F.col("low")) & (x < F.col("high")))).alias("d"), "low").groupBy(*each, "low", "d").agg(F.count("*").alias("n"))
+    times = times.withColumn("part", F.floor((F.col("d") - F.col("low")) / FINE))
+    parts = _holding(times, at.select(*each, "k"), "part", each)
+    exact = _holding(times.join(F.broadcast(parts.drop("k")), [*each, "part"]), parts.select(*each, "k"), "d", each)
+    return exact.groupBy(*keys).agg(*(F.max(F.when(F.col("step") == k, F.col("d"))).alias(f"t{k}") for k in steps))
+
+
 def count_funnels(clicks: DataFrame) -> DataFrame:
     """One row for each funnel and client with attempts: attempts that reach each step, the deepest step, medians of the microseconds from step
     to step, and the number of clients of the same funnel and depth.
 
     Rows with a null client_id, kind or ts and kinds of no funnel are left out; repeated rows count once; later columns are ignored. Times of one
     instant do not follow one another. A client with a large part of all rows is spread over tasks; its medians are found by counting in cells of
-    time, then within the cell that holds the median: both counts are bounded by the limit of a step. An empty table gives no row.
+    time, then within the cell that holds the median: the limit of a step bounds both counts. An empty table gives no row.
     """
     kind = dict(clicks.dtypes)["client_id"]
-    n, t, d = ", ".join(f"{c} long" for c in COUNTS), ", ".join(f"{c} long" for c in TIMES), ", ".join(f"d{k} array<long>" for k in range(2, STEPS + 1))
+    n, t = (", ".join(f"{c} long" for c in x) for x in (COUNTS, TIMES))
+    d = ", ".join(f"{x}{k} array<long>" for k in range(2, STEPS + 1) for x in ("d", "cell", "in_cell"))
     found = Written(grouped(clicks).groupBy("bucket").applyInPandas(chains, f"funnel string, client_id {kind}, {n}, {t}, hot boolean, {d}"), "funnel-chains").df
     keys = ["funnel", "client_id"]
     hot = found.where("hot").groupBy(*keys).agg(*(F.sum(c).alias(c) for c in COUNTS))
-    each = [*keys, "step"]
-    times = found.where("hot").select(*keys, F.inline(F.array(*(F.struct(F.lit(k).alias("step"), F.col(f"d{k}").alias("d")) for k in range(2, STEPS + 1))))).select(*each, F.explode("d").alias("d")).withColumn("cell", F.floor(F.col("d") / CELL))
-    ranks = hot.select(*keys, F.inline(F.array(*(F.struct(F.lit(k).alias("step"), F.ceil(F.col(f"n{k}") / 2).alias("k")) for k in range(2, STEPS + 1))))).where("k > 0")
-    cells = _select(times, ranks, "cell", each)
-    medians = _select(times.join(F.broadcast(cells.select(*each, "cell")), [*each, "cell"]), cells.select(*each, "k"), "d", each)  # a row for each hot client, funnel and step
-    medians = medians.groupBy(*keys).agg(*(F.max(F.when(F.col("step") == k, F.col("d"))).alias(f"t{k}") for k in range(2, STEPS + 1)))
     columns = [*keys, *COUNTS, *TIMES]
-    every = found.where("not hot").select(columns).unionByName(hot.join(medians, keys, "left").select(columns))
+    every = found.where("not hot").select(columns).unionByName(hot.join(medians(found.where("hot"), hot), keys, "left").select(columns))
     deepest = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in COUNTS), F.lit(0)).cast("int")
     every = Written(every.withColumn("deepest", deepest), "funnel-clients", slim=True).df
     depths = every.groupBy("funnel", "deepest").agg(F.count("*").alias("same_depth"))  # twelve rows at most
