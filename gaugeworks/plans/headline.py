@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import estimators, evaluate
 from ..sources import fixtures as S
 from . import oracle_ctes as C
-from . import q_estimators, q_etl, q_evaluate, q_features, q_more, q_select, q_similarity, q_text  # noqa: F401
+from . import q_dialogues, q_estimators, q_etl, q_evaluate, q_features, q_more, q_select, q_similarity, q_text  # noqa: F401
 from .catalog import ORACLES, QUERIES, query, rounded
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -42,6 +43,60 @@ class HashScore:
         return pd.DataFrame({"score": [int(hashlib.sha256(t.encode()).hexdigest()[:12], 16) / 16**12 for t in texts]})
 
 
+class PerText:
+    """A stand-in given by a function of one text, which returns the values of the schema's columns, none of them a struct."""
+
+    name = "standin"
+
+    def __init__(self, schema: str, function: Callable[[str], tuple]):
+        self.schema, self.function = schema, function
+
+    def answer(self, texts: list[str]) -> pd.DataFrame:
+        return pd.DataFrame([self.function(t) for t in texts], columns=re.findall(r"(\w+) [a-z]", self.schema))
+
+
+def digest(*parts) -> str:
+    return hashlib.sha256(PAIR.join(map(str, parts)).encode()).hexdigest()
+
+
+def step_samples(n: int) -> PerText:
+    """`n` next steps of a trajectory; one in two ends it."""
+
+    def samples(text: str) -> tuple:
+        found = [digest(text, k) for k in range(n)]
+        return ([f"- Step {d[:8]}\n" + ("<Answer>:" if d[8] in "01234567" else "") for d in found],)
+
+    return PerText("samples array<string>", samples)
+
+
+def answer_samples(n: int) -> PerText:
+    return PerText("samples array<string>", lambda text: ([" " + digest(text, "answer", k)[:6] for k in range(n)],))
+
+
+def claim_scores() -> PerText:
+    """Uncertainties of up to three claims of a trajectory and a candidate."""
+
+    def scores(text: str) -> tuple:
+        d = digest(text)
+        return ([int(d[3 * k + 1 : 3 * k + 4], 16) / 4095 for k in range(int(d[0], 16) % 4)],)
+
+    return PerText("uncertainties array<double>", scores)
+
+
+def prefix_likelihoods() -> PerText:
+    """Log-likelihood of each word by its length, the length of the word before it, and the number of words before."""
+
+    def lls(text: str) -> tuple:
+        before, _, after = text.partition(PAIR)
+        before, out = before.split(), []
+        for w in after.split():
+            out.append(-math.log(1 + len(w)) - (len(before[-1]) if before else 0) / 100 - 1 / (1 + len(before)))
+            before.append(w)
+        return (out,)
+
+    return PerText("lls array<double>", lls)
+
+
 class HashEmbedding:
     """Sixteen numbers from the text's digest."""
 
@@ -124,19 +179,32 @@ def hashed_index(token) -> Column:
 
 
 class Retrying:
-    """A provider that is asked again after an error, with the waits of a remote service; the last error is raised."""
+    """A provider that is asked again after an error of the connection, with the waits of a remote service; the last error is raised.
+
+    A batch is asked as one. If that fails, what is left of it is asked prompt by prompt, each with waits of its own, so an answer that has come
+    is not asked for again. Errors of other kinds are raised at once.
+    """
 
-    def __init__(self, provider: Provider, waits: tuple[float, ...] = (5, 10, 30, 60, 120), sleep=time.sleep):
-        self.provider, self.waits, self.sleep = provider, waits, sleep
+    def __init__(self, provider: Provider, waits: tuple[float, ...] = (5, 10, 30, 60, 120), sleep=time.sleep, transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)):
+        self.provider, self.waits, self.sleep, self.transient = provider, waits, sleep, transient
         self.name, self.schema = provider.name, provider.schema
 
-    def answer(self, texts: list[str]) -> pd.DataFrame:
-        for wait in self.waits:
+    def _one(self, text: str, waits: tuple[float, ...]) -> pd.DataFrame:
+        for wait in waits:
             try:
-                return self.provider.answer(texts)
-            except Exception:  # any failure of a remote call
+                return self.provider.answer([text])
+            except self.transient:
                 self.sleep(wait)
-        return self.provider.answer(texts)
+        return self.provider.answer([text])
+
+    def answer(self, texts: list[str]) -> pd.DataFrame:
+        try:
+            return self.provider.answer(texts)
+        except self.transient:
+            if not self.waits:
+                raise
+            self.sleep(self.waits[0])
+        return pd.concat([self._one(t, self.waits[1:]) for t in texts], ignore_index=True)
 
 
 class Unsteady:
@@ -154,18 +222,32 @@ class Unsteady:
         return self.provider.answer(texts)
 
 
+def route_of(model: Column, keys: list[str]) -> Column:
+    """The longest of `keys` that a model's name begins with; null if there is none."""
+    return F.coalesce(*(F.when(model.startswith(k), F.lit(k)) for k in sorted(keys, key=len, reverse=True)), F.lit(None).cast("string"))
+
+
 def routed(df: DataFrame, providers: dict[str, Provider], model: str, prompt: str) -> DataFrame:
-    """`df` with a column `score` by the provider of each row's model name; a name without one is an error."""
-    names = [r[0] for r in df.select(model).distinct().limit(1000).collect()]  # models, not rows
-    parts: dict[str, list[str]] = {}
-    for name in names:
-        by_prefix(providers, name)
-        parts.setdefault(max((k for k in providers if name.startswith(k)), key=len), []).append(name)
-    out = None
-    for key, own in sorted(parts.items()):
-        part = apply(df.where(F.col(model).isin(own)), providers[key], prompt).withColumn("route", F.lit(key))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """`df` with columns `score`, `route`, `reason` and `provider`, in one pass: each row is scored by the provider of its model's name.
+
+    Any number of names. Rows with a null name, or one that no provider is for, stay, with a null score and the reason for it. All providers give
+    a column `score`.
+    """
+    from pyspark.sql import types as T
+
+    name = F.col(model)
+    rows = df.withColumn("route", route_of(name, list(providers)))
+    rows = rows.withColumn("reason", F.when(name.isNull(), "no model name").when(F.col("route").isNull(), F.concat(F.lit("no provider for "), name)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True).assign(score=None, provider=None)
+            for key, at in pdf.groupby("route").groups.items():  # null routes are in no group
+                pdf.loc[at, "score"] = providers[key].answer(pdf.loc[at, prompt].fillna("").tolist())["score"].to_numpy()
+                pdf.loc[at, "provider"] = providers[key].name
+            yield pdf.astype({"score": "float64"})
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("provider", T.StringType())]))
 
 
 def apply(df: DataFrame, provider: Provider, prompt: str) -> DataFrame:
