@@ -3,9 +3,10 @@
 1. Examples are a bounded sample of labelled texts: SAMPLE_TEXTS pairs of id and label, the first by hash; of rows of one id the text with the
    least hash counts.
 2. Every word of an example is a term. Its document frequency is counted over all documents. A component of a vector is
-   (1 + ln count) * idf * association^2, where the association is how far the term's share of toxic examples, shrunk to the base rate, lies
-   from that rate, in log-odds; near copies (one min-hash of word windows) share one vote in it. No term is dropped; words of no example meet
-   no posting. (Without the association the cosine follows topics: the README has the figures.)
+   (1 + ln count) * idf * association^p, where the association is how far the term's share of toxic examples, shrunk to the base rate, lies
+   from that rate, in log-odds; near copies (one min-hash of word windows) share one vote in it. The power p, 0 for plain TF-IDF, is the one of POWERS
+   under which examples are best told by models that did not see them: no held-out label has a part in it. No
+   term is dropped; words of no example meet no posting.
 3. Each document's nearest examples are found exactly: blocks of postings whose upper bound cannot reach the k-th best are skipped.
 4. Votes are weighted by distance, shrunk to the base rate, and calibrated by a logistic curve fitted on scores of the examples under models
    that did not see them. The neighbours are the evidence.
@@ -48,8 +49,9 @@ BLOCK, FIRST = 64, 4
 LIGHT = 0.02
 #: The base rate's weight among the votes.
 SHRINK = 3.0
-#: Models of the calibration, each of which sees the examples of the other parts.
+#: Models of the calibration, each of which sees the examples of the other parts; the first one also chooses the power.
 PARTS = 3
+POWERS = (0, 1, 2, 3)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -161,7 +163,7 @@ class Model:
         return float((w @ self.y[found] + SHRINK * self.base) / (w.sum() + SHRINK)), found, cosine
 
 
-def build(examples: Examples, rows: np.ndarray, idf: np.ndarray) -> Model:
+def build(examples: Examples, rows: np.ndarray, idf: np.ndarray, power: int) -> Model:
     """The model of the examples in `rows`."""
     y, share = examples.y[rows], examples.share[rows]
     base = float((share @ y + 0.5) / (share.sum() + 1))
@@ -171,7 +173,7 @@ def build(examples: Examples, rows: np.ndarray, idf: np.ndarray) -> Model:
     toxic = np.bincount(term, np.repeat(share * y, sizes), len(idf))
     rate = (toxic + base) / (seen + 1)
     association = np.abs(np.log(rate / (1 - rate)) - math.log(base / (1 - base)))
-    model = Model(np.where(seen > 0, idf * association**2, 0.0), None, y, base)
+    model = Model(np.where(seen > 0, idf * association**power, 0.0), None, y, base)
     model.index = BlockMaxIndex([model.vector(examples.terms[r], examples.counts[r]) for r in rows], len(idf))
     return model
 
@@ -252,28 +254,45 @@ def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
-    """(vocabulary, examples, idf, slope and offset), or the score of every text if the examples have one label."""
+    """(vocabulary, examples, idf, slope and offset, power), or the score of every text if the examples have one label."""
     examples, vocabulary = _examples(docs, labels, id_col, text_col, label_col)
     if not vocabulary or examples.y.min() == examples.y.max():
         return float(examples.y.mean()) if len(examples.y) else 0.0
     idf = np.log((1 + docs.count()) / (1 + _frequencies(docs, text_col, vocabulary))) + 1
     part = np.array([zlib.crc32(str(i).encode()) % PARTS for i in examples.ids])
+
+    def unseen(k: int, power: int) -> np.ndarray:
+        """Shares of the examples of a part under a model of the others; none where the others have one label."""
+        own, others = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        if not len(own) or not 0 < examples.y[others].sum() < len(others):
+            return np.full(len(own), np.nan)
+        model = build(examples, others, idf, power)
+        return np.array([model.votes(examples.terms[r], examples.counts[r])[0] for r in own])
+
+    tried = {p: unseen(0, p) for p in POWERS}
+    power = min(POWERS, key=lambda p: (round(log_loss(tried[p], examples.y[part == 0]), 6), p))
     raw = np.full(len(part), np.nan)
     for k in range(PARTS):
-        own, others = np.flatnonzero(part == k), np.flatnonzero(part != k)
-        if len(own) and len(others) and 0 < examples.y[others].sum() < len(others):
-            model = build(examples, others, idf)
-            raw[own] = [model.votes(examples.terms[r], examples.counts[r])[0] for r in own]
+        raw[part == k] = unseen(k, power) if k else tried[power]
     known = ~np.isnan(raw)
     curve = calibration(raw[known], examples.y[known]) if known.any() and 0 < examples.y[known].sum() < known.sum() else (1.0, 0.0)
-    return vocabulary, examples, idf, curve
+    return vocabulary, examples, idf, curve, power
+
+
+def log_loss(raw: np.ndarray, y: np.ndarray) -> float:
+    """Cross-entropy of calibrated shares; 0 where there is nothing to tell apart."""
+    if not len(raw) or np.isnan(raw).any() or not 0 < y.sum() < len(y):
+        return 0.0
+    slope, offset = calibration(raw, y)
+    z = slope * _logit(raw) + offset
+    return float(np.mean(y * np.logaddexp(0, -z) + (1 - y) * np.logaddexp(0, z)))
 
 
-def _packed(vocabulary: list[bytes], examples: Examples, idf: np.ndarray, curve: tuple[float, float]) -> bytes:
+def _packed(vocabulary: list[bytes], examples: Examples, idf: np.ndarray, curve: tuple[float, float], power: int) -> bytes:
     """What a worker builds the model from, compressed; the index itself is some ten times larger."""
     sizes = np.array([len(t) for t in examples.terms], np.int64)
     flat = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32).tobytes() for x in (examples.terms, examples.counts)]
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((vocabulary, examples.ids, examples.y, examples.share, sizes, *flat, idf, curve)))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((vocabulary, examples.ids, examples.y, examples.share, sizes, *flat, idf, curve, power)))
 
 
 #: The model of this worker's last task: a worker serves many tasks of one query.
@@ -284,11 +303,11 @@ def _unpacked(packed: bytes) -> tuple[dict[bytes, int], Model, list, tuple[float
     key = xxhash.xxh3_64_intdigest(packed)
     if key not in _LAST:
         _LAST.clear()
-        vocabulary, ids, y, share, sizes, terms, counts, idf, curve = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+        vocabulary, ids, y, share, sizes, terms, counts, idf, curve, power = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
         cuts = np.cumsum(sizes)[:-1]
         terms, counts = (np.split(np.frombuffer(x, np.int32).astype(np.int64), cuts) for x in (terms, counts))
         examples = Examples(ids, y, terms, counts, share)
-        _LAST[key] = {t: k for k, t in enumerate(vocabulary)}, build(examples, np.arange(len(ids)), idf), ids, curve
+        _LAST[key] = {t: k for k, t in enumerate(vocabulary)}, build(examples, np.arange(len(ids)), idf, power), ids, curve
     return _LAST[key]
 
 
