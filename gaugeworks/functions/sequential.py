@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -229,13 +229,20 @@ def text_list_udf(function):
     return apply
 
 
-def focus(base: list[float], attention: list[list[float]], keyword: list[bool], gamma: float = 0.9) -> float | None:
-    """Mean over the keyword tokens of their own score and, scaled by gamma, the scores of the earlier ones they attend to."""
-    scores: list[float] = []
-    for k, own in enumerate(base):
-        before = [j for j in range(k) if keyword[j]]
-        weight = sum(attention[k][j] for j in before)
-        scores.append(own + (gamma * sum(attention[k][j] * scores[j] for j in before) / weight if weight else 0.0))
+def focus(base: list[float], keyword: list[bool], edges: Iterable[tuple[int, int, float]], gamma: float = 0.9) -> float | None:
+    """Mean over the keyword tokens of their own score and, scaled by gamma, the scores of the earlier keywords they attend to.
+
+    edges: (token, earlier token, attention) in order of the first, each pair once. Work and memory follow their number.
+    """
+    scores = list(base)
+    top, sums, weight = -1, 0.0, 0.0
+    for k, j, a in [*edges, (len(base), 0, 0.0)]:
+        if k != top:
+            if weight:
+                scores[top] += gamma * sums / weight
+            top, sums, weight = k, 0.0, 0.0
+        if j < k < len(base) and keyword[j]:
+            sums, weight = sums + a * scores[j], weight + a
     kept = [s for s, use in zip(scores, keyword, strict=True) if use]
     return sum(kept) / len(kept) if kept else None
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import claims, fact_checks, online, prefix_scores
+from ..operators import claims, fact_checks, focus, greedy, online, prefix_scores, soft_match
 from ..sources import calls, io
 from ..sources import fixtures as S
 from ..sources import providers as P
@@ -159,3 +160,65 @@ def claim_extraction(spark, sf):
     turns = _turns(spark, sf).withColumn("tokens", F.filter(F.split("text", ""), lambda c: c != ""))
     found = claims.extract(turns, "id", "text", "tokens", calls.Answers(spark, P.PerText("reply string", _claims_of)), calls.Answers(spark, P.PerText("reply string", _words_of)))
     return found.select("id", "sentence_idx", "claim_idx", "claim", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "failure")
+
+
+_D = f"d AS (SELECT conv_id, turn, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT conv_id, turn, {_LIST.format('text')} AS w FROM conversations))"
+
+
+@query(
+    "greedy_contract",
+    f"""WITH {_D}, l AS (SELECT *, sha256(w) AS h, list_transform(range(8), lambda j: {_HEX.format("substr(sha256(w), CAST(j + 1 AS INT), 1)")} / 4.0) AS z FROM d),
+t AS (SELECT *, list_position(z, list_max(z)) - 1 AS token, ln(list_sum(list_transform(z, lambda x: exp(x)))) AS norm FROM l),
+e AS (SELECT *, min(CASE WHEN token = 7 THEN i END) OVER (PARTITION BY conv_id, turn) AS stop FROM t),
+k AS (SELECT *, list_sort(list_transform(range(8), lambda j: (-z[j + 1], j))) AS o FROM e WHERE stop IS NULL OR i <= stop)
+SELECT conv_id, turn, i AS pos, CAST(token AS INT) AS token, round(z[token + 1] - norm, 6) AS ll, CAST(o[2][2] AS INT) AS second_token, round(-o[2][1] - norm, 6) AS second_lp,
+       round(coalesce(list_sum(list_transform(range(i), lambda j: greatest({_HEX.format("substr(h, CAST(9 + j % 50 AS INT), 1)")}, {_HEX.format("substr(h, CAST(9 + (7 + j) % 50 AS INT), 1)")}) / 15.0)), 0), 6) AS attention_sum
+FROM k""",
+)
+def greedy_contract(spark, sf):
+    """Each turn's generation by the contract: cut at its end token, alternatives with the chosen token first, attention over all heads."""
+    asked = calls.Answers(spark, P.greedy_outputs()).ask(_turns(spark, sf), "text")
+    found = greedy.cut(asked, 7, 3)
+    each = F.transform("greedy_tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("token"), F.get("lls", i).alias("ll"), F.get(F.get("alternatives", i), F.lit(1)).alias("second"), F.aggregate(F.get("attention", i), F.lit(0.0), lambda s, x: s + x).alias("attention_sum")))
+    rows = found.select("conv_id", "turn", F.inline(each))
+    return rounded(rows.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "token", "ll", F.col("second.token").alias("second_token"), F.col("second.lp").alias("second_lp"), "attention_sum"), "ll", "second_lp", "attention_sum")
+
+
+_VEC = f"list_transform([1, 3, 5, 7], lambda j: {_HEX.format('substr(sha256(w), CAST(j AS INT), 2)')} / 127.5 - 1)"
+
+
+@query(
+    "bert_score",
+    f"""WITH {_D}, v AS (SELECT conv_id, turn, i, w, {_VEC} AS v FROM d), u AS (SELECT conv_id, turn, i, w, list_transform(v, lambda x: x / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3] + v[4] * v[4])) AS v FROM v),
+texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM conversations), df AS (SELECT w, count(DISTINCT t) AS n FROM (SELECT t, unnest({_LIST.format('t')}) AS w FROM texts) GROUP BY w),
+idf AS (SELECT w, ln(((SELECT count(*) FROM texts) + 1) / (n + 1)) AS idf FROM df),
+prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+c AS (SELECT p.conv_id, p.turn, a.i AS i, a.w AS wa, b.i AS j, b.w AS wb, a.v[1] * b.v[1] + a.v[2] * b.v[2] + a.v[3] * b.v[3] + a.v[4] * b.v[4] AS x
+      FROM prev p JOIN u a ON p.conv_id = a.conv_id AND p.turn = a.turn JOIN u b ON p.conv_id = b.conv_id AND p.before = b.turn),
+h AS (SELECT conv_id, turn, sum(x * idf) / sum(idf) AS p FROM (SELECT conv_id, turn, i, wa, max(x) AS x FROM c GROUP BY ALL) m JOIN idf ON wa = idf.w GROUP BY ALL),
+r AS (SELECT conv_id, turn, sum(x * idf) / sum(idf) AS r FROM (SELECT conv_id, turn, j, wb, max(x) AS x FROM c GROUP BY ALL) m JOIN idf ON wb = idf.w GROUP BY ALL)
+SELECT q.conv_id || '/' || q.turn AS id, round(coalesce(p, 0), 6) AS precision, round(coalesce(r, 0), 6) AS recall, round(coalesce(2 * p * r / (p + r), 0), 6) AS f1 FROM prev q LEFT JOIN h USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn) WHERE before IS NOT NULL""",
+)
+def bert_score(spark, sf):
+    """Each turn against the one before it, words weighted by their rarity over all turns."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = _turns(spark, sf).withColumn("before", before).where("before is not null")
+    answers = calls.Answers(spark, P.word_vectors())
+    return rounded(soft_match.soft_scores(pairs, "id", "text", "before", answers, soft_match.rarity(_turns(spark, sf), "text", answers)), "precision", "recall", "f1")
+
+
+@query(
+    "focus_turns",
+    f"""WITH RECURSIVE {_D}, t AS (SELECT conv_id || '/' || turn AS id, list(CAST(length(w) AS DOUBLE) / 4 ORDER BY i) AS base, list(length(w) > 5 ORDER BY i) AS kw FROM d GROUP BY conv_id, turn),
+r AS (SELECT id, base, kw, 0 AS k, CAST([] AS DOUBLE[]) AS s FROM t UNION ALL
+  SELECT id, base, kw, k + 1, list_append(s, base[k + 1] + coalesce(0.9 * list_sum(list_transform(b, lambda j: s[j] / (k + 1 - j))) / list_sum(list_transform(b, lambda j: 1.0 / (k + 1 - j))), 0))
+  FROM (SELECT *, list_filter(range(greatest(k - 7, 1), k + 1), lambda j: kw[j]) AS b FROM r WHERE k < len(base)))
+SELECT id, round(list_avg(list_transform(list_filter(range(1, k + 1), lambda i: kw[i]), lambda i: s[i])), 6) AS value FROM r WHERE k = len(base)""",
+)
+def focus_turns(spark, sf):
+    """Turns as generations: words over five letters are keywords, and each word attends to the eight before it."""
+    words = X.words(F.col("text"))
+    rows = _turns(spark, sf).select("id", words.alias("w")).where(F.size("w") > 0)
+    edges = F.flatten(F.transform("w", lambda _, i: F.transform(F.filter(F.sequence(F.lit(1), F.lit(8)), lambda d: d <= i), lambda d: F.struct(i.alias("i"), (i - d).alias("j"), (1 / d).alias("a")))))
+    rows = rows.select("id", F.transform("w", lambda w: F.length(w) / 4).alias("base"), F.transform("w", lambda w: F.length(w) > 5).alias("keyword"), edges.alias("edges"))
+    return rounded(focus.focus(rows, "id", "base", "keyword", "edges"), "value")

@@ -111,13 +111,12 @@ def evaluator_scores(spark, sf):
 
 @query("focus")
 def focus(spark, sf):
-    """Attention stands in as a decay over distance; tokens of an even number are keywords."""
+    """Attention stands in as a decay over distance, down to 2^-48; tokens of an even number are keywords."""
 
     def value(pdf):
         pdf = pdf.sort_values("vec_id")
-        n = len(pdf)
-        attention = [[0.5 ** (k - j) for j in range(n)] for k in range(n)]
-        return sequential.focus(pdf["base"].tolist(), attention, (pdf["vec_id"] % 2 == 0).tolist()) or 0.0
+        edges = ((k, j, 0.5 ** (k - j)) for k in range(len(pdf)) for j in range(max(0, k - 48), k))
+        return sequential.focus(pdf["base"].tolist(), (pdf["vec_id"] % 2 == 0).tolist(), edges) or 0.0
 
     d = S.distributions(spark, sf).select("label", "vec_id", estimators.focus_weight(F.col("lp")).alias("base"))
     return rounded(spectral.per_group(d, ["label"], value), "value")

@@ -57,6 +57,11 @@ class Answers:
         bad = every.where(F.col("error").isNotNull()).dropDuplicates(["prompt_key"]).join(good.select("prompt_key"), "prompt_key", "left_anti")
         return good.unionByName(bad)
 
+    def add(self, known: DataFrame, prompt: str) -> None:
+        """Answers from elsewhere: a row for each prompt, with the provider's columns."""
+        columns = [F.sha2(F.col(prompt), 256).alias("prompt_key"), *(F.col(c) for c in self.schema.names[1:-1]), F.lit(None).cast("string").alias("error")]
+        known.select(*columns).join(self.written().select("prompt_key"), "prompt_key", "left_anti").select(self.schema.names).write.mode("append").parquet(self.path)
+
     def ask(self, df: DataFrame, prompt: str) -> DataFrame:
         """`df` with the provider's columns, `error` and `provider`; all null for a null prompt. `df` is read several times: write it first if it
         is dear."""

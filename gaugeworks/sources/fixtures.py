@@ -7,39 +7,38 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as X
-from . import io
+from ..operators import unigrams
+from .statistics import Statistics
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the documents with log-likelihoods under a unigram model of their language (ll) and of all (lm), and an entropy term."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.words(F.col("text")).alias("toks"))
-    rows = docs.select("doc_id", "lang", F.posexplode("toks").alias("pos", "tok"))
-    pairs = rows.groupBy("lang", "tok").agg(F.count("*").alias("c_pair"))
-    by_lang = pairs.groupBy("lang").agg(F.sum("c_pair").alias("c_lang"))
-    by_tok = pairs.groupBy("tok").agg(F.sum("c_pair").alias("c_tok"))
-    everything = pairs.agg(F.sum("c_pair").alias("c_all"))
-    model = pairs.join(by_lang, "lang").join(by_tok, "tok").crossJoin(everything)  # one row
-    model = model.select("lang", "tok", F.log(F.col("c_pair") / F.col("c_lang")).alias("ll"), F.log(F.col("c_tok") / F.col("c_all")).alias("lm"))
-    return rows.join(model, ["lang", "tok"]).withColumn("ent", -F.col("ll") * F.exp("ll"))
+#: The statistics of a session.
+_STORES: dict[str, Statistics] = {}
+
 
+def statistics(spark: SparkSession) -> Statistics:
+    """Fixtures that several queries read: they are derived once for each version of the tables, and go with the session."""
+    key = spark.sparkContext.applicationId
+    if key not in _STORES:
+        _STORES[key] = Statistics(spark)
+    return _STORES[key]
 
-#: Where the sequences of a session's tables are written.
-_SEQUENCES: dict[tuple[str, str], str] = {}
+
+def _unigrams(spark: SparkSession, path: str, name: str, rows: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """Texts with the likelihoods of their words, toks, under unigram models of their group and of all."""
+    store = statistics(spark)
+    words = store.get(f"{name}-words", "words by group", [path], lambda: unigrams.model(rows, group, "toks"))
+    return store.get(f"{name}-sequences", "likelihoods along the words", [path], lambda: unigrams.along(rows, keys, group, "toks", words))
 
 
 def sequences(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("ll", "lm", "ent")) -> DataFrame:
-    """One row per document: arrays of the named fields in order of words. They are derived once and written; a query reads the fields it names."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SEQUENCES:
-        rows = tokens(spark, sf_dir).groupBy("doc_id", "lang").agg(F.sort_array(F.collect_list(F.struct("pos", "ll", "lm", "ent"))).alias("t"))
-        path = io.scratch(spark, "sequences")
-        rows.select("doc_id", "lang", *(F.col(f"t.{f}").alias(f) for f in ("ll", "lm", "ent"))).write.parquet(path)
-        _SEQUENCES[key] = path
-    return spark.read.parquet(_SEQUENCES[key]).select("doc_id", "lang", *fields)
+    """One row per document: arrays in order of words of log-likelihoods under a unigram model of its language (ll) and of all (lm), and of an
+    entropy term."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.words(F.col("text")).alias("toks"))
+    return _unigrams(spark, f"{sf_dir}/documents.parquet", "documents", docs, ["doc_id"], "lang").select("doc_id", "lang", *fields)
 
 
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +50,8 @@ def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as samples of one prompt, with unigram log-likelihoods."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", X.words(F.col("text")).alias("toks"))
-    rows = turns.select("conv_id", "turn", F.posexplode("toks").alias("pos", "tok"))
-    counts = rows.groupBy("tok").agg(F.count("*").alias("c"))
-    model = counts.crossJoin(counts.agg(F.sum("c").alias("n"))).select("tok", F.log(F.col("c") / F.col("n")).alias("ll"))  # one row
-    lls = rows.join(model, "tok").groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("pos", "ll"))).alias("t"))
-    return turns.join(lls.select("conv_id", "turn", F.col("t.ll").alias("lls")), ["conv_id", "turn"]).withColumn("logprob", A.total(F.col("lls")))
+    lls = _unigrams(spark, f"{sf_dir}/conversations.parquet", "turns", turns.withColumn("all", F.lit("all")), ["conv_id", "turn"], "all")
+    return turns.join(lls.select("conv_id", "turn", F.col("ll").alias("lls")), ["conv_id", "turn"]).withColumn("logprob", A.total(F.col("lls")))
 
 
 def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,28 @@ def prefix_likelihoods() -> PerText:
     return PerText("lls array<double>", lls)
 
 
+def greedy_outputs(end: int = 7, heads: int = 2) -> PerText:
+    """A token of eight for each word, by its digest, up to the end token and three beyond, as a batch is padded; attention by digest as well."""
+
+    def outputs(text: str) -> tuple:
+        tokens, logits, attention = [], [], [[] for _ in range(heads)]
+        for i, d in enumerate(map(digest, text.split())):
+            logits.append([int(c, 16) / 4 for c in d[:8]])
+            tokens.append(logits[-1].index(max(logits[-1])))
+            for h in range(heads):
+                attention[h].append([int(d[8 + (7 * h + j) % 50], 16) / 15 for j in range(i + 1)])
+            if end in tokens[:-3]:
+                break
+        return tokens, logits, attention, [float(len(tokens))]
+
+    return PerText("tokens array<int>, logits array<array<double>>, attention array<array<array<double>>>, embedding array<double>", outputs)
+
+
+def word_vectors() -> PerText:
+    """The words of a text with vectors of four numbers by their digests."""
+    return PerText("tokens array<string>, vectors array<array<double>>", lambda t: (t.split(), [[b / 127.5 - 1 for b in bytes.fromhex(digest(w)[:8])] for w in t.split()]))
+
+
 class HashEmbedding:
     """Sixteen numbers from the text's digest."""
 
@@ -263,14 +285,14 @@ def apply(df: DataFrame, provider: Provider, prompt: str) -> DataFrame:
 
 
 def ask(df: DataFrame, provider: Provider, prompt: str, cache: DataFrame | None = None) -> DataFrame:
-    """As apply, but each distinct prompt is asked once, and not at all if the cache (prompt and the provider's columns) has it."""
-    distinct = df.select(prompt).where(F.col(prompt).isNotNull()).distinct()
+    """As apply, but each distinct prompt is asked once, and not at all if the cache (prompt and the provider's columns) has it; answers are
+    written before they are used."""
+    from .calls import Answers
+
+    answers = Answers(df.sparkSession, provider)
     if cache is not None:
-        fresh = apply(distinct.join(cache.select(prompt), prompt, "left_anti"), provider, prompt)
-        answers = fresh.unionByName(cache.withColumn("provider", F.lit(provider.name)))
-    else:
-        answers = apply(distinct, provider, prompt)
-    return df.join(answers, prompt, "left")
+        answers.add(cache, prompt)
+    return answers.ask(df, prompt).drop("error")
 
 
 def by_prefix(providers: dict[str, Provider], name: str) -> Provider:
