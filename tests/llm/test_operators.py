@@ -192,7 +192,7 @@ def test_toxicity_scores_whole_texts_as_brute_force_does(spark):
     docs, labels = documents(spark, texts), labels_of(spark, rows)
     got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
     learned = toxicity.learn(docs, labels.where(toxicity.bucket_of("doc_id", 3) != 1), "doc_id", "text", "toxic")
-    vocabulary, examples, _, (slope, offset) = learned
+    vocabulary, examples, _, (slope, offset), power = learned
     ids = examples.ids
     fold = lambda t: re.findall(r"[0-9a-z]+", t)
     df, y = Counter(w for t in texts for w in set(fold(t))), {k: int(k % 4 == 0) for k in ids}
@@ -205,7 +205,7 @@ def test_toxicity_scores_whole_texts_as_brute_force_does(spark):
     for w in (v.decode() for v in vocabulary):
         n, a = sum(share[k] for k in ids if w in fold(texts[k])), sum(share[k] * y[k] for k in ids if w in fold(texts[k]))
         p = (a + base) / (n + 1)
-        scale[w] = (math.log((1 + len(texts)) / (1 + df[w])) + 1) * (math.log(p / (1 - p)) - math.log(base / (1 - base))) ** 2
+        scale[w] = (math.log((1 + len(texts)) / (1 + df[w])) + 1) * (math.log(p / (1 - p)) - math.log(base / (1 - base))) ** power
 
     def vector(t):
         v = {w: (1 + math.log(n)) * scale[w] for w, n in Counter(fold(t)).items() if w in scale}
