@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import io
+
 #: Words that are looked up where the texts lie; the others meet their texts by shuffle. Rows of an Arrow batch that are worked on at once.
 FREQUENT, ROWS = 10_000, 512
 VALUES = ("ll", "lm", "ent")
@@ -29,15 +31,16 @@ def model(rows: DataFrame, group: str, tokens: str) -> DataFrame:
 def along(rows: DataFrame, keys: list[str], group: str, tokens: str, words: DataFrame) -> DataFrame:
     """keys, group and the arrays ll, lm and ent, one value for each token. `words` is a model, written or cheap.
 
-    The FREQUENT most frequent words are looked up in each task, a word of a batch once; only rare words of a text, once each, are shuffled to the
-    model, and only texts that have some are put together again. Texts without a token or a group are left out. Rows are unique by their keys.
+    The FREQUENT most frequent words are looked up in each task, a word of a batch once. Rare words of a text, once each, are shuffled to the
+    model and come back as an array in the order of their first numbers in the text; only texts that have some are put together again. Texts
+    without a token or a group are left out. Rows are unique by their keys, which are not null.
     """
     spark = rows.sparkSession
     common = words.orderBy(F.desc("c"), group, "tok").limit(FREQUENT).select(group, "tok", *VALUES).collect()
     shared = spark.sparkContext.broadcast({(r[0], r[1]): tuple(r)[2:] for r in common})  # FREQUENT words
     rows = rows.where(F.col(group).isNotNull() & (F.size(tokens) > 0)).select(*keys, group, F.col(tokens).alias("toks"))
-    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(v, T.ArrayType(T.DoubleType())) for v in VALUES), T.StructField("rare", T.ArrayType(T.StringType()))])
-    n_keys = len(keys)
+    lists = [*(T.StructField(v, T.ArrayType(T.DoubleType())) for v in VALUES), T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.StringType()))]
+    schema, n_keys = T.StructType([*rows.schema.fields[:-1], *lists]), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, unknown = shared.value, (np.nan,) * len(VALUES)
@@ -46,38 +49,33 @@ def along(rows: DataFrame, keys: list[str], group: str, tokens: str, words: Data
                 batch = whole.slice(at, ROWS)
                 toks = batch.column(n_keys + 1)
                 sizes = np.diff(toks.offsets.to_numpy())
-                flat = toks.flatten().dictionary_encode()
-                groups = batch.column(n_keys).dictionary_encode()
-                both = np.repeat(groups.indices.to_numpy(), sizes).astype(np.int64) * len(flat.dictionary) + flat.indices.to_numpy()
-                pairs, of = np.unique(both, return_inverse=True)
-                names, own = flat.dictionary.to_pylist(), groups.dictionary.to_pylist()
-                found = np.array([table.get((own[p // len(names)], names[p % len(names)]), unknown) for p in pairs.tolist()]).reshape(-1, len(VALUES))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lost = np.isnan(found[:, 0])
-                if lost.any():
-                    missing = lost[of]
-                    cuts = np.concatenate([[0], np.cumsum(missing)])[offsets]
-                    rare = pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array([names[c] for c in flat.indices.to_numpy()[missing]], pa.string()))
-                else:
-                    rare = pa.ListArray.from_arrays(np.zeros(len(batch) + 1, np.int32), pa.array([], pa.string()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_keys + 1)), *(pa.ListArray.from_arrays(offsets, pa.array(found[of, k])) for k in range(len(VALUES))), rare], schema.names)
+                flat, groups = toks.flatten().dictionary_encode(), batch.column(n_keys).dictionary_encode()
+                word, n = flat.indices.to_numpy().astype(np.int64), len(flat.dictionary)
+                pairs, of = np.unique(np.repeat(groups.indices.to_numpy(), sizes).astype(np.int64) * n + word, return_inverse=True)
+                names, own = flat.dictionary.to_pylist(), groups.dictionary.to_pylist()
+                found = np.array([table.get((own[p // n], names[p % n]), unknown) for p in pairs.tolist()]).reshape(-1, len(VALUES))[of]
+                missing = np.isnan(found[:, 0])
+                # distinct rare words of each row, numbered within it
+                row = np.repeat(np.arange(len(batch)), sizes)[missing]
+                rare, number = np.unique(row * n + word[missing], return_inverse=True)
+                cuts = np.searchsorted(rare, np.arange(len(batch) + 1) * n).astype(np.int32)
+                place = np.full(len(word), -1, np.int32)
+                place[missing] = number - cuts[row]
+                texts = flat.dictionary.take(pa.array(rare % n if n else rare))
+                columns = [*(pa.array(found[:, k]) for k in range(len(VALUES))), pa.array(place)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_keys + 1)), *(pa.ListArray.from_arrays(offsets, c) for c in columns), pa.ListArray.from_arrays(cuts, texts)], schema.names)
 
     found = rows.mapInArrow(run, schema)
-    whole = found.where(F.size("rare") == 0).drop("rare")
     if len(common) < FREQUENT:
-        return whole
+        return found.drop("place", "rare")
+    path = io.scratch(spark, "words-along")
+    found.write.parquet(path)  # read by both sides of the join
+    found = spark.read.schema(schema).parquet(path)
     some = found.where(F.size("rare") > 0)
-    # rare words of a text once each, then a map of each text's rare words
-    asked = some.select(*keys, group, F.explode(F.array_distinct("rare")).alias("tok")).join(words.select(group, "tok", *VALUES), [group, "tok"])
-    maps = asked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("tok", F.struct(*VALUES)))).alias("known"))
-    # the k-th position without a value takes that of the k-th rare word
-    rank = F.transform("ll", lambda x, i: F.when(F.isnan(x), i))
-    at = F.filter(rank, lambda i: i.isNotNull())
-    some = some.join(maps, keys).withColumn("at", at)
-    filled = F.transform("rare", lambda w: F.try_element_at(F.col("known"), w))
-    merged = F.sort_array(F.concat(
-        F.filter(F.transform("ll", lambda x, i: F.struct(i.alias("i"), x.alias("ll"), F.get("lm", i).alias("lm"), F.get("ent", i).alias("ent"))), lambda s: ~F.isnan(s["ll"])),
-        F.zip_with("at", "filled", lambda i, v: F.struct(i.alias("i"), v["ll"].alias("ll"), v["lm"].alias("lm"), v["ent"].alias("ent"))),
-    ))
-    some = some.withColumn("filled", filled).withColumn("merged", merged)
-    return whole.unionByName(some.select(*keys, group, *(F.col(f"merged.{v}").alias(v) for v in VALUES)))
+    asked = some.select(*keys, group, F.posexplode("rare").alias("k", "tok")).join(words.select(group, "tok", *VALUES), [group, "tok"])
+    known = asked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", *VALUES))).alias("known"))
+    known = known.select(*keys, *(F.col(f"known.{v}").alias(f"rare_{v}") for v in VALUES))
+    fill = lambda v: F.zip_with(v, "place", lambda x, i: F.when(i < 0, x).otherwise(F.get(f"rare_{v}", i))).alias(v)
+    some = some.join(known, keys).select(*keys, group, *(fill(v) for v in VALUES))
+    return found.where(F.size("rare") == 0).drop("place", "rare").unionByName(some)

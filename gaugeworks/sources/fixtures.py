@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as X
 from ..operators import unigrams
+from . import io
 from .statistics import Statistics
 
 
@@ -37,7 +38,7 @@ def _unigrams(spark: SparkSession, path: str, name: str, rows: DataFrame, keys:
 def sequences(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("ll", "lm", "ent")) -> DataFrame:
     """One row per document: arrays in order of words of log-likelihoods under a unigram model of its language (ll) and of all (lm), and of an
     entropy term."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.words(F.col("text")).alias("toks"))
+    docs = io.spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", X.words(F.col("text")).alias("toks"))
     return _unigrams(spark, f"{sf_dir}/documents.parquet", "documents", docs, ["doc_id"], "lang").select("doc_id", "lang", *fields)
 
 

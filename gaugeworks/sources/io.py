@@ -31,6 +31,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores where its files come in fewer pieces, as a small table in one file does; a table of many pieces stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """csv with a header, json lines, or parquet."""
     reader = spark.read
