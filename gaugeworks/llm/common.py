@@ -42,9 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+#: Spark's setting by which the shuffle files of a query go at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Written:
     """A DataFrame cut from its lineage by a Parquet table in the shared folder. drop() removes the files.
 
+    The shuffle files of the write go with its end: nothing reads them again.
+
     slim: rows are far smaller than what they were computed from, so they are gathered into files of the advisory size first.
     """
 
@@ -53,7 +59,12 @@ class Written:
         if slim:
             df = df.hint("rebalance")
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -62,12 +73,29 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scope:
+    """Tables written on the way to a result, which go together once that is written."""
+
+    def __init__(self):
+        self.tables: list[Written] = []
+
+    def write(self, df: DataFrame, label: str, slim: bool = False) -> DataFrame:
+        self.tables.append(Written(df, label, slim))
+        return self.tables[-1].df
+
+    def drop(self, *frames: DataFrame) -> None:
+        """The tables of the given frames, or all."""
+        for t in [t for t in self.tables if not frames or any(t.df is f for f in frames)]:
+            t.drop()
+            self.tables.remove(t)
+
+
 #: Rows of one key from which it counts as hot, and how many hot keys there can be at most: their table is broadcast.
 LEAST_HOT, HOT = 200, 10_000
 
 
-def semi_join(rows: DataFrame, keys: DataFrame, columns: list[str], count: str = "n") -> DataFrame:
-    """`rows` whose columns are among `keys`, a written table with the number of rows of each key.
+def semi_join(rows: DataFrame, keys: DataFrame, columns: list[str], count: str = "n", keep: str | None = None) -> DataFrame:
+    """`rows` whose columns are among `keys`, a written table with the number of rows of each key; `keep` names a column for that number.
 
     A key that holds more than its share of all rows, 1 / HOT, is looked up by broadcast where its rows are; the others meet by a shuffle.
     """
@@ -77,8 +105,10 @@ def semi_join(rows: DataFrame, keys: DataFrame, columns: list[str], count: str =
     for i, c in enumerate(columns):
         on = on & (F.col(c) == F.col(f"__k{i}"))
     hot = F.broadcast(named.where(F.col("__n") > least))
-    dealt = rows.join(hot, on, "left_anti").join(named.where(F.col("__n") <= least), on, "left_semi")
-    return dealt.unionByName(rows.join(hot, on, "left_semi"))
+    how = "inner" if keep else "left_semi"
+    dealt = rows.join(hot, on, "left_anti").join(named.where(F.col("__n") <= least), on, how)
+    found = dealt.unionByName(rows.join(hot, on, how))
+    return found.drop(*(f"__k{i}" for i in range(len(columns)))).withColumnRenamed("__n", keep) if keep else found
 
 
 def bucket_of(id_col: str, modulus: int):

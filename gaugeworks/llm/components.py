@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Scope, Written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -23,8 +23,12 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b), longs, to (node, root): the root is the least node of the component; nodes without an edge are absent."""
+def components(edges: DataFrame, scope: Scope | None = None) -> DataFrame:
+    """(a, b), longs, to (node, root): the root is the least node of the component; nodes without an edge are absent.
+
+    The result reads a table that goes with the scope. A node of very many edges is one key of a join whose other side has one row for it, which
+    adaptive execution splits.
+    """
     now = Written(edges.select("a", "b").where("a != b").distinct(), "edges")
     mark = None
     while True:
@@ -34,6 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         large.drop()
         found = now.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(found) == mark:
+            if scope:
+                scope.tables.append(now)
             # every edge now ties a node to its root
             nodes = now.df.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())

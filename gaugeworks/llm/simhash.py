@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, semi_join, slices, text_buffer
+from .common import Scope, Written, semi_join, slices, text_buffer
 from .components import components
 
 RADIUS = 2
@@ -117,11 +117,11 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *c]).view(np.int64)) for c in (a_out, b_out)], ["a", "b"])
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, scope: Scope) -> DataFrame:
     """Distinct fingerprints (fp) to edges (a, b) that have the same components as all pairs within RADIUS."""
     keyed = fps.select("fp", F.posexplode(F.array(*(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for low, width in SEGMENTS))).alias("seg", "val"))
     counts = keyed.groupBy("seg", "val").count().where("count > 1").select(F.col("seg").alias("s"), F.col("val").alias("v"), "count")
-    met = Written(keyed.join(counts, (F.col("seg") == F.col("s")) & (F.col("val") == F.col("v"))).select("seg", "val", "fp", "count"), "simhash-buckets").df
+    met = scope.write(keyed.join(counts, (F.col("seg") == F.col("s")) & (F.col("val") == F.col("v"))).select("seg", "val", "fp", "count"), "simhash-buckets")
     small = met.where(F.col("count") <= BUCKET).groupBy("seg", "val").agg(F.collect_list("fp").alias("fps")).select("seg", "fps")
     pairs = small.mapInArrow(_bucket_links, "a long, b long")
     crowd = met.where(F.col("count") > BUCKET).select("fp").distinct()
@@ -133,12 +133,14 @@ def links(fps: DataFrame) -> DataFrame:
 
 def group(prints: DataFrame, id_col: str, fp_col: str = "__fp") -> DataFrame:
     """(id, fp) rows with `component`, the least id of all rows whose fingerprint is reachable. Ids may be structs; nulls are ignored."""
-    fps = Written(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "simhash-distinct").df
-    roots = Written(components(links(fps.select("fp"))), "simhash-roots").df
+    scope = Scope()
+    fps = scope.write(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    roots = scope.write(components(links(fps.select("fp"), scope), scope), "simhash-roots")
     rooted = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "root", "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component")).select(F.col("root").alias("r"), "component")
     linked = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component")
     classes = Written(fps.join(linked, F.col("fp") == F.col("f"), "left").select("fp", "n", F.coalesce("component", "first").alias("component")), "simhash-classes").df
+    scope.drop()
     # fingerprints of many rows, HOT at most by their least share of all rows, are broadcast; the rows of the others are dealt out evenly
     total = classes.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_HOT, total // HOT)
@@ -278,7 +280,7 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _set_prints(texts: DataFrame, shingle: int) -> DataFrame:
     """(who, text) to (who, fingerprint, digest of the shingle set, its size, its sketch, whole and short, its prefix)."""
-    common, rank = _common(texts.where(F.pmod(F.col("who.k"), F.lit(SAMPLE)) == 0), shingle)
+    common, rank = _common(texts.where(F.pmod(F.col("who.k.a"), F.lit(SAMPLE)) == 0), shingle)
     who = next(f for f in texts.schema.fields if f.name == "who")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,29 +365,20 @@ def _screened(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.distinct().join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+def _sets(texts: DataFrame, wanted: DataFrame, shingle: int, scope: Scope) -> DataFrame:
     """The shingle sets (id, hashes) of the wanted (id, k): of the text whose row has the key k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([shingle_set(t, shingle) for t in _texts(batch, "text")])], ["id", "hashes"])
 
-    found = Written(wanted, "near-wanted").df
+    found = scope.write(wanted, "near-wanted")
     found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
     rows = texts.select(F.col("who.k").alias("k"), "text").join(found, "k").dropDuplicates(["k"]).select("id", "text")
     return rows.mapInArrow(run, "id long, hashes array<long>")
 
 
-def _written(df: DataFrame, label: str, *done: Written) -> Written:
-    """`df` written; then the tables `done` go, and so do the shuffle files that nothing refers to any more."""
-    out = Written(df, label)
-    for x in done:
-        x.drop()
-    out.spark._jvm.System.gc()
-    return out
-
-
-def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: int, scope: Scope) -> DataFrame:
     """Of candidates (a, b), those whose sets are SIMILAR."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,23 +391,26 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle:
             fit = pa.array([similar(x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]) for k in range(batch.num_rows)], pa.bool_())
             yield batch.select(["a", "b"]).filter(fit)
 
-    candidates = _written(pairs.distinct(), "near-candidates")
-    wanted = candidates.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _written(_sets(texts, distinct.join(wanted, "id", "left_semi").select("id", "k"), shingle), "near-sets")
-    first, second = sets.df.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.df.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return _written(candidates.df.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links", candidates, sets).df
+    own = Scope()
+    candidates = own.write(pairs.distinct(), "near-candidates")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = own.write(_sets(texts, distinct.join(wanted, "id", "left_semi").select("id", "k"), shingle, own), "near-sets")
+    first, second = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    found = scope.write(candidates.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
+    own.drop()
+    return found
 
 
-def _ring_pairs(distinct: DataFrame) -> DataFrame:
+def _ring_pairs(distinct: DataFrame, scope: Scope) -> DataFrame:
     """Candidates (a, b) by the ring: the first sets of linked fingerprints, and the sets of one fingerprint with its first one."""
-    first = Written(distinct.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "near-fingerprints").df
+    first = scope.write(distinct.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "near-fingerprints")
     ids = lambda k: first.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}"))
-    linked = links(first.select("fp")).join(ids("a"), "a").join(ids("b"), "b").select("first_a", "first_b")
+    linked = links(first.select("fp"), scope).join(ids("a"), "a").join(ids("b"), "b").select("first_a", "first_b")
     shared = semi_join(distinct.select("id", "fp"), first.where("n > 1"), ["fp"]).join(first, "fp").where("id != first").select("id", "first")
     return linked.unionByName(shared.toDF("first_a", "first_b")).select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
 
 
-def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+def set_links(distinct: DataFrame, texts: DataFrame, shingle: int, scope: Scope) -> DataFrame:
     """Distinct sets (id, k, fp, n, sketch, short, prefix) to edges (a, b) between SIMILAR sets that have the same components as all such pairs.
 
     The ring of the fingerprints gives the candidates that differ least. What lies between its radius and SIMILAR, some ten bits of 64, no ring
@@ -423,27 +419,41 @@ def set_links(distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     different components, those of a crowded bucket block against block. Length, position and sketch drop no SIMILAR pair; what they leave is
     compared set by set.
     """
+    own = Scope()
     keyed = distinct.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    counted = _written(keyed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
-    counts = counted.df
-    crowds = F.broadcast(counts.where(F.col("n") > CROWD).select(F.col("shingle").alias("s"), F.ceil(F.col("n") / CROWD).cast("long").alias("g")))
-    met = semi_join(keyed, counts, ["shingle"]).join(crowds, F.col("shingle") == F.col("s"), "left").drop("s")
-    meetings = _written(met.withColumn("g", F.coalesce("g", F.lit(1))).withColumn("block", F.pmod(F.col("id"), F.col("g"))), "near-met", counted)
-    met = meetings.df
-    stars = _ring_pairs(distinct)
+    counts = own.write(keyed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
+    met = semi_join(keyed, counts, ["shingle"], keep="many").withColumn("g", F.ceil(F.col("many") / CROWD).cast("long")).drop("many")
+    met = own.write(met.withColumn("block", F.pmod(F.col("id"), F.col("g"))), "near-met")
+    own.drop(counts)
+    stars = _ring_pairs(distinct, own)
     for o in (F.col("id"), F.xxhash64("id", "shingle")):  # the first of a bucket: one order for all buckets, then one for each
         buckets = met.groupBy("shingle", "block").agg(F.collect_list(F.struct(o.alias("o"), "id", "n", "pos")).alias("members")).where(F.size("members") > 1).select("members")
         stars = stars.unionByName(buckets.mapInArrow(_star_pairs, "a long, b long"))
-    edges = _verified(_screened(stars, distinct), distinct, texts, shingle)
-    roots = Written(components(edges), "near-star-roots").df
-    labelled = _written(met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node"), "near-labelled", meetings).df
-    open_keys = _written(labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shingle", "n"), "near-open").df
+    edges = _verified(_screened(stars, distinct), distinct, texts, shingle, scope)
+    roots = own.write(components(edges, own), "near-star-roots")
+    labelled = own.write(met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node"), "near-labelled")
+    own.drop(met)
+    open_keys = own.write(labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shingle", "n"), "near-open")
     left = semi_join(labelled, open_keys, ["shingle"])
     # the pairs of blocks i <= j that a member is part of
     left = left.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
     left = left.join(distinct.select("id", "short"), "id")
     crosses = left.groupBy("shingle", "i", "j").agg(F.collect_list(F.struct("id", "n", "pos", "root", "block", "short")).alias("members")).where(F.size("members") > 1).select("i", "j", "members")
-    return edges.unionByName(_verified(_screened(crosses.mapInArrow(_cross_pairs, "a long, b long"), distinct), distinct, texts, shingle))
+    crossing = _verified(_screened(crosses.mapInArrow(_cross_pairs, "a long, b long"), distinct), distinct, texts, shingle, scope)
+    own.drop()
+    return edges.unionByName(crossing)
+
+
+def _row_key(*columns: Column) -> Column:
+    """128 bits of a row's content, as two numbers."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b"))
+
+
+def _set_ids(sets: DataFrame, scope: Scope) -> DataFrame:
+    """`sets` with `id`, a number of 64 bits from the digest, which has 128; sets whose numbers collide get others."""
+    taken = scope.write(sets.groupBy(F.xxhash64("digest").alias("taken")).agg(F.count("*").alias("n")).where("n > 1"), "near-collisions")  # a few at 10^10 sets
+    found = sets.withColumn("first_id", F.xxhash64("digest")).join(F.broadcast(taken), F.col("first_id") == F.col("taken"), "left")
+    return found.withColumn("id", F.when(F.col("taken").isNull(), F.col("first_id")).otherwise(F.xxhash64(F.lit("second"), "digest"))).drop("first_id", "taken")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -452,18 +462,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Near copies have sets of shingles with a Jaccard similarity of 0.8 or more; groups are the components of all such pairs. Every pair is
     found: candidates by the fingerprints' ring and by prefix filter, length, position and sketch, then the exact similarity. Texts without words are one group.
     """
-    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
+    scope = Scope()
+    key = _row_key(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k")).alias("who")
     texts = docs.select(who, F.col(text_col).alias("text"))
-    prints = Written(_set_prints(texts, shingle), "near-prints")
-    repeated = Written(prints.df.groupBy("who.k").count().where("count > 1").select("k", F.lit(True).alias("twice")), "near-repeated").df
-    grouped = prints.df.groupBy("digest").agg(F.min("who").alias("first"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.first("prefix").alias("prefix"))
-    distinct = _written(grouped.select(F.xxhash64("digest").alias("id"), "first", F.col("first.k").alias("k"), "fp", "n", "sketch", "short", "prefix"), "near-distinct", prints).df
-    edges = set_links(distinct.drop("first"), texts, shingle)
-    roots = Written(components(edges), "near-roots").df
+    prints = scope.write(_set_prints(texts, shingle), "near-prints")
+    repeated = scope.write(prints.groupBy("who.k").count().where("count > 1").select("k", F.lit(True).alias("twice")), "near-repeated")
+    grouped = prints.groupBy("digest").agg(F.min("who").alias("first"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.first("prefix").alias("prefix"))
+    sets = scope.write(grouped.select("digest", "first", F.col("first.k").alias("k"), "fp", F.col("n").alias("size"), "sketch", "short", "prefix"), "near-sets-of-texts")
+    scope.drop(prints)
+    distinct = _set_ids(sets, scope).drop("n", "digest").withColumnRenamed("size", "n")
+    edges = set_links(distinct.drop("first"), texts, shingle, scope)
+    roots = scope.write(components(edges, scope), "near-roots")
     rooted = distinct.select("id", "first").join(roots, F.col("id") == F.col("node"), "left")
     least = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     keepers = Written(least.select(F.col("first.k").alias("k")).join(repeated, "k", "left").select(F.col("k").alias("__gw_keep"), F.coalesce("twice", F.lit(False)).alias("__gw_twice")), "near-keepers").df
+    scope.drop()
     if keepers.count() <= BROADCAST_TEXTS:
         keepers = F.broadcast(keepers)
     keyed_docs = docs.withColumn("__gw_key", key)
