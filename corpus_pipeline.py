@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = Written(stage(spark, docs, sf_dir), f"pipeline-{k}").df
+        now = Written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        if before:  # its successor is written; the last one is read by the result
+            before.drop()
+        docs, before = now.df, now
     return STAGES[-1][1](spark, docs, sf_dir)
