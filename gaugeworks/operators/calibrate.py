@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranked import stretch, with_running
+from ..sources import io
 from .evaluate import clean, empirical_rank
+from .lookup import lookup
+
 
 def minmax(train: DataFrame, test: DataFrame) -> DataFrame:
     lo, hi = clean(train).agg(F.min(-F.col("ue")), F.max(-F.col("ue"))).first()
@@ -80,16 +83,92 @@ def _blocks(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> pd.DataFrame:
     return _merge(pd.DataFrame({"mean": y, "weight": w, "xw": x * w, "first": x, "last": x}).astype(float))
 
 
-def rising_fit(cells: DataFrame) -> pd.DataFrame:
-    """Blocks of the rising fit of (x, y, w). Pooling within stretches of x first changes nothing, so only the stretches' blocks reach the driver."""
-    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Blocks that one task merges; points of a curve that are broadcast; stretches of means at most.
+MERGED, BROADCAST_POINTS, MOST_CUTS = 50_000, 200_000, 64
+
+
+def rising_fit(cells: DataFrame) -> DataFrame:
+    """Blocks (BLOCK) of the rising fit of (x, y, w), written. However many there are, none of them passes through the driver.
+
+    Cells are pooled within stretches of x first, which changes nothing. If many blocks are left, as of a target that rises with x, they are cut
+    where the fit crosses a few levels: the fit is above a level exactly behind the place where the weighted sum of (mean - level) up to there is
+    least. What lies between two such places is a fit of its own.
+    """
+    spark = cells.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
         return _blocks(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
 
-    found = cells.select("x", "y", "w", stretch(cells, ["x"], n).alias("part")).groupBy("part").applyInPandas(fit, BLOCK).toPandas()
-    return _merge(found.sort_values("first", ignore_index=True))
+    path = io.scratch(spark, "rising-fit")
+    cells.select("x", "y", "w", stretch(cells, ["x"], n).alias("part")).groupBy("part").applyInPandas(fit, BLOCK).write.parquet(f"{path}/stretches")
+    blocks = spark.read.parquet(f"{path}/stretches")
+    segment, count = F.lit(0), blocks.count()
+    if count > MERGED:
+        shares = [(k + 1) / (m + 1) for m in [min(MOST_CUTS, -(-4 * count // MERGED))] for k in range(m)]
+        found = sorted(set(blocks.agg(F.percentile_approx("mean", shares, 10_000)).first()[0]))
+        levels = [a + (b - a) * 0.6180339887 for a, b in zip(found, found[1:])]  # between means, so that no block lies on one
+        sums = with_running(blocks, [], ["first"], {"a": F.col("weight") * F.col("mean"), "b": F.col("weight")})
+        if levels:
+            at = sums.agg(*(F.min(F.struct((F.col("a") - c * F.col("b")).alias("s"), F.col("last").alias("x"))).alias(f"c{k}") for k, c in enumerate(levels))).first()
+            places = sorted({c.x for c in at if c.s < 0})
+            segment = F.size(F.filter(F.array(*map(F.lit, places)), lambda c: c < F.col("first"))) if places else segment
+    merged = blocks.groupBy(segment.alias("segment")).applyInPandas(lambda pdf: _merge(pdf.drop(columns="segment", errors="ignore").sort_values("first", ignore_index=True)), BLOCK)
+    merged.write.parquet(f"{path}/blocks")
+    return spark.read.parquet(f"{path}/blocks")
+
+
+def curve_points(blocks: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """Points (px, py) of the centered fit: see _points. Means are held within `low` and `high`; the blocks beyond become one at either end."""
+    mean = F.least(F.lit(high), F.greatest(F.lit(low), F.col("mean")))
+    ends = blocks.withColumn("mean", mean)
+    flat = ends.where(F.col("mean").isin(low, high)).groupBy("mean").agg(F.sum("weight").alias("weight"), F.sum("xw").alias("xw"), F.min("first").alias("first"), F.max("last").alias("last"))
+    every = ends.where(~F.col("mean").isin(low, high)).select("mean", "weight", "xw", "first", "last").unionByName(flat)
+    first, last = blocks.agg(F.min("first"), F.max("last")).first()
+    xs = (
+        F.when(F.col("mean").isin(low, high), F.array("first", "last"))
+        .when(F.col("first") == F.lit(first), F.array("first"))
+        .when(F.col("last") == F.lit(last), F.array("last"))
+        .otherwise(F.array(F.col("xw") / F.col("weight")))
+    )
+    return every.select(F.explode(xs).alias("px"), F.col("mean").alias("py"))
+
+
+def along_curve(df: DataFrame, x: str, points: DataFrame, out: str) -> DataFrame:
+    """`df` with `out`, linear between the points of a curve and flat beyond them; null without a point or an x.
+
+    A curve of BROADCAST_POINTS points at most is broadcast. Of a longer one, distinct values meet the points in stretches, each with the points
+    next to it, and come back by a join that salts values of many rows.
+    """
+    spark, count = df.sparkSession, points.count()
+    if count == 0:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    if count <= BROADCAST_POINTS:
+        found = points.toPandas().sort_values(["px", "py"])
+        shared = spark.sparkContext.broadcast((found["px"].to_numpy(), found["py"].to_numpy()))
+
+        @F.pandas_udf("double")
+        def apply(v: pd.Series) -> pd.Series:
+            v = v.to_numpy(float)
+            return pd.Series(np.where(np.isnan(v), np.nan, np.interp(v, *shared.value)))
+
+        return df.withColumn(out, apply(F.col(x).cast("double")))
+    keyed = df.withColumn("__x", F.col(x).cast("double"))
+    queries = keyed.select(F.col("__x").alias("x")).where("x is not null and not isnan(x)").distinct()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = points.select(F.col("px").alias("x"), F.struct("px", "py").alias("p")).unionByName(queries.withColumn("p", F.lit(None).cast("struct<px:double,py:double>")))
+    both = both.withColumn("part", stretch(points.select(F.col("px").alias("x")), ["x"], n))
+    steps = both.where("p is not null").groupBy("part").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))  # a row for each stretch
+    steps = both.select("part").distinct().join(steps, "part", "left")
+    order = Window.orderBy("part")
+    steps = steps.select(F.col("part").alias("__part"), F.last("hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("behind"), F.first("lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("ahead"))
+    within = Window.partitionBy("part").orderBy("x")
+    near = both.withColumn("a", F.last("p", ignorenulls=True).over(within.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("b", F.first("p", ignorenulls=True).over(within.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    near = near.where("p is null").join(steps, F.col("part") == F.col("__part")).select("x", F.coalesce("a", "behind").alias("a"), F.coalesce("b", "ahead").alias("b"))
+    slope = F.try_divide(F.col("b.py") - F.col("a.py"), F.col("b.px") - F.col("a.px"))
+    value = F.when(F.col("a").isNull(), F.col("b.py")).when(F.col("b").isNull() | (F.col("a.px") == F.col("b.px")), F.col("a.py")).otherwise(F.col("a.py") + slope * (F.col("x") - F.col("a.px")))
+    return lookup(keyed, near.select(F.col("x").alias("__x"), value.alias(out)), "__x").drop("__x").select(*[c for c in df.columns if c != out], out)
 
 
 def _points(blocks: pd.DataFrame, low: float = 0.0, high: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -109,28 +188,12 @@ def centered_isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None)
 
 def isotonic(train: DataFrame, test: DataFrame) -> DataFrame:
     """Confidence that falls with ue: a centered isotonic fit in [0, 1], linear between its points, flat beyond them."""
-    blocks = rising_fit(score_cells(train).withColumn("x", -F.col("ue")))
-    blocks["mean"] = blocks["mean"].clip(0, 1)
-    px, py = _points(_merge(blocks))
-    if not len(px):
-        return test.select("unit", F.lit(None).cast("double").alias("confidence"))
-    shared = test.sparkSession.sparkContext.broadcast((px, py))  # the steps of the curve
-
-    @F.pandas_udf("double")
-    def apply(ue: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(-ue.to_numpy(float), *shared.value))
-
-    return test.select("unit", apply(F.col("ue").cast("double")).alias("confidence"))
+    points = curve_points(rising_fit(score_cells(train).withColumn("x", -F.col("ue"))))
+    return along_curve(test.select("unit", (-F.col("ue").cast("double")).alias("__c")), "__c", points, "confidence").select("unit", "confidence")
 
 
 def isotonic_scores(df: DataFrame) -> DataFrame:
     """`df` with ue replaced by its isotonic estimate of an error."""
     blocks = rising_fit(score_cells(df).select(F.col("ue").alias("x"), (1 - F.col("y")).alias("y"), "w"))
-    x, y = blocks[["first", "last"]].to_numpy().ravel(), np.repeat(blocks["mean"].to_numpy(), 2)
-    shared = df.sparkSession.sparkContext.broadcast((x, y))  # the steps of the curve
-
-    @F.pandas_udf("double")
-    def apply(ue: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(ue.to_numpy(float), *shared.value))
-
-    return df.withColumn("ue", apply(F.col("ue").cast("double")))
+    steps = blocks.select(F.explode(F.array("first", "last")).alias("px"), F.col("mean").alias("py"))
+    return along_curve(df, "ue", steps, "__fitted").withColumn("ue", F.col("__fitted")).select(*df.columns)

@@ -41,8 +41,13 @@ def ceil_partition(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def hash_order(key: Column, seed: int) -> Column:
-    """A repeatable order that looks random: a multiplicative hash, equal on other engines. Keys of any size stay within a long."""
-    return (F.pmod(key, F.lit(1000003)) * 2654435761 + seed * 40503) % 1000003
+    """A repeatable order that looks random: a multiplicative hash, equal on other engines. Keys of any size stay within a long.
+
+    What of a key lies beyond a million is mixed in as well, with its square, so that a share of very many ids is no residue class of them.
+    """
+    high = F.floor(key / 1000003).cast("long")
+    mixed = F.pmod(high, F.lit(1000003)) * 40503 + F.pmod(high * F.pmod(high, F.lit(1000003)), F.lit(1000003)) * 7919
+    return (F.pmod(key, F.lit(1000003)) * 2654435761 + mixed + seed * 40503) % 1000003
 
 
 def hash_split(df: DataFrame, key: str, test_share: float, seed: int) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ranked import stretch, with_running
+from ..plans.ranked import stretch_or_value, with_running
 
 
 def clean(df: DataFrame, bound: float = 1e7) -> DataFrame:
@@ -126,12 +126,14 @@ def pair_counts(df: DataFrame, group: list[str]) -> DataFrame:
     """Per group: n, concordant and discordant pairs of (ue, target), pairs tied in ue and in target.
 
     Rows combine to distinct (ue, target) cells, and both axes are cut into stretches. Pairs within a stretch of ue are merged in one task for
-    each, pairs of one stretch of the target and different ones of ue in another, and all others are counted from sums over the stretches.
+    each, pairs of one stretch of the target and different ones of ue in another, and all others are counted from sums over the stretches. A
+    value that many cells share is a stretch of its own, in which all pairs are tied: it is counted from sums and gathered nowhere.
     """
     cells = clean(df).groupBy(*group, "ue", "target").agg(F.count("*").alias("w"))
     cells = cells.withColumn("__all", F.lit(1))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.withColumns({"__x": stretch(cells, ["ue"], n), "__y": stretch(cells, ["target"], n)})
+    (x, hot_x), (y, hot_y) = (stretch_or_value(cells, c, n) for c in ("ue", "target"))
+    cells = cells.withColumns({"__x": x, "__y": y, "__hot_x": hot_x, "__hot_y": hot_y})
     keys = group or ["__all"]
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, concordant long, discordant long, tied_ue long, tied_target long"])
@@ -143,12 +145,15 @@ def pair_counts(df: DataFrame, group: list[str]) -> DataFrame:
 
         return count
 
-    within_ue = cells.groupBy(*keys, "__x").applyInPandas(counts("ue", "target", True, False), schema)
-    coarse = cells.groupBy(*keys, "__x", "__y", "target").agg(F.sum("w").alias("w"))
-    within_target = coarse.groupBy(*keys, "__y").applyInPandas(counts("__x", "target", False, True), schema)
+    zero, tied = F.lit(0).cast("long"), (F.col("w") * (F.col("w") - 1) / 2).cast("long")
+    one_ue = cells.where("__hot_x").groupBy(*keys, "__x").agg(F.sum("w").alias("w")).select(*keys, F.col("w").alias("n"), zero.alias("concordant"), zero.alias("discordant"), tied.alias("tied_ue"), zero.alias("tied_target"))
+    one_target = cells.where("__hot_y").groupBy(*keys, "__y").agg(F.sum("w").alias("w")).select(*keys, zero.alias("n"), zero.alias("concordant"), zero.alias("discordant"), zero.alias("tied_ue"), tied.alias("tied_target"))
+    within_ue = cells.where("not __hot_x").groupBy(*keys, "__x").applyInPandas(counts("ue", "target", True, False), schema)
+    coarse = cells.groupBy(*keys, "__x", "__y", "__hot_y", "target").agg(F.sum("w").alias("w"))
+    within_target = coarse.where("not __hot_y").groupBy(*keys, "__y").applyInPandas(counts("__x", "target", False, True), schema)
     # as many rows as pairs of stretches for each group
     across = coarse.groupBy(*keys, "__x", "__y").agg(F.sum("w").alias("w")).groupBy(*keys).applyInPandas(counts("__x", "__y", False, False), schema)
-    parts = within_ue.unionByName(within_target).unionByName(across)
+    parts = within_ue.unionByName(one_ue).unionByName(within_target).unionByName(one_target).unionByName(across)
     return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "concordant", "discordant", "tied_ue", "tied_target"))).drop("__all")
 
 

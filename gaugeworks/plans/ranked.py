@@ -18,6 +18,14 @@ def _below(cuts: list, column: str) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
 
 
+def stretch_or_value(df: DataFrame, column: str, n: int) -> tuple[Column, Column]:
+    """The number of a row's stretch, rising with the column, and whether that stretch is a single value that holds over 1 / n of the rows."""
+    found = (df.agg(F.percentile_approx(column, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None) or []
+    hot = sorted({v for v in found if found.count(v) > 1})  # each is the greatest value of its stretch
+    is_hot = F.col(column).isin(hot) if hot else F.lit(False)
+    return _below(sorted(set(found)), column) * 2 + is_hot.cast("int"), is_hot
+
+
 def stretch(df: DataFrame, order: list[str], n: int) -> Column:
     """The number of a row's stretch, rising with the order; of n stretches or somewhat more."""
     if n < 2:
