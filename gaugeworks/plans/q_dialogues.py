@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import claims, fact_checks, focus, greedy, online, prefix_scores, soft_match
+from ..operators import claims, estimators, fact_checks, focus, greedy, online, prefix_scores, relations, soft_match
 from ..sources import calls, io
 from ..sources import fixtures as S
 from ..sources import providers as P
@@ -222,3 +222,62 @@ def focus_turns(spark, sf):
     edges = F.flatten(F.transform("w", lambda _, i: F.transform(F.filter(F.sequence(F.lit(1), F.lit(8)), lambda d: d <= i), lambda d: F.struct(i.alias("i"), (i - d).alias("j"), (1 / d).alias("a")))))
     rows = rows.select("id", F.transform("w", lambda w: F.length(w) / 4).alias("base"), F.transform("w", lambda w: F.length(w) > 5).alias("keyword"), edges.alias("edges"))
     return rounded(focus.focus(rows, "id", "base", "keyword", "edges"), "value")
+
+
+@query(
+    "left_out_similarity",
+    f"""WITH t AS (SELECT conv_id || '/' || turn AS id, coalesce(role, '') AS head, {_LIST.format('text')} AS w FROM conversations),
+r AS (SELECT *, unnest(range(len(w))) AS pos FROM t), p AS (SELECT id, pos, w, w[pos + 1] AS tok, list_filter(list_concat(string_split(head, ' '), list_filter(w, lambda x: x NOT IN ('the', 'a'))), lambda x: x <> '') AS a,
+  list_filter(list_concat(string_split(head, ' '), list_filter(list_concat(w[1:pos], w[pos + 2:]), lambda x: x NOT IN ('the', 'a'))), lambda x: x <> '') AS b FROM r)
+SELECT id, pos, round(CASE WHEN len(w) = 1 THEN 0.5 WHEN tok IN ('the', 'a') THEN 1.0 WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM p""",
+)
+def left_out_similarity(spark, sf):
+    """How much each word of a turn matters to what it says; two articles stand in as special tokens."""
+    turns = S.table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "role", X.words(F.coalesce("text", F.lit(""))).alias("w"))
+    found = relations.token_similarity(turns, "id", "role", "w", ["the", "a"], calls.Answers(spark, P.OverlapSimilarity()))
+    return rounded(found.select("id", F.posexplode("similarity").alias("pos", "similarity")).withColumn("pos", F.col("pos").cast("long")), "similarity")
+
+
+def _nli(pair: str) -> tuple:
+    d = P.digest(pair)[0]
+    return (0.8, 0.1, 0.1) if d < "6" else (0.1, 0.8, 0.1) if d < "b" else (0.1, 0.1, 0.8)
+
+
+_KIND = "CASE WHEN substr({0}, 1, 1) < '6' THEN 'entail' WHEN substr({0}, 1, 1) < 'b' THEN 'neutral' ELSE 'contra' END"
+
+
+@query(
+    "ccp_by_provider",
+    f"""WITH {_D}, l AS (SELECT *, list_transform(range(8), lambda j: {_HEX.format("substr(sha256(w), CAST(j + 1 AS INT), 1)")} / 4.0) AS z FROM d),
+t AS (SELECT *, list_position(z, list_max(z)) - 1 AS token, ln(list_sum(list_transform(z, lambda x: exp(x)))) AS norm FROM l),
+e AS (SELECT *, min(CASE WHEN token = 7 THEN i END) OVER (PARTITION BY conv_id, turn) AS stop FROM t),
+k AS (SELECT conv_id, turn, i, token, norm, unnest(list_sort(list_transform(range(8), lambda j: (-z[j + 1], j)))[1:4]) AS o FROM e WHERE stop IS NULL OR i <= stop),
+n AS (SELECT conv_id, turn, i, -o[1] - norm AS lp, {_KIND.format("sha256('t' || token || chr(30) || 't' || o[2])")} AS f, {_KIND.format("sha256('t' || o[2] || chr(30) || 't' || token)")} AS b FROM k),
+c AS (SELECT *, CASE WHEN f = b THEN f WHEN f <> 'neutral' AND b <> 'neutral' THEN 'neutral' WHEN f = 'neutral' THEN b ELSE f END AS r FROM n),
+s AS (SELECT conv_id, turn, i, sum(exp(lp)) FILTER (WHERE r = 'entail') AS same, sum(exp(lp)) FILTER (WHERE r <> 'neutral') AS known FROM c GROUP BY ALL)
+SELECT conv_id || '/' || turn AS id, count(*) AS n, round(-sum(ln(same) - ln(known)), 6) AS ccp FROM s GROUP BY ALL""",
+)
+def ccp_by_provider(spark, sf):
+    """Claim-conditioned probability with a model's word on each alternative: outputs by contract, relations of distinct pairs of words, score."""
+    found = greedy.cut(calls.Answers(spark, P.greedy_outputs()).ask(_turns(spark, sf), "text"), 7, 4).where(F.size("greedy_tokens") > 0)
+    found = found.select("id", "alternatives", F.transform("alternatives", lambda a: F.transform(a, lambda s: F.concat(F.lit("t"), s["token"].cast("string")))).alias("words"))
+    path = io.scratch(spark, "outputs")
+    found.write.parquet(path)
+    found = spark.read.parquet(path)
+    related = relations.alternative_relations(found, "id", "words", calls.Answers(spark, P.PerText("entail double, neutral double, contra double", _nli)))
+    rows = found.join(related, "id").select("id", F.inline(F.arrays_zip("alternatives", "relations")))
+    return rounded(rows.withColumn("c", estimators.ccp_token(F.col("alternatives"), F.col("relations"))).groupBy("id").agg(F.count("*").alias("n"), (-F.sum("c")).alias("ccp")), "ccp")
+
+
+@query(
+    "p_true_prompts",
+    f"""WITH t AS (SELECT conv_id || '/' || turn AS id, coalesce(role, '') AS role, coalesce(text, '') AS text, {_LIST.format('text')} AS w FROM conversations),
+p AS (SELECT id, 'Question: ' || role || chr(10) || 'Ideas:' || chr(10) || array_to_string(w, ' ') || chr(10) || array_to_string(list_concat(w[2:], w[1:1]), ' ') || chr(10) || 'Proposed answer: ' || text || chr(10) || 'Is it (A) true or (B) false? It is:' AS p FROM t)
+SELECT id, round(-ln({_HEX.format('substr(sha256(p), 1, 12)')} / 281474976710656.0), 6) AS p_true FROM p""",
+)
+def p_true_prompts(spark, sf):
+    """Two samples of each turn as ideas, and whether the model holds the turn itself for true."""
+    turns = S.table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    sampled = calls.Answers(spark, P.RotatingSamples(2)).ask(turns, "text").drop("error", "provider")
+    rows = sampled.select("id", relations.truth_prompt(F.col("role"), F.col("text"), F.col("samples")).alias("prompt"))
+    return rounded(relations.p_true(rows, "prompt", calls.Answers(spark, P.HashScore())).select("id", "p_true"), "p_true")
