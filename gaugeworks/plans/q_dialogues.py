@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import claims, estimators, fact_checks, focus, greedy, online, prefix_scores, relations, soft_match
+from ..operators import claims, estimators, fact_checks, focus, greedy, online, prefix_scores, relations, soft_match, step_rewards
 from ..sources import calls, io
 from ..sources import fixtures as S
 from ..sources import providers as P
@@ -281,3 +281,67 @@ def p_true_prompts(spark, sf):
     sampled = calls.Answers(spark, P.RotatingSamples(2)).ask(turns, "text").drop("error", "provider")
     rows = sampled.select("id", relations.truth_prompt(F.col("role"), F.col("text"), F.col("samples")).alias("prompt"))
     return rounded(relations.p_true(rows, "prompt", calls.Answers(spark, P.HashScore())).select("id", "p_true"), "p_true")
+
+
+def _logits(n, text: str) -> tuple:
+    """Two logits for each of n(text) places, by digest."""
+    return ([[int(c, 16) / 4 for c in P.digest(text, k)[:2]] for k in range(n(text))],)
+
+
+def _values(text: str) -> tuple:
+    """A value for each line, of which the first, the question, is no step."""
+    n = text.count("\n") + 1
+    return [int(P.digest(text, k)[0], 16) / 4 - 2 for k in range(n)], [int(k > 0) for k in range(n)]
+
+
+def _entities(text: str) -> tuple:
+    d = P.digest(text)
+    return (["LABEL_0", f"LABEL_{int(d[0], 16) % 2}"], [0.1, int(d[1:4], 16) / 4095]) if d[0] != "f" else ([], [])
+
+
+_SCORERS = {
+    "marks": P.PerText("logits array<array<double>>", lambda t: _logits(lambda x: x.count(step_rewards.MARK), t)),
+    "tags": P.PerText("logits array<array<double>>", lambda t: _logits(lambda x: x.count(" " + step_rewards.TAG), t)),
+    "flags": P.PerText("values array<double>, flags array<int>", _values),
+    "dialogue": P.PerText("logits array<array<double>>", lambda t: _logits(lambda x: 2, t)),
+    "beginnings": P.PerText("score double", lambda t: (int(P.digest(t)[:2], 16) / 64 - 2,)),
+    "labels": P.PerText("entities array<string>, scores array<double>", _entities),
+}
+
+_SIG = "1 / (1 + exp(-({0})))"
+_AT = "sha256(p || chr(30) || CAST({0} AS VARCHAR))"
+_DIFF = "({0} - {1}) / 4.0"
+
+
+def _pair_sql(at: str, good: int) -> str:
+    a, b = (_HEX.format(f"substr({_AT.format(at)}, {k}, 1)") for k in (1, 2))
+    return _SIG.format(_DIFF.format(*((a, b) if good == 0 else (b, a))))
+
+
+@query(
+    "reward_families",
+    f"""WITH l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, trim(replace(coalesce(text, ''), chr(10), ' '), ' ') AS s, 'How does it go on, ' || conv_id || '?' AS q FROM conversations),
+w AS (SELECT conv_id, q, list(s ORDER BY k) AS s FROM l GROUP BY conv_id, q), b AS (SELECT conv_id, q, unnest(range(1, len(s) + 1)) AS k, s FROM w), e AS (SELECT conv_id, q, k, s[1:k] AS s FROM b),
+whole AS (SELECT conv_id, 'marks' AS family, len(s) AS n, q || chr(10) || array_to_string(s, '{step_rewards.MARK}') || '{step_rewards.MARK}' AS p FROM w
+  UNION ALL SELECT conv_id, 'tags', len(s), q || ' ' || array_to_string(list_transform(s, lambda x, i: 'Step ' || i || ': ' || x || ' {step_rewards.TAG}'), chr(10)) FROM w
+  UNION ALL SELECT conv_id, 'flags', len(s), q || chr(10) || array_to_string(s, chr(10)) FROM w),
+part AS (SELECT conv_id, 'dialogue' AS family, k, q || ' ' || array_to_string(list_transform(s, lambda x: x || chr(10) || '+'), chr(10)) AS p FROM e
+  UNION ALL SELECT conv_id, 'beginnings', k, q || chr(10) || chr(10) || '###' || chr(10) || chr(10) || 'The reference answer is: There is no reference answer for this question.' || chr(10) || array_to_string(s, chr(10)) || chr(10) FROM e
+  UNION ALL SELECT conv_id, 'labels', k, q || chr(10) || chr(10) || array_to_string(s, chr(10) || chr(10)) || chr(10) || chr(10) FROM e),
+r AS (SELECT conv_id, family, k, CASE family WHEN 'marks' THEN {_pair_sql('k - 1', 1)} WHEN 'tags' THEN {_pair_sql('k - 1', 0)} ELSE {_SIG.format(_HEX.format(f"substr({_AT.format('k')}, 1, 1)") + ' / 4.0 - 2')} END AS reward
+  FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM whole)
+  UNION ALL SELECT conv_id, family, k, CASE family WHEN 'dialogue' THEN {_pair_sql('1', 0)} WHEN 'beginnings' THEN {_SIG.format(_HEX.format('substr(sha256(p), 1, 2)') + ' / 64.0 - 2')}
+    ELSE CASE WHEN substr(sha256(p), 1, 1) = 'f' THEN 0.5 WHEN {_HEX.format('substr(sha256(p), 1, 1)')} % 2 = 1 THEN {_HEX.format('substr(sha256(p), 2, 3)')} / 4095.0 ELSE 1 - {_HEX.format('substr(sha256(p), 2, 3)')} / 4095.0 END END FROM part)
+SELECT conv_id, family, CAST(k - 1 AS INT) AS step, round(reward, 6) AS reward FROM r""",
+)
+def reward_families(spark, sf):
+    """The turns of each conversation as the steps of a solution, scored by a model of each family."""
+    line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    turns = S.table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("s")))).alias("x"))
+    rows = turns.select("conv_id", F.concat(F.lit("How does it go on, "), F.col("conv_id").cast("string"), F.lit("?")).alias("q"), F.col("x.s").alias("steps"))
+    out = None
+    for family, scorer in _SCORERS.items():
+        found = step_rewards.step_rewards(rows, "conv_id", "q", "steps", family, calls.Answers(spark, scorer))
+        part = found.select("conv_id", F.lit(family).alias("family"), F.posexplode("rewards").alias("step", "reward"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, "reward")

@@ -72,3 +72,23 @@ def test_truth_prompts(spark):
     scores = providers.PerText("score double", lambda t: (0.0 if t == "z" else 0.5,))
     rows = spark.createDataFrame([("z",), ("h",), (None,)], "p string")
     assert {r.p: r.t for r in relations.p_true(rows, "p", calls.Answers(spark, scores), "t").collect()} == {"z": None, "h": pytest.approx(0.693147, abs=1e-6), None: None}
+
+
+def test_reward_families(spark):
+    from gaugeworks.operators import step_rewards
+
+    rows = [(1, "q", ["a ", None, "c"]), (2, None, ["x"]), (3, "q", []), (4, "q", None)]
+    df = spark.createDataFrame(rows, "id int, q string, s array<string>")
+    said = {}
+    for family, schema, value in (("marks", "logits array<array<double>>", lambda t: ([[0.0, 1.0]] * t.count("<extra_0>"),)), ("tags", "logits array<array<double>>", lambda t: ([[0.0, 1.0]] * t.count("ки"),)), ("flags", "values array<double>, flags array<int>", lambda t: ([0.0, 1.0] * 3, [0, 1] * t.count("\n") + [0, 0] * (3 - t.count("\n")))), ("dialogue", "logits array<array<double>>", lambda t: ([[9.0, 9.0], [1.0, 0.0]],)), ("beginnings", "score double", lambda t: (float(len(t) % 3),)), ("labels", "entities array<string>, scores array<double>", lambda t: (["LABEL_0"], [0.9]) if "c" in t else ([], []))):
+        got = {r.id: r.rewards for r in step_rewards.step_rewards(df, "id", "q", "s", family, calls.Answers(spark, providers.PerText(schema, value))).collect()}
+        assert got[3] == got[4] == [] and len(got[1]) == 3 and len(got[2]) == 1, family
+        said[family] = got[1]
+    high, low = pytest.approx(0.7310586), pytest.approx(0.2689414)
+    assert said["marks"] == [high] * 3 and said["tags"] == [low] * 3 and said["flags"] == [high] * 3 and said["dialogue"] == [high] * 3
+    assert said["labels"] == [0.5, 0.5, pytest.approx(0.1)]
+    prompts = df.where("id = 1").select(*(f.prompt(F.col("q"), F.array(F.lit("a"), F.lit(""), F.lit("c"))).alias(n) for n, f in step_rewards.FAMILIES.items())).first()
+    assert prompts.marks == "q\na<extra_0><extra_0>c<extra_0>" and prompts.tags == "q Step 1: a ки\nStep 2:  ки\nStep 3: c ки" and prompts.flags == "q\na\n\nc"
+    assert prompts.dialogue == "q a\n+\n\n+\nc\n+" and prompts.labels == "q\n\na\n\n\n\nc\n\n" and prompts.beginnings.endswith("question.\na\n\nc\n")
+    with pytest.raises(Exception, match="another number of steps"):
+        step_rewards.step_rewards(df, "id", "q", "s", "marks", calls.Answers(spark, providers.PerText("logits array<array<double>>", lambda t: ([[0.0, 1.0]],)))).collect()
