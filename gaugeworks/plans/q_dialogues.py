@@ -345,3 +345,29 @@ def reward_families(spark, sf):
         part = found.select("conv_id", F.lit(family).alias("family"), F.posexplode("rewards").alias("step", "reward"))
         out = part if out is None else out.unionByName(part)
     return rounded(out, "reward")
+
+
+def _graded(text: str) -> tuple:
+    d = [int(c, 16) for c in P.digest(text)[:8]]
+    grade = ("Correct", "Incorrect", "not given")[d[0] % 3]
+    steps = "All steps are correct,\nas far as I see." if d[1] % 4 == 0 else f"The steps:\n```python\n[{d[2] % 2}, {d[3] % 2}]\n```\nas asked." if d[1] % 4 < 3 else "I cannot say\nwhich."
+    marks = ", ".join(str(x % 2) for x in d[4 : 6 + d[6] % 3])
+    return f"Let me look at it.\n\n<Grade>: {grade}\nThat is all.", steps, f'{{\n  "correctness": [{marks}]\n}}' if d[7] else f"[{marks}]\nis what I found"
+
+
+_NIB = _HEX.format("substr(h, {0}, 1)")
+
+
+@query(
+    "parsed_replies",
+    f"""WITH t AS (SELECT conv_id || '/' || turn AS id, sha256(coalesce(text, '')) AS h FROM conversations),
+n AS (SELECT id, {_NIB.format(1)} % 3 AS g, {_NIB.format(2)} % 4 AS s, [{_NIB.format(3)} % 2, {_NIB.format(4)} % 2] AS l, list_transform(range(5, 7 + {_NIB.format(7)} % 3), lambda k: {_NIB.format('CAST(k AS INT)')} % 2) AS m, {_NIB.format(8)} AS j FROM t)
+SELECT id, CASE g WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 END AS grade, CASE WHEN s = 0 THEN CAST([] AS BIGINT[]) WHEN s < 3 THEN l END AS steps,
+       CASE WHEN j = 0 OR len(m) NOT IN (2, 3) THEN [NULL, NULL, NULL] WHEN len(m) = 3 THEN list_transform(m, lambda x: 1.0 - x) ELSE list_append(list_transform(m, lambda x: 1.0 - x), NULL) END AS labels
+FROM n""",
+)
+def parsed_replies(spark, sf):
+    """Replies of several lines of a judge, asked about each turn: a grade, a list of wrong steps, labels of three claims as JSON."""
+    judge = P.PerText("graded string, listed string, labelled string", _graded)
+    asked = calls.Answers(spark, judge).ask(_turns(spark, sf), "text")
+    return asked.select("id", X.grade(F.col("graded")).alias("grade"), X.label_list(F.col("listed")).alias("steps"), X.json_labels(F.col("labelled"), F.lit(3)).alias("labels"))
