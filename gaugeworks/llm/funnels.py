@@ -18,7 +18,7 @@ FUNNELS = (
 LIMIT = 15 * 60 * 1_000_000
 STEPS = 4
 #: Rows of one group, about. A client beyond LEAST_HOT rows and its share of all rows, 1 / HOT, is cut into stretches of time of about ROWS rows.
-ROWS, LEAST_HOT, HOT = 4096, 20_000, 10_000
+ROWS, LEAST_HOT, HOT = 4096, 8192, 10_000
 #: A hot client's times are counted in cells of 1/32 to 1/64 of their value (some 900 up to the limit), then in parts of FINE microseconds of the
 #: cell that holds the median (2048 at most), then one by one.
 TOP_BITS, FINE = 6, 1 << 13
