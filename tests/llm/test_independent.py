@@ -206,3 +206,58 @@ def test_pipeline_stage_by_stage(spark):
     assert found
     mixed = stages[4](spark, clean, sf).collect()
     assert {r.doc_id for r in mixed} == set(before) and all(r.size == len(re.findall(r"[^\x20\x09-\x0D]+", before[r.doc_id] or "")) for r in mixed)
+
+
+# cases owed
+
+def test_chats_of_long_texts_and_extra_columns(spark):
+    import hashlib
+
+    from gaugeworks.llm import chat_format
+
+    long = "x</s>[INST]\\ <|a|> " * 12_000
+    rows = [(1, 0, "user", long, "f", 7), (1, 1, "assistant", long, "f", 7), (2, 0, None, "", "f", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, n_escaped int")
+    got = {r.conv_id: r for r in chat_format.digest(chat_format.format_chats(df)).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long}\n".encode()).hexdigest()
+    assert got[1].loss_chars == len(long) and got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest() and got[1].n_escaped == 2
+    assert got[2].n_turns == 1 and got[2].loss_chars == 0
+
+
+def test_repeated_labelled_ids_of_different_texts(spark):
+    """Which text of an id is learned from does not depend on where the rows lie, and each row is scored by its own text."""
+    from gaugeworks.llm import quality_classifier, toxicity
+
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["fine", "vile", "tin", "oak", f"w{k % 7}"]) for _ in range(30)) for k in range(240)]
+    docs = documents(spark, texts, ids=[k // 2 for k in range(240)])
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(120)] + [(5, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    for run in (quality_classifier.classify, toxicity.classify):
+        a, b = (sorted((r.doc_id, round(r.score, 9)) for r in run(d, labels).collect()) for d in (docs, docs.repartition(7)))
+        assert a == b and len(a) == 240
+
+
+def test_equal_texts_without_ids(spark):
+    from gaugeworks.llm import simhash
+
+    text = "one text that occurs again and again without an id of its own"
+    docs = documents(spark, [text, text, "another text altogether, told at some length here", text, "another text altogether, told at some length here"], ids=[None, None, None, 4, None])
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(4, text), (None, "another text altogether, told at some length here")], key=str)
+
+
+def test_set_numbers_that_collide(spark):
+    """Sets whose 64-bit numbers agree get others: the number of a digest is stubbed to a few values."""
+    from pyspark.sql import functions as F
+
+    from gaugeworks.llm import simhash
+    from gaugeworks.llm.common import Scope
+
+    sets = spark.createDataFrame([(bytes([k]) * 16,) for k in range(9)], "digest binary")
+    real, scope = F.xxhash64, Scope()
+    try:
+        F.xxhash64 = lambda *c: real(*c) % 3 if len(c) == 1 else real(*c)
+        ids = [r.id for r in simhash._set_ids(sets, scope).collect()]
+    finally:
+        F.xxhash64 = real
+    assert len(set(ids)) == 9
