@@ -215,7 +215,7 @@ def test_toxicity_scores_whole_texts_as_brute_force_does(spark):
     vectors = {k: vector(texts[k]) for k in ids}
     for k in range(0, 260, 7):
         q = vector(texts[k])
-        cosines = sorted((-round(sum(x * vectors[e].get(w, 0) for w, x in q.items()), 9), ids.index(e), e) for e in ids)
+        cosines = sorted((-round(sum(x * vectors[e].get(w, 0) for w, x in q.items()), 12), ids.index(e), e) for e in ids)
         near = [(e, -c) for c, _, e in cosines if c < 0][:15]
         assert [round(x.cosine, 7) for x in got[k].evidence] == [round(min(c, 1), 7) for _, c in near]
         votes = [(1 / (1.02 - min(c, 1)), y[e]) for e, c in near]
