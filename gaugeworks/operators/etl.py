@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,28 +52,37 @@ def hash_order(key: Column, seed: int) -> Column:
     return (F.pmod(key, F.lit(1000003)) * 2654435761 + mixed + seed * 40503) % 1000003
 
 
-def hash_split(df: DataFrame, key: str, test_share: float, seed: int) -> DataFrame:
+def plain_order(key: Column, seed: int) -> Column:
+    """The multiplicative hash alone, as SQL writes it; of keys beyond a million it repeats."""
+    return (F.pmod(key, F.lit(1000003)) * 2654435761 + seed * 40503) % 1000003
+
+
+#: An order of rows: of a key's column and a seed.
+Order = Callable[[Column, int], Column]
+
+
+def hash_split(df: DataFrame, key: str, test_share: float, seed: int, order: Order = hash_order) -> DataFrame:
     """`is_test` for a share of the rows, without a shuffle."""
-    return df.withColumn("is_test", hash_order(F.col(key), seed) < int(test_share * 1000003))
+    return df.withColumn("is_test", order(F.col(key), seed) < int(test_share * 1000003))
 
 
-def subsample(df: DataFrame, key: str, size: float, seed: int) -> DataFrame:
+def subsample(df: DataFrame, key: str, size: float, seed: int, order: Order = hash_order) -> DataFrame:
     """`size` rows, or that share if below 1, by hash order."""
     n = int(size * df.count()) if size < 1 else int(size)
     if n <= ONE_TASK:
-        return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
-    return with_running(df.withColumn("__h", hash_order(F.col(key), seed)), [], ["__h", key]).where(F.col("rank") <= n).select(*df.columns)
+        return df.orderBy(order(F.col(key), seed), key).limit(n)
+    return with_running(df.withColumn("__h", order(F.col(key), seed)), [], ["__h", key]).where(F.col("rank") <= n).select(*df.columns)
 
 
-def sample_per_group(df: DataFrame, group: str, key: str, most: int, seed: int) -> DataFrame:
-    order = Window.partitionBy(group).orderBy(hash_order(F.col(group) * 31 + F.col(key), seed), key)
-    return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+def sample_per_group(df: DataFrame, group: str, key: str, most: int, seed: int, order: Order = hash_order) -> DataFrame:
+    by = Window.partitionBy(group).orderBy(order(F.col(group) * 31 + F.col(key), seed), key)
+    return df.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= most).drop("__n")
 
 
-def distinct_sample(df: DataFrame, column: str, key: str, size: int, seed: int) -> DataFrame:
+def distinct_sample(df: DataFrame, column: str, key: str, size: int, seed: int, order: Order = hash_order) -> DataFrame:
     """Rows of `size` distinct values, chosen by hash order of the value's first key."""
     firsts = df.groupBy(column).agg(F.min(key).alias("__first"))
-    chosen = firsts.orderBy(hash_order(F.col("__first"), seed), "__first").limit(size)
+    chosen = firsts.orderBy(order(F.col("__first"), seed), "__first").limit(size)
     return df.join(chosen, column, "left_semi")
 
 

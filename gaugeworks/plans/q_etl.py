@@ -24,11 +24,11 @@ query("partition_balanced", _POS + "SELECT doc_id, CAST(ntile(7) OVER (ORDER BY
 query("partition_floor", _POS + "SELECT doc_id, CAST(pos // (n // 7) AS BIGINT) AS part FROM p WHERE pos // (n // 7) < 7")(lambda spark, sf: etl.floor_partition(_docs(spark, sf).select("doc_id"), "doc_id", 7))
 query("partition_ceil", _POS + "SELECT doc_id, CAST(floor(pos / ceil(n / 7)) AS BIGINT) AS part FROM p")(lambda spark, sf: etl.ceil_partition(_docs(spark, sf).select("doc_id"), "doc_id", 7))
 _H = "(({k}) * 2654435761 + {s} * 40503) % 1000003"
-query("train_test_hash_split", f"SELECT doc_id, {_H.format(k='doc_id', s=42)} < 200000 AS is_test FROM documents")(lambda spark, sf: etl.hash_split(_docs(spark, sf).select("doc_id"), "doc_id", 0.2, 42))
-query("shuffle_select", f"SELECT doc_id FROM documents ORDER BY {_H.format(k='doc_id', s=228)}, doc_id LIMIT 100")(lambda spark, sf: etl.subsample(_docs(spark, sf).select("doc_id"), "doc_id", 100, 228))
-query("subsample_fraction", f"SELECT doc_id FROM documents ORDER BY {_H.format(k='doc_id', s=7)}, doc_id LIMIT (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM documents)")(lambda spark, sf: etl.subsample(_docs(spark, sf).select("doc_id"), "doc_id", 0.1, 7))
-query("distinct_question_sample", f"WITH f AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text), c AS (SELECT text FROM f ORDER BY {_H.format(k='first', s=42)}, first LIMIT 50) SELECT doc_id FROM documents WHERE text IN (SELECT text FROM c)")(lambda spark, sf: etl.distinct_sample(_docs(spark, sf).select("doc_id", "text"), "text", "doc_id", 50, 42).select("doc_id"))
-query("claim_subsample_cap", f"WITH {C.CLAIM} SELECT doc_id, claim_idx FROM (SELECT doc_id, claim_idx, row_number() OVER (PARTITION BY doc_id ORDER BY {_H.format(k='doc_id * 31 + claim_idx', s=3)}, claim_idx) AS r FROM claim) WHERE r <= 3")(lambda spark, sf: etl.sample_per_group(S.claims(spark, sf).select("doc_id", "claim_idx"), "doc_id", "claim_idx", 3, 3))
+query("train_test_hash_split", f"SELECT doc_id, {_H.format(k='doc_id', s=42)} < 200000 AS is_test FROM documents")(lambda spark, sf: etl.hash_split(_docs(spark, sf).select("doc_id"), "doc_id", 0.2, 42, etl.plain_order))
+query("shuffle_select", f"SELECT doc_id FROM documents ORDER BY {_H.format(k='doc_id', s=228)}, doc_id LIMIT 100")(lambda spark, sf: etl.subsample(_docs(spark, sf).select("doc_id"), "doc_id", 100, 228, etl.plain_order))
+query("subsample_fraction", f"SELECT doc_id FROM documents ORDER BY {_H.format(k='doc_id', s=7)}, doc_id LIMIT (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM documents)")(lambda spark, sf: etl.subsample(_docs(spark, sf).select("doc_id"), "doc_id", 0.1, 7, etl.plain_order))
+query("distinct_question_sample", f"WITH f AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text), c AS (SELECT text FROM f ORDER BY {_H.format(k='first', s=42)}, first LIMIT 50) SELECT doc_id FROM documents WHERE text IN (SELECT text FROM c)")(lambda spark, sf: etl.distinct_sample(_docs(spark, sf).select("doc_id", "text"), "text", "doc_id", 50, 42, etl.plain_order).select("doc_id"))
+query("claim_subsample_cap", f"WITH {C.CLAIM} SELECT doc_id, claim_idx FROM (SELECT doc_id, claim_idx, row_number() OVER (PARTITION BY doc_id ORDER BY {_H.format(k='doc_id * 31 + claim_idx', s=3)}, claim_idx) AS r FROM claim) WHERE r <= 3")(lambda spark, sf: etl.sample_per_group(S.claims(spark, sf).select("doc_id", "claim_idx"), "doc_id", "claim_idx", 3, 3, etl.plain_order))
 query("length_filter", "SELECT doc_id, '' AS target_text FROM documents WHERE length(text) <= 1024 ORDER BY doc_id LIMIT 200")(lambda spark, sf: _docs(spark, sf).where(F.length("text") <= 1024).orderBy("doc_id").limit(200).select("doc_id", F.lit("").alias("target_text")))
 
 
