@@ -1,15 +1,18 @@
 """Estimators that need small dense linear algebra or an order of reading, one group at a time.
 
-A group is one prompt's samples, or one step's: a handful of rows by nature. Each function takes a pandas frame of one group.
+A group is one prompt's samples, or one step's: a handful of rows by nature. Each function takes a pandas frame or the matrices of one group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dense(pdf: pd.DataFrame, column: str) -> np.ndarray:
@@ -126,6 +129,28 @@ def per_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame],
     return df.groupBy(*keys).applyInPandas(apply, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"{out} double"]))
 
 
+def per_matrix(pairs: DataFrame, keys: list[str], columns: list[str], function: Callable[..., float], out: str = "value") -> DataFrame:
+    """One value per group of pairs (i, j): `function` gets the matrix of each column. Groups travel as arrays, many to a batch, so that small ones
+    cost what their numbers cost; a pair is there once."""
+    rows = pairs.groupBy(*keys).agg(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), *(F.col(c).cast("double").alias(c) for c in columns))).alias("__pairs"))
+    schema, n_keys = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.DoubleType())]), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column(n_keys)
+            cuts = listed.offsets.to_numpy()
+            i, j, *w = (listed.values.field(k).to_numpy() for k in range(2 + len(columns)))
+            values = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                ids, at = np.unique(np.concatenate([i[a:b], j[a:b]]), return_inverse=True)
+                full = np.zeros((len(columns), len(ids), len(ids)))
+                full[:, at[: b - a], at[b - a :]] = [x[a:b] for x in w]
+                values.append(float(function(*full)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_keys)), pa.array(values, pa.float64())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def semantic_classes(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, turn, class_id) from pairs with `cls`."""
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}

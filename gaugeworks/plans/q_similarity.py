@@ -17,19 +17,19 @@ from .catalog import query, rounded
 _KEY = ["conv_id"]
 
 
-def _spectral(name: str, function) -> None:
-    query(name)(lambda spark, sf: rounded(spectral.per_group(S.sample_pairs(spark, sf), _KEY, function), "value"))
+def _spectral(name: str, columns: list[str], function) -> None:
+    query(name)(lambda spark, sf: rounded(spectral.per_matrix(S.sample_pairs(spark, sf), _KEY, columns, function), "value"))
 
 
-for _k, _w in (("entail", lambda p: spectral.dense(p, "entail")), ("contra", lambda p: 1 - spectral.dense(p, "contra")), ("jaccard", lambda p: spectral.dense(p, "jac") + np.diag(1 - np.diag(spectral.dense(p, "jac"))))):
-    _spectral(f"eccentricity_{_k}", lambda p, w=_w: spectral.eccentricity(w(p)))
-    _spectral(f"eigval_laplacian_{_k}", lambda p, w=_w: spectral.laplacian_sum(w(p)))
-_spectral("kernel_language_entropy", lambda p: spectral.kernel_entropy(spectral.dense(p, "entail"), 1 - spectral.dense(p, "entail") - spectral.dense(p, "contra")))
+for _k, _c, _w in (("entail", "entail", lambda m: m), ("contra", "contra", lambda m: 1 - m), ("jaccard", "jac", lambda m: m + np.diag(1 - np.diag(m)))):
+    _spectral(f"eccentricity_{_k}", [_c], lambda m, w=_w: spectral.eccentricity(w(m)))
+    _spectral(f"eigval_laplacian_{_k}", [_c], lambda m, w=_w: spectral.laplacian_sum(w(m)))
+_spectral("kernel_language_entropy", ["entail", "contra"], lambda e, c: spectral.kernel_entropy(e, 1 - e - c))
 
 _CC = """, tie AS (SELECT a.conv_id, a.i, a.j FROM pair a JOIN pair b ON a.conv_id = b.conv_id AND a.i = b.j AND a.j = b.i WHERE a.entail > a.contra AND b.entail > b.contra),
 reach AS (SELECT conv_id, i, j FROM tie UNION SELECT r.conv_id, r.i, t.j FROM reach r JOIN tie t ON r.conv_id = t.conv_id AND r.j = t.i),
 root AS (SELECT conv_id, i, min(j) AS r FROM reach GROUP BY conv_id, i) SELECT conv_id, CAST(count(DISTINCT r) AS DOUBLE) AS value FROM root GROUP BY conv_id"""
-query("num_sem_sets", f"WITH RECURSIVE {C.PAIR}{_CC}")(lambda spark, sf: spectral.per_group(S.sample_pairs(spark, sf), _KEY, lambda p: spectral.semantic_sets(spectral.dense(p, "entail"), spectral.dense(p, "contra"))))
+query("num_sem_sets", f"WITH RECURSIVE {C.PAIR}{_CC}")(lambda spark, sf: spectral.per_matrix(S.sample_pairs(spark, sf), _KEY, ["entail", "contra"], spectral.semantic_sets))
 
 
 @query("eigenscore")
@@ -163,9 +163,10 @@ def rde(spark, sf):
 
 def _step_pairs(spark, sf):
     """Samples of a step: lines of documents of one source, five at a time."""
-    c = S.claims(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), X.words(F.col("text")).alias("toks"))
-    a, b = c.select("group_id", "claim_idx", F.col("turn").alias("i"), F.col("toks").alias("x")), c.select("group_id", "claim_idx", F.col("turn").alias("j"), F.col("toks").alias("y"))
-    return S.similarity(a.join(b, ["group_id", "claim_idx"]), F.col("i") == F.col("j"))
+    c = S.claim_lines(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("group_id"), "claim_idx", (F.col("doc_id") % 5).alias("turn"), F.array_distinct(X.words(F.col("text"))).alias("toks"))
+    met = c.groupBy("group_id", "claim_idx").agg(F.collect_list(F.struct("turn", "toks")).alias("s"))  # five at most, as ids are unique
+    each = F.flatten(F.transform("s", lambda a: F.transform("s", lambda b: F.struct(a["turn"].alias("i"), b["turn"].alias("j"), a["toks"].alias("x"), b["toks"].alias("y")))))
+    return S.similarity(met.select("group_id", "claim_idx", F.inline(each)), F.col("i") == F.col("j"))
 
 
 _SP = rf"""WITH {C.CLAIM}, sset AS (SELECT doc_id // 5 AS group_id, claim_idx, doc_id % 5 AS turn, list_distinct(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS t FROM claim),
@@ -185,10 +186,10 @@ def steps_semantic_entropy(spark, sf):
     return rounded(pairs.semantic_entropy(c, "key", empirical=True).select("key.group_id", "key.claim_idx", "value"), "value")
 
 
-query("steps_eccentricity")(lambda spark, sf: rounded(spectral.per_group(_step_pairs(spark, sf), ["group_id", "claim_idx"], lambda p: spectral.eccentricity(spectral.dense(p, "entail"))), "value"))
+query("steps_eccentricity")(lambda spark, sf: rounded(spectral.per_matrix(_step_pairs(spark, sf), ["group_id", "claim_idx"], ["entail"], spectral.eccentricity), "value"))
 query("steps_num_sem_sets", "WITH RECURSIVE" + _SP[4:] + """, tie AS (SELECT a.group_id, a.claim_idx, a.i, a.j FROM sp a JOIN sp b ON a.group_id = b.group_id AND a.claim_idx = b.claim_idx AND a.i = b.j AND a.j = b.i WHERE a.entail > (1 - a.entail) / 2 AND b.entail > (1 - b.entail) / 2),
 reach AS (SELECT group_id, claim_idx, i, j FROM tie UNION SELECT r.group_id, r.claim_idx, r.i, t.j FROM reach r JOIN tie t ON r.group_id = t.group_id AND r.claim_idx = t.claim_idx AND r.j = t.i),
-root AS (SELECT group_id, claim_idx, i, min(j) AS r FROM reach GROUP BY group_id, claim_idx, i) SELECT group_id, claim_idx, CAST(count(DISTINCT r) AS DOUBLE) AS value FROM root GROUP BY group_id, claim_idx""")(lambda spark, sf: spectral.per_group(_step_pairs(spark, sf), ["group_id", "claim_idx"], lambda p: spectral.semantic_sets(spectral.dense(p, "entail"), spectral.dense(p, "contra"))))
+root AS (SELECT group_id, claim_idx, i, min(j) AS r FROM reach GROUP BY group_id, claim_idx, i) SELECT group_id, claim_idx, CAST(count(DISTINCT r) AS DOUBLE) AS value FROM root GROUP BY group_id, claim_idx""")(lambda spark, sf: spectral.per_matrix(_step_pairs(spark, sf), ["group_id", "claim_idx"], ["entail", "contra"], spectral.semantic_sets))
 
 
 @query("steps_lexical_similarity")

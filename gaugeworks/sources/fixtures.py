@@ -70,11 +70,16 @@ def similarity(pairs: DataFrame, same) -> DataFrame:
     return p.withColumn("cls", F.when(same | (F.col("jac") >= 0.055), 2).when(F.col("jac") < 0.025, 0).otherwise(1))
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with words as claims: claim_idx, text, positions of its words in the document, and a label (1 wrong, null unknown)."""
+def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with words: claim_idx, text and n, its number of words. No shuffle."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.size(X.words(x)).alias("n")))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(lines, lambda x: x["n"] > 0).alias("lines"))
-    rows = docs.select("doc_id", F.posexplode("lines").alias("claim_idx", "c")).select("doc_id", "claim_idx", "c.text", "c.n")
+    return docs.select("doc_id", F.posexplode("lines").alias("claim_idx", "c")).select("doc_id", "claim_idx", "c.text", "c.n")
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with words as claims: claim_idx, text, positions of its words in the document, and a label (1 wrong, null unknown)."""
+    rows = claim_lines(spark, sf_dir)
     before = Window.partitionBy("doc_id").orderBy("claim_idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"))
     key = F.col("doc_id") + F.col("claim_idx")

@@ -1,8 +1,10 @@
 """What queries give on tables larger than those of the other tests, or of other shapes, by small tables that have their traits."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from gaugeworks.operators import spectral
 from gaugeworks.plans import headline
 
 from .test_oracle import near, plain
@@ -34,3 +36,14 @@ def equals_sql(spark, tmp_path):
 def test_hash_orders_of_ids_over_a_million(equals_sql):
     docs = [(k * 40_009, "\n".join(f"line {j} of {k}" for j in range(9))) for k in range(400)]
     equals_sql(["claim_subsample_cap", "train_test_hash_split", "shuffle_select", "subsample_fraction", "distinct_question_sample"], documents=(docs, "doc_id long, text string"))
+
+
+def test_matrices_of_many_groups(spark):
+    """Many small groups in one batch, among them a lone sample and a large one, against one frame at a time."""
+    rng = np.random.default_rng(8)
+    rows = [(g, f"k{g}", i, j, float(w), float(c)) for g in range(60) for n in [40 if g == 7 else 1 + g % 5] for i in range(n) for j in range(n) for w, c in [rng.random(2)]]
+    pairs = spark.createDataFrame(rows, "g long, h string, i int, j long, entail double, contra double").repartition(2)
+    for columns, f in ((["entail"], spectral.eccentricity), (["entail", "contra"], spectral.semantic_sets)):
+        want = {tuple(r)[:2]: r.value for r in spectral.per_group(pairs, ["g", "h"], lambda p, f=f, columns=columns: f(*(spectral.dense(p, c) for c in columns))).collect()}
+        got = {tuple(r)[:2]: r.value for r in spectral.per_matrix(pairs, ["g", "h"], columns, f).collect()}
+        assert got == pytest.approx(want, abs=1e-9) and len(got) == 60
