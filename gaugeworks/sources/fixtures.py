@@ -29,17 +29,17 @@ def statistics(spark: SparkSession) -> Statistics:
 
 
 def _unigrams(spark: SparkSession, path: str, name: str, rows: DataFrame, keys: list[str], group: str) -> DataFrame:
-    """Texts with the likelihoods of their words, toks, under unigram models of their group and of all."""
+    """Texts with the counts of their words, toks, in their group and in all."""
     store = statistics(spark)
-    words = store.get(f"{name}-words", "words by group", [path], lambda: unigrams.model(rows, group, "toks"))
-    return store.get(f"{name}-sequences", "likelihoods along the words", [path], lambda: unigrams.along(rows, keys, group, "toks", words))
+    words = store.get(f"{name}-words", "counts by group", [path], lambda: unigrams.model(rows, group, "toks"))
+    return store.get(f"{name}-sequences", "counts along the words", [path], lambda: unigrams.counts_along(rows, keys, group, "toks", words))
 
 
 def sequences(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("ll", "lm", "ent")) -> DataFrame:
     """One row per document: arrays in order of words of log-likelihoods under a unigram model of its language (ll) and of all (lm), and of an
     entropy term."""
     docs = io.spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", X.words(F.col("text")).alias("toks"))
-    return _unigrams(spark, f"{sf_dir}/documents.parquet", "documents", docs, ["doc_id"], "lang").select("doc_id", "lang", *fields)
+    return unigrams.likelihoods(_unigrams(spark, f"{sf_dir}/documents.parquet", "documents", docs, ["doc_id"], "lang"), fields)
 
 
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as samples of one prompt, with unigram log-likelihoods."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", X.words(F.col("text")).alias("toks"))
     lls = _unigrams(spark, f"{sf_dir}/conversations.parquet", "turns", turns.withColumn("all", F.lit("all")), ["conv_id", "turn"], "all")
+    lls = unigrams.likelihoods(lls, ("ll",))
     return turns.join(lls.select("conv_id", "turn", F.col("ll").alias("lls")), ["conv_id", "turn"]).withColumn("logprob", A.total(F.col("lls")))
 
 
