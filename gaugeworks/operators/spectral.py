@@ -105,17 +105,20 @@ def greedy_classes(classes: np.ndarray) -> list[int]:
 
 def cosine_clusters(vectors: np.ndarray, threshold: float = 0.85) -> list[int]:
     """In order, each vector joins the cluster with the closest running centre if its cosine reaches the threshold."""
-    sums: list[np.ndarray] = []
+    sums, norms, n = np.zeros((16, vectors.shape[1])), np.ones(16), 0
     out = []
     for v in vectors:
-        scores = [float(v @ s / (np.linalg.norm(v) * np.linalg.norm(s) or 1)) for s in sums]
-        best = int(np.argmax(scores)) if scores else -1
-        if scores and scores[best] >= threshold:
-            sums[best] = sums[best] + v
-            out.append(best)
+        scores = sums[:n] @ v / (np.linalg.norm(v) or 1) / norms[:n]  # all clusters at once
+        best = int(np.argmax(scores)) if n else -1
+        if n and scores[best] >= threshold:
+            sums[best] += v
         else:
-            out.append(len(sums))
-            sums.append(v.copy())
+            best, n = n, n + 1
+            if n > len(sums):
+                sums, norms = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([norms, np.ones_like(norms)])
+            sums[best] = v
+        norms[best] = np.linalg.norm(sums[best]) or 1
+        out.append(best)
     return out
 
 

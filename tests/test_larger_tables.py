@@ -1,5 +1,7 @@
 """What queries give on tables larger than those of the other tests, or of other shapes, by small tables that have their traits."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -47,3 +49,24 @@ def test_matrices_of_many_groups(spark):
         want = {tuple(r)[:2]: r.value for r in spectral.per_group(pairs, ["g", "h"], lambda p, f=f, columns=columns: f(*(spectral.dense(p, c) for c in columns))).collect()}
         got = {tuple(r)[:2]: r.value for r in spectral.per_matrix(pairs, ["g", "h"], columns, f).collect()}
         assert got == pytest.approx(want, abs=1e-9) and len(got) == 60
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.5, 0.85])
+def test_clusters_of_many_vectors(threshold):
+    """Against one cosine at a time, among them zero and equal vectors; a few thousand take seconds, not minutes."""
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate([rng.normal(size=(150, 6)), np.zeros((2, 6)), np.ones((3, 6))])
+    sums, want = [], []
+    for v in vectors:
+        scores = [float(v @ s / (np.linalg.norm(v) * np.linalg.norm(s) or 1)) for s in sums]
+        best = int(np.argmax(scores)) if scores else -1
+        if scores and scores[best] >= threshold:
+            sums[best] = sums[best] + v
+        else:
+            best = len(sums)
+            sums.append(v.copy())
+        want.append(best)
+    assert spectral.cosine_clusters(vectors, threshold) == want
+    began = time.perf_counter()
+    spectral.cosine_clusters(rng.normal(size=(3000, 64)), 0.5)
+    assert time.perf_counter() - began < 10
