@@ -129,17 +129,16 @@ def nli_combine(spark, sf):
 
 def _per_claim(name: str, expression, sql: str) -> None:
     query(name, f"WITH {C.TOK}, {C.CLAIM} SELECT c.doc_id, claim_idx, round({sql}, 6) AS value FROM claim c JOIN tok t ON c.doc_id = t.doc_id AND t.pos BETWEEN c.first AND c.first + c.n - 1 GROUP BY c.doc_id, claim_idx")(
-        lambda spark, sf: rounded(S.claim_arrays(spark, sf, _fields(sql)).select("doc_id", "claim_idx", expression().alias("value")), "value")
+        lambda spark, sf: rounded(S.claim_values(spark, sf, _fields(sql), expression).select("doc_id", "claim_idx", "value"), "value")
     )
 
 
-_ids = lambda c: A.gather(F.col(c), F.col("ids"))
-_per_claim("claim_max_prob", lambda: estimators.max_sequence_probability(_ids("ll")), "-sum(ll)")
-_per_claim("claim_perplexity", lambda: estimators.perplexity(_ids("ll")), "-avg(ll)")
-_per_claim("claim_max_entropy", lambda: F.array_max(_ids("ent")), "max(ent)")
-_per_claim("claim_pmi", lambda: estimators.claim_pmi(F.col("ll"), F.col("lm"), F.col("ids")), "-sum(ll - CASE WHEN t.pos > 0 THEN lm ELSE 0 END)")
-_per_claim("claim_ccp", lambda: -F.exp(A.total(F.transform(_ids("ent"), lambda e: -e))), "-exp(sum(-ent))")
-_per_claim("focus_claim", lambda: A.mean(_ids("ent")), "avg(ent)")
+_per_claim("claim_max_prob", lambda ids: estimators.max_sequence_probability(A.gather(F.col("ll"), ids)), "-sum(ll)")
+_per_claim("claim_perplexity", lambda ids: estimators.perplexity(A.gather(F.col("ll"), ids)), "-avg(ll)")
+_per_claim("claim_max_entropy", lambda ids: F.array_max(A.gather(F.col("ent"), ids)), "max(ent)")
+_per_claim("claim_pmi", lambda ids: estimators.claim_pmi(F.col("ll"), F.col("lm"), ids), "-sum(ll - CASE WHEN t.pos > 0 THEN lm ELSE 0 END)")
+_per_claim("claim_ccp", lambda ids: -F.exp(A.total(F.transform(A.gather(F.col("ent"), ids), lambda e: -e))), "-exp(sum(-ent))")
+_per_claim("focus_claim", lambda ids: A.mean(A.gather(F.col("ent"), ids)), "avg(ent)")
 
 
 @query("claim_random_hash", f"WITH {C.CLAIM} SELECT doc_id, claim_idx, round(((doc_id * 1000003 + claim_idx * 7919) % 10007) / 10007.0, 6) AS value FROM claim")

@@ -147,7 +147,7 @@ for _k, _f in (("mean", F.avg), ("min", F.min), ("max", F.max)):
 _SG = "1 / (1 + exp(-(ll + 8)))"
 for _k, _q in (("mean_logits", "avg(ll + 8)"), ("mean", f"avg({_SG})"), ("prod_geom", f"exp(sum(ln({_SG})))"), ("mean_geom", f"exp(sum(ln({_SG}))) / count(*)"), ("max", f"max({_SG})"), ("min", f"min({_SG})")):
     query(f"token_to_claim_{_k}", f"WITH {C.TOK}, {C.CLAIM} SELECT c.doc_id, claim_idx, round({_q}, 6) AS value FROM claim c JOIN tok t ON c.doc_id = t.doc_id AND t.pos BETWEEN c.first AND c.first + c.n - 1 GROUP BY c.doc_id, claim_idx")(
-        lambda spark, sf, k=_k: rounded(S.claim_arrays(spark, sf, ("ll",)).withColumn("z", F.transform("ids", lambda i: F.get("ll", i) + 8)).select("doc_id", "claim_idx", estimators.reduce_claim(F.col("z"), k).alias("value")), "value")
+        lambda spark, sf, k=_k: rounded(S.claim_values(spark, sf, ("ll",), lambda ids: estimators.reduce_claim(F.transform(ids, lambda i: F.get("ll", i) + 8), k)).select("doc_id", "claim_idx", "value"), "value")
     )
 
 

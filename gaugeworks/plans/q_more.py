@@ -48,8 +48,8 @@ def shift_claims(spark, sf):
 
 @query("claim_pr_auc", f"WITH {C.TOK}, {C.CLAIM}, s AS (SELECT c.doc_id, claim_idx, any_value(verified) AS y, round(avg(-ll), 9) AS ue FROM claim c JOIN tok t ON c.doc_id = t.doc_id AND t.pos BETWEEN c.first AND c.first + c.n - 1 WHERE verified IS NOT NULL GROUP BY c.doc_id, claim_idx), k AS (SELECT ue, count(*) AS c, sum(y) AS p FROM s GROUP BY ue), m AS (SELECT *, sum(c) OVER (ORDER BY ue DESC) AS cc, sum(p) OVER (ORDER BY ue DESC) AS cp FROM k) SELECT round(sum(cp / cc * p) / sum(p), 6) AS value FROM m")
 def claim_pr_auc(spark, sf):
-    c = S.claim_arrays(spark, sf, ("ll",)).where("verified IS NOT NULL")
-    rows = c.select((F.col("doc_id") * 100_000 + F.col("claim_idx")).alias("unit"), F.round(-A.mean(A.gather(F.col("ll"), F.col("ids"))), 9).alias("ue"), F.col("verified").alias("target"))
+    c = S.claim_values(spark, sf, ("ll",), lambda ids: -A.mean(A.gather(F.col("ll"), ids))).where("verified IS NOT NULL")
+    rows = c.select((F.col("doc_id") * 100_000 + F.col("claim_idx")).alias("unit"), F.round("value", 9).alias("ue"), F.col("verified").alias("target"))
     return rounded(evaluate.pr_auc(rows.persist(), []), "value")
 
 

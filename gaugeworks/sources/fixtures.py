@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -88,9 +90,13 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "claim_idx", "text", F.sequence("first", F.col("first") + F.col("n") - 1).alias("ids"), label.alias("verified"))
 
 
-def claim_arrays(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("ll", "lm", "ent")) -> DataFrame:
-    """Claims next to their document's arrays."""
-    return claims(spark, sf_dir).join(sequences(spark, sf_dir, fields), "doc_id")
+def claim_values(spark: SparkSession, sf_dir: str, fields: tuple[str, ...], expression: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, claim_idx, verified and value: an expression over a document's arrays and the positions of a claim's words. A document meets its
+    arrays once, for all its claims."""
+    listed = claims(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("claim_idx", "verified", "ids")).alias("claims"))
+    met = listed.join(sequences(spark, sf_dir, fields), "doc_id")
+    each = F.transform("claims", lambda c: F.struct(c["claim_idx"].alias("claim_idx"), c["verified"].alias("verified"), expression(c["ids"]).alias("value")))
+    return met.select("doc_id", F.inline(each))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
