@@ -6,7 +6,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from gaugeworks.operators import spectral
+from gaugeworks.functions import sequential
+from gaugeworks.operators import focus, prefix_scores, spectral
 from gaugeworks.plans import headline
 
 from .test_oracle import near, plain
@@ -70,3 +71,14 @@ def test_clusters_of_many_vectors(threshold):
     began = time.perf_counter()
     spectral.cosine_clusters(rng.normal(size=(3000, 64)), 0.5)
     assert time.perf_counter() - began < 10
+
+
+def test_few_rows_of_a_batch_are_objects_at_once(spark):
+    """More rows in one batch than are worked on at once, and a null and an empty one among them."""
+    rows = [(k, [float(k), 1.0], [k % 2 == 0, True], [(1, 0, 0.5)]) for k in range(3 * focus.ROWS)] + [(-1, None, None, None), (-2, [], [], [])]
+    df = spark.createDataFrame(rows, "id long, b array<double>, k array<boolean>, e array<struct<i:int,j:int,a:double>>").coalesce(1)
+    got = {r.id: r.value for r in focus.focus(df, "id", "b", "k", "e", 0.9).collect()}
+    assert got == {r[0]: sequential.focus(r[1] or [], r[2] or [], r[3] or [], 0.9) for r in rows}
+    texts = spark.createDataFrame([("g", k, [f"w{j}" for j in range(k % 4)]) for k in range(150)], "g string, i int, w array<string>").coalesce(1)
+    found = {r.i: [bytes(x) for x in r["keys"]] for r in prefix_scores.prefixes(texts).collect()}
+    assert all(found[k] == found[3][: k % 4] for k in range(150)) and len(set(found[3])) == 3
