@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import arrays as A
 from ..functions import sequential
@@ -121,5 +124,17 @@ def word_merge_conf(spark, sf):
         parts, confidences = sequential.split_edges(tokens, [round((len(p) + k % 7) / 10, 6) for k, p in enumerate(tokens)])
         return [{"word": w, "confidence": c} for w, c in sequential.merge_words(parts, confidences)]
 
-    rows = _turns(spark, sf).select("conv_id", "turn", F.udf(merge, "array<struct<word:string,confidence:double>>", useArrow=True)("text").alias("w"))
+    rows = _turns(spark, sf).select("conv_id", "turn", "text")
+    words = T.StructField("w", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("confidence", T.DoubleType())])))
+    schema = T.StructType([*rows.schema.fields[:2], words])
+
+    def run(batches):
+        """A few turns at a time are Python objects, however many come in a batch."""
+        for whole in batches:
+            for at in range(0, len(whole), 64):
+                batch = whole.slice(at, 64)
+                found = [merge(t) for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, to_arrow_type(words.dataType))], schema.names)
+
+    rows = rows.mapInArrow(run, schema)
     return rows.select("conv_id", "turn", F.posexplode("w").alias("word_idx", "x")).select("conv_id", "turn", "word_idx", "x.word", "x.confidence")
