@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,23 +14,29 @@ from ..sources import io
 from ..sources.calls import Answers
 from ..sources.providers import PAIR
 
+#: Candidates of an Arrow batch that are Python objects at once.
+ROWS = 64
+
 
 def prefixes(rows: DataFrame) -> DataFrame:
     """`rows` with `keys`: the digest of each prefix of the tokens w, 16 bytes, from one pass over them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for words in pdf["w"]:
-                h, keys = hashlib.sha256(), []
-                for w in words if words is not None else ():
-                    data = w.encode()
-                    h.update(len(data).to_bytes(8, "big") + data)
-                    keys.append(h.copy().digest()[:16])
-                found.append(keys)
-            yield pdf.assign(keys=found)
-
-    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("keys", T.ArrayType(T.BinaryType()))]))
+    schema = T.StructType([*rows.schema.fields, T.StructField("keys", T.ArrayType(T.BinaryType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch, found = whole.slice(at, ROWS), []
+                for words in batch.column("w").to_pylist():
+                    h, keys = hashlib.sha256(), []
+                    for w in words or ():
+                        data = w.encode()
+                        h.update(len(data).to_bytes(8, "big") + data)
+                        keys.append(h.copy().digest()[:16])
+                    found.append(keys)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.binary()))], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def edges(rows: DataFrame) -> DataFrame:
