@@ -17,7 +17,7 @@ NUMBER = r"[-+]?\d*\.?\d+"
 
 def words(text: Column) -> Column:
     """Whitespace tokens, without empty ones."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def apply_template(template: str, question: Column) -> Column:

@@ -18,8 +18,11 @@ VALUES = ("ll", "lm", "ent")
 
 
 def model(rows: DataFrame, group: str, tokens: str) -> DataFrame:
-    """group, tok and how often it occurs: c in the group, t among all; c_group and c_all, the words of the group and all words."""
-    pairs = rows.select(group, F.explode(tokens).alias("tok")).groupBy(group, "tok").agg(F.count("*").alias("c"))
+    """group, tok and how often it occurs: c in the group, t among all; c_group and c_all, the words of the group and all words. The texts are read
+    once."""
+    path = io.scratch(rows.sparkSession, "word-counts")
+    rows.select(group, F.explode(tokens).alias("tok")).groupBy(group, "tok").agg(F.count("*").alias("c")).write.parquet(path)  # read by three sums
+    pairs = rows.sparkSession.read.parquet(path)
     pairs = pairs.withColumn("t", F.sum("c").over(Window.partitionBy("tok")))  # a row for each group
     by_group = pairs.groupBy(group).agg(F.sum("c").alias("c_group"))
     return pairs.join(by_group, group).crossJoin(pairs.agg(F.sum("c").alias("c_all")))  # one row
