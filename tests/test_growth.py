@@ -1,7 +1,10 @@
 """What queries read, write and hold at once, which must not grow faster than their tables."""
 
+import random
+import time
 import uuid
 
+from gaugeworks.functions import sequential
 from gaugeworks.operators import unigrams
 
 
@@ -20,3 +23,25 @@ def test_word_model_reads_its_texts_once(spark, tmp_path):
     found = {(r.g, r.tok): (r.c, r.t, r.c_group, r.c_all) for r in unigrams.model(watched(rows, tmp_path), "g", "w").collect()}
     assert found == {("a", "x"): (2, 3, 3, 5), ("a", "y"): (1, 1, 3, 5), ("b", "x"): (1, 3, 1, 5)}
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_common_subsequences_of_long_texts():
+    """Against the table of all pairs of positions; texts of ten thousand words take a moment, not minutes."""
+    rng = random.Random(1)
+    for _ in range(400):
+        few = rng.choice([1, 2, 5, 40])
+        a, b = ([str(rng.randrange(few)) for _ in range(rng.randrange(n))] for n in (25, 70))
+        assert sequential.common_length(a, b) == sequential.common_length(b, a) == plain_common(a, b)
+    began = time.perf_counter()
+    a, b = ([str(rng.randrange(3000)) for _ in range(10_000)] for _ in range(2))
+    assert sequential.common_length(a, b) > 100 and sequential.common_length(a, a) == 10_000
+    assert time.perf_counter() - began < 2
