@@ -88,3 +88,9 @@ def cosine(a: Column, b: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def set_jaccard(a: Column, b: Column) -> Column:
+    """As jaccard, of arrays without repeats: both are read once."""
+    n = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(n, F.size(a) + F.size(b) - n), F.lit(0.0))

@@ -60,14 +60,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ordered pairs of a conversation's turns, itself included, with stand-ins of entailment from the words they share."""
-    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("toks"))
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(X.words(F.col("text"))).alias("toks"))
     a, b = s.select("conv_id", F.col("turn").alias("i"), F.col("toks").alias("x")), s.select("conv_id", F.col("turn").alias("j"), F.col("toks").alias("y"))
-    return similarity(a.join(b, "conv_id"), F.col("i") == F.col("j"))
+    return similarity(a.join(b, "conv_id"), F.col("i") == F.col("j"), A.set_jaccard)
 
 
-def similarity(pairs: DataFrame, same) -> DataFrame:
+def similarity(pairs: DataFrame, same, jaccard: Callable[[Column, Column], Column] = A.jaccard) -> DataFrame:
     """Pairs with word arrays x and y to jac, entail, contra, their logits and the class (2 entailed, 1 neutral, 0 contradicted)."""
-    p = pairs.withColumn("jac", A.jaccard(F.col("x"), F.col("y"))).drop("x", "y")
+    p = pairs.withColumn("jac", jaccard(F.col("x"), F.col("y"))).drop("x", "y")
     p = p.withColumn("entail", F.when(same, 1.0).otherwise(F.least(F.lit(1.0), 10 * F.col("jac")))).withColumn("contra", (1 - F.col("entail")) / 2)
     p = p.withColumn("e_logit", F.log(F.col("entail") + 1e-6)).withColumn("c_logit", F.log(F.col("contra") + 1e-6))
     return p.withColumn("cls", F.when(same | (F.col("jac") >= 0.055), 2).when(F.col("jac") < 0.025, 0).otherwise(1))
