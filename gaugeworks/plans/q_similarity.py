@@ -40,8 +40,9 @@ def eigenscore(spark, sf):
 
 def _classes(spark, sf):
     """Classes stand in by the word-overlap graph: a sample's class is the least sample whose overlap with it counts as entailment."""
-    p = S.sample_pairs(spark, sf).where("cls = 2")
-    return p.groupBy("conv_id", F.col("i").alias("turn")).agg(F.min("j").alias("class_id"))
+    p = S.sample_pairs(spark, sf)
+    # no filter of pairs: pushed into their join, it would compare their words once more for each case of cls
+    return p.groupBy("conv_id", F.col("i").alias("turn")).agg(F.min(F.when(F.col("cls") == 2, F.col("j"))).alias("class_id")).where("class_id IS NOT NULL")
 
 
 _CLS = f"WITH {C.SAMP}, {C.PAIR}, cls AS (SELECT conv_id, i AS turn, min(j) AS class_id FROM pair WHERE cls = 2 GROUP BY conv_id, i), s AS (SELECT samp.*, class_id FROM samp JOIN cls ON samp.conv_id = cls.conv_id AND samp.turn = cls.turn) "

@@ -6,6 +6,7 @@ import uuid
 
 from gaugeworks.functions import sequential
 from gaugeworks.operators import unigrams
+from gaugeworks.plans import q_similarity
 
 
 def watched(df, folder):
@@ -45,3 +46,13 @@ def test_common_subsequences_of_long_texts():
     a, b = ([str(rng.randrange(3000)) for _ in range(10_000)] for _ in range(2))
     assert sequential.common_length(a, b) > 100 and sequential.common_length(a, a) == 10_000
     assert time.perf_counter() - began < 2
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_a_pair_are_compared_once(spark, sf):
+    found = plan(q_similarity._classes(spark, sf))
+    assert "array_union" not in found and [x.count("array_intersect") for x in found.splitlines() if "array_intersect" in x] == [2]  # one expression
+    assert not any("Join" in x and "array_intersect" in x for x in found.splitlines())
