@@ -94,3 +94,14 @@ def set_jaccard(a: Column, b: Column) -> Column:
     """As jaccard, of arrays without repeats: both are read once."""
     n = F.size(F.array_intersect(a, b))
     return F.coalesce(F.try_divide(n, F.size(a) + F.size(b) - n), F.lit(0.0))
+
+
+def run_starts(x: Column) -> Column:
+    """Where each run of equal elements begins; `x` should be a sorted column."""
+    return F.filter(F.transform(x, lambda w, i: F.when((i == 0) | (w != F.get(x, i - 1)), i)), lambda i: i.isNotNull())
+
+
+def numbered(x: Column, starts: Column) -> Column:
+    """Sorted words, each with its place in its run, so that sets of them meet as bags do. `starts`: a column of run_starts."""
+    end = lambda r: F.coalesce(F.get(starts, r + 1), F.size(x)) - 1
+    return F.flatten(F.transform(starts, lambda p, r: F.transform(F.sequence(p, end(r)), lambda q: F.concat(F.get(x, p), F.lit(" "), (q - p).cast("string")))))

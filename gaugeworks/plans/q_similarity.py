@@ -92,11 +92,13 @@ for _k in ("rouge1", "rouge2", "rougeL", "BLEU"):
 
 @query("rouge1_overlap", rf"WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations), w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS tok, 'a' AS s FROM p WHERE ref IS NOT NULL UNION ALL SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(ref), '[\x20\x09-\x0D]+'), lambda x: x <> '')), 'b' FROM p WHERE ref IS NOT NULL), c AS (SELECT conv_id, turn, tok, count(*) FILTER (WHERE s = 'a') AS a, count(*) FILTER (WHERE s = 'b') AS b FROM w GROUP BY conv_id, turn, tok) SELECT conv_id, turn, round(2 * sum(least(a, b)) / (sum(a) + sum(b)), 6) AS value FROM c GROUP BY conv_id, turn")
 def rouge1_overlap(spark, sf):
-    """Unigram overlap with DataFrame functions only."""
+    """Unigram overlap with DataFrame functions only; a pair of texts meets in one row, so a task holds a few rows' words."""
     c = S.table(spark, sf, "conversations").withColumn("ref", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("ref IS NOT NULL")
-    side = lambda col, k: c.select("conv_id", "turn", F.explode(X.words(F.lower(col))).alias("tok"), F.lit(k).alias("s"))
-    t = side("text", "a").unionByName(side("ref", "b")).groupBy("conv_id", "turn", "tok").agg(F.count_if(F.col("s") == "a").alias("a"), F.count_if(F.col("s") == "b").alias("b"))
-    return rounded(t.groupBy("conv_id", "turn").agg((2 * F.sum(F.least("a", "b")) / (F.sum("a") + F.sum("b"))).alias("value")), "value")
+    bag = lambda col: F.sort_array(F.flatten(F.collect_list(F.coalesce(X.words(F.lower(col)), F.array().cast("array<string>")))))
+    t = c.groupBy("conv_id", "turn").agg(bag("text").alias("a"), bag("ref").alias("b")).where(F.size("a") + F.size("b") > 0)
+    t = t.withColumns({"p": A.run_starts(F.col("a")), "q": A.run_starts(F.col("b"))})
+    hits = F.size(F.array_intersect(A.numbered(F.col("a"), F.col("p")), A.numbered(F.col("b"), F.col("q"))))
+    return rounded(t.select("conv_id", "turn", (2 * hits / (F.size("a") + F.size("b"))).alias("value")), "value")
 
 
 @query("cosine_similarity", f"WITH {C.DIST}, c AS (SELECT vec_id, label, e, lead(e) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM demb) SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda k: e[k] * f[k])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(f, lambda x: x * x)))), 6) AS value FROM c WHERE f IS NOT NULL")

@@ -56,3 +56,11 @@ def test_words_of_a_pair_are_compared_once(spark, sf):
     found = plan(q_similarity._classes(spark, sf))
     assert "array_union" not in found and [x.count("array_intersect") for x in found.splitlines() if "array_intersect" in x] == [2]  # one expression
     assert not any("Join" in x and "array_intersect" in x for x in found.splitlines())
+
+
+def test_overlap_of_bags_without_a_row_for_each_word(spark, tmp_path):
+    rows = [(1, 0, "A a b  c"), (1, 1, "a B b"), (1, 2, ""), (1, 3, " "), (1, 4, None), (1, 5, "x x x"), (1, 6, "x y")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = q_similarity.rouge1_overlap(spark, str(tmp_path))
+    assert {r.turn: r.value for r in df.collect()} == {0: round(4 / 7, 6), 1: 0.0, 4: 0.0, 5: 0.4}
+    assert "Generate" not in plan(df)
