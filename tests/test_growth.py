@@ -1,5 +1,6 @@
 """What queries read, write and hold at once, which must not grow faster than their tables."""
 
+import json
 import random
 import time
 import uuid
@@ -7,6 +8,7 @@ import uuid
 from gaugeworks.functions import sequential
 from gaugeworks.operators import unigrams
 from gaugeworks.plans import q_similarity
+from gaugeworks.sources import calls, providers
 
 
 def watched(df, folder):
@@ -64,3 +66,11 @@ def test_overlap_of_bags_without_a_row_for_each_word(spark, tmp_path):
     df = q_similarity.rouge1_overlap(spark, str(tmp_path))
     assert {r.turn: r.value for r in df.collect()} == {0: round(4 / 7, 6), 1: 0.0, 4: 0.0, 5: 0.4}
     assert "Generate" not in plan(df)
+
+
+def test_a_provider_is_asked_for_few_prompts_at_once(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "concat('word ', id) AS prompt")
+    answers = calls.Answers(spark, calls.Replay(providers.Alternatives(5), str(tmp_path)), in_flight=1)
+    assert answers.ask(rows, "prompt").where("size(alternatives) = 2").count() == 1000
+    asked = [json.loads(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(map(len, asked)) == 1000 and max(map(len, asked)) <= calls.PROMPTS
