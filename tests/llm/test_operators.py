@@ -155,6 +155,19 @@ def test_repeats_against_brute_force(spark):
     assert sum(w[1] for w in want) > 0
 
 
+def test_planted_passages_go_by_bytes_not_words(spark):
+    """Passages of 51 to 90 words in two documents each: those of 400 bytes are removed, shorter ones stay, other documents keep all."""
+    rng = random.Random(51)
+    say = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passages = [say(n) for n in range(51, 91)]
+    texts = [f"{say(rng.randrange(1, 120))} {p} {say(rng.randrange(1, 120))}" for p in passages for _ in range(2)] + [say(rng.randrange(200)) for _ in range(40)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_repeats(texts, substring_dedup.LENGTH)
+    sizes = [len(p.encode()) for p in passages for _ in range(2)] + [0] * 40
+    assert all(got[k][1] >= n if n >= 400 else got[k][1] == 0 for k, n in enumerate(sizes) if not 390 <= n < 400)
+    assert min(sizes[:80]) < 390 and max(sizes) >= 400
+
+
 def test_repeats_odd(odd, empty):
     rows = substring_dedup.remove_repeats(odd).collect()
     assert len(rows) == odd.count()
