@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources import io
-from ..sources.calls import Answers
+from ..sources.calls import Answers, texts_key
 from ..sources.providers import PAIR
 from .estimators import combine_nli
+from .lookup import lookup
 
 #: Similarity of a text of one token to the empty one, and of special tokens, which are never left out.
 LONE, SPECIAL = 0.5, 1.0
-#: Rows of an Arrow batch that are worked on at once.
-ROWS = 512
 #: Punctuation and blanks, which words lose before they are compared.
 EDGES = "[!-/:-@\\[-`{-~ \\n]+"
 
@@ -27,56 +23,35 @@ def token_similarity(texts: DataFrame, key: str, prompt: str, tokens: str, speci
     """key and `similarity`, one value for each token: how alike the whole text and the one without the token are, behind the prompt.
 
     Texts are read without special tokens. The provider gives `similarity` of a pair; a pair that several tokens or texts share is asked about
-    once. A pair is written out where it is asked about only, so what is shuffled and written grows with the texts, not with their squares; a text
-    without tokens has an empty array. Rows are unique by key.
+    once. A pair is written out where it is asked about only, and no table has a row for each token: a text is shuffled once, its values are written
+    and shuffled once, for all its copies. A text without tokens has an empty array. Rows are unique by key; `texts` is read several times.
     """
-    spark = texts.sparkSession
-    head = F.coalesce(F.col(prompt), F.lit(""))
-    rows = texts.select(F.col(key).alias("key"), head.alias("head"), F.coalesce(tokens, F.array().cast("array<string>")).alias("toks"))
-    path = io.scratch(spark, "left-out")
-    spans = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
-    schema = T.StructType([rows.schema["key"], T.StructField("said", T.StringType()), spans])
-    never = set(special)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The whole text and what is cut out of it for each token; null for a special one."""
-        for whole in batches:
-            for at in range(0, len(whole), ROWS):
-                batch, said, cuts = whole.slice(at, ROWS), [], []
-                for front, toks in zip(batch.column("head").to_pylist(), batch.column("toks").to_pylist()):
-                    kept = [t for t in toks if t is not None and t not in never]
-                    said.append(f"{front} {between.join(kept)}")
-                    cuts.append(_cuts(toks, never, len(front) + 1, len(between), len(kept)))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(said), pa.array(cuts, to_arrow_type(spans.dataType))], schema.names)
-
-    rows.where(F.size("toks") > 1).mapInArrow(places, schema).write.parquet(path)
-    each = spark.read.parquet(path)
-    wanted = each.select("said", F.filter("spans", lambda s: s.isNotNull()).alias("spans"))
-    found = answers.ask_parts(wanted, "said", "spans", _without)
-    known = found.groupBy(F.sha2("text", 256).alias("k")).agg(F.sort_array(F.collect_list(F.struct("part", "similarity"))).alias("x"))
-    known = known.select("k", F.map_from_arrays("x.part", "x.similarity").alias("x"))
-    scored = each.withColumn("k", F.sha2("said", 256)).join(known, "k", "left")
-    scored = scored.select(F.col("key").alias("k"), F.transform("spans", lambda s: F.when(s.isNull(), F.lit(SPECIAL)).otherwise(F.element_at("x", s))).alias("s"))
-    lone = F.transform("toks", lambda t: F.lit(LONE))
-    return rows.join(scored, F.col("key").eqNullSafe(F.col("k")), "left").select(F.col("key").alias(key), F.coalesce("s", lone).alias("similarity"))
-
-
-def _without(text: str, span: dict) -> str:
-    return text + PAIR + text[: span["start"]] + text[span["stop"] :]
-
-
-def _cuts(toks: list, special: set, start: int, gap: int, n: int) -> list:
-    """(start, stop) of what goes with each token of a text: the token and the gap behind it, of the last one the gap before it."""
-    out, k = [], 0
-    for t in toks:
-        if t is None or t in special:
-            out.append(None)
+    toks, head, gap = F.coalesce(tokens, F.array().cast("array<string>")), F.coalesce(F.col(prompt), F.lit("")), len(between)
+    never = lambda t: t.isNull() | F.coalesce(t.isin(special), F.lit(False)) if special else t.isNull()
+    said = F.concat("head", F.lit(" "), F.array_join(F.filter("toks", lambda t: ~never(t)), between))
+    sizes = F.transform("toks", lambda t: F.when(never(t), F.lit(-1)).otherwise(F.length(t)))
+    rows = texts.select(F.col(key).alias("key"), head.alias("head"), toks.alias("toks"))
+    rows = rows.select("key", F.size("toks").alias("n"), said.alias("said"), sizes.alias("sizes"))
+    some = F.col("n") > 1
+    found = answers.ask_texts(rows.where(some), "said", "sizes", lambda text, sizes: _without(text, sizes, gap))
+    scored = found.select("row_key", F.transform("found", lambda x: F.when(x.isNull(), F.lit(SPECIAL)).otherwise(x["similarity"])).alias("s"))
+    rows = rows.select("key", "n", F.when(some, texts_key(F.col("said"), F.col("sizes"))).alias("row_key"))
+    return lookup(rows, scored, "row_key").select(F.col("key").alias(key), F.coalesce("s", F.array_repeat(F.lit(LONE), F.col("n"))).alias("similarity"))
+
+
+def _without(text: str, sizes: list[int], gap: int) -> Iterator[str | None]:
+    """Pairs of a text and what is left of it without each token, given the tokens' lengths, of special ones -1: the token goes with the gap behind
+    it, the last one with the gap before it."""
+    n = sum(size >= 0 for size in sizes)
+    start, k = len(text) - sum(size for size in sizes if size >= 0) - gap * (n - 1), 0
+    for size in sizes:
+        if size < 0:
+            yield None
             continue
         k += 1
-        stop = start + len(t)
-        out.append({"start": start, "stop": stop + gap} if k < n else {"start": start - (gap if n > 1 else 0), "stop": stop})
+        stop = start + size
+        yield text + PAIR + (text[:start] + text[stop + gap :] if k < n else text[: start - (gap if n > 1 else 0)])
         start = stop + gap
-    return out
 
 
 def alternative_relations(rows: DataFrame, key: str, alternatives: str, answers: Answers) -> DataFrame:

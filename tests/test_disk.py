@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import prefix_scores
+from gaugeworks.operators import prefix_scores, relations
 from gaugeworks.sources import calls, providers
 
 
@@ -84,3 +84,61 @@ def test_prefix_tree_with_failed_calls(spark, tmp_path):
     assert run(answers(lambda t: t.endswith("\x1eb"))) == {0: [], 1: [], 2: want[2], 3: want[3], 4: [], 5: want[5]}
     n = len(asked(tmp_path))
     assert run(answers(lambda t: False)) == want and asked(tmp_path).count("q a\x1eb") == 1 and len(asked(tmp_path)) == n + 1
+
+
+def plain_similarities(rows, special):
+    said = lambda p, ws: p + " " + " ".join(x for x in ws if x not in special)
+    one = lambda p, w, i: 1.0 if w[i] in special else providers._overlap(said(p, w) + providers.PAIR + said(p, w[:i] + w[i + 1 :]))
+    return {k: [0.5] * len(w) if len(w) < 2 else [one(p, w, i) for i in range(len(w))] for k, p, w in rows}
+
+
+def test_left_out_tokens_have_no_rows(spark, tmp_path, monkeypatch):
+    """A text is shuffled about once, and its values."""
+    monkeypatch.setattr("gaugeworks.sources.io.scratch", lambda spark, label: f"file://{tmp_path}/{label}")
+    rng = random.Random(2)
+    rows = [(k, "q", ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(200)]) for k in range(600)]
+    spark.createDataFrame(rows, "id long, p string, w array<string>").write.parquet(f"{tmp_path}-rows")
+    df, before = spark.read.parquet(f"{tmp_path}-rows"), shuffled(spark)
+    # values without order, as a model's are
+    scores = providers.PerText("similarity double", lambda t: (providers.HashScore().answer([t])["score"][0],))
+    got = relations.token_similarity(df, "id", "p", "w", ["</s>"], calls.Answers(spark, scores)).selectExpr("count(*)", "sum(size(similarity))", "count(distinct similarity[7])").first()
+    words, text = sum(len(w) for _, _, w in rows), sum(len(x) + 1 for _, _, w in rows for x in w)
+    assert tuple(got) == (len(rows), words, len(rows))
+    # a text and a length for each word, then nine bytes a word at most for its value
+    assert shuffled(spark) - before < 1.5 * text + 10 * words and on_disk(tmp_path) < 10 * words
+
+
+def test_left_out_tokens_of_earlier_runs(spark, tmp_path):
+    """One text by several tokens; a second run asks for what failed only, and what a table of answers has is not asked for."""
+    words = [["red", "red", "tin"], ["</s>", "red", "red", "tin"], ["red red", "tin"], ["red", "</s>", "red", "tin"], ["red", "red", "tin"], ["one", "two"], ["</s>", "</s>"], ["x"], []]
+    rows = [(k, "q", w) for k, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "id long, p string, w array<string>").repartition(3)
+    folder = tmp_path / "asked"
+    folder.mkdir()
+    answers = lambda fails: calls.Answers(spark, calls.Replay(providers.OverlapSimilarity(), str(folder), fails), f"file://{tmp_path}/answers", failures=(ConnectionError,))
+    run = lambda a: {r.id: r.similarity for r in relations.token_similarity(df, "id", "p", "w", ["</s>"], a).collect()}
+    want = plain_similarities(rows, ["</s>"])
+    first = answers(lambda t: "one" in t.split(providers.PAIR)[1])
+    known = "q red red tin" + providers.PAIR + "q red red"
+    first.add(spark.createDataFrame([(known, 0.25)], "prompt string, similarity double"), "prompt")
+    for k in (0, 1, 2, 3, 4):
+        want[k][-1] = 0.25
+    got = run(first)
+    assert got == want | {5: [want[5][0], None]}
+    n = len(asked(folder))
+    # without the first and the second red, without red red, and without one; that without two failed
+    assert Counter(asked(folder)) == Counter("q red red tin" + providers.PAIR + x for x in ("q red tin", "q tin")) + Counter(["q one two" + providers.PAIR + "q two"]) and n == 3
+    assert run(answers(lambda t: False)) == want
+    assert asked(folder).count("q one two" + providers.PAIR + "q one") == 1 and len(asked(folder)) <= n + 2
+    m = len(asked(folder))
+    assert run(answers(lambda t: False)) == want and len(asked(folder)) == m
+
+
+def test_many_copies_of_a_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gaugeworks.sources.calls.LEAST_HOT", 5)
+    monkeypatch.setattr("gaugeworks.operators.lookup.LEAST_HOT", 5)
+    rows = [(k, "q", ["a", "b", "a"] if k % 3 else ["c", str(k % 2)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, p string, w array<string>").repartition(3)
+    provider = calls.Replay(providers.OverlapSimilarity(), str(tmp_path))
+    got = {r.id: r.similarity for r in relations.token_similarity(df, "id", "p", "w", [], calls.Answers(spark, provider)).collect()}
+    assert got == plain_similarities(rows, []) and len(asked(tmp_path)) == 3 + 2 + 2
